@@ -13,3 +13,40 @@ def words(text: Column | str) -> Column:
     """The words of a text in lower case, in order, with repeats; a null text has none."""
     c = F.col(text) if isinstance(text, str) else text
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(WORD), F.lit(0))
+
+
+def tokens(text: Column) -> Column:
+    """Tokens between runs of white space; an empty text has none."""
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def plain_words(text: Column) -> Column:
+    """Alphabetic tokens of 2 to 15 letters, in lower case."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0)), lambda w: F.length(w).between(2, 15))
+
+
+def vectorizer_words(text: Column, stops: list[str] | None = None) -> Column:
+    """Tokens of two or more word characters, in lower case, without ``stops``."""
+    ws = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{Nd}_]{2,}"), F.lit(0))
+    return F.filter(ws, lambda w: ~w.isin(stops)) if stops else ws
+
+
+def word_ngrams(a: Column, n: int) -> Column:
+    """n-grams of a token array, a blank between their tokens; none if there are fewer than n tokens."""
+    return F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(1), F.size(a) - (n - 1)), lambda i: F.array_join(F.slice(a, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def char_ngrams(s: Column, n: int) -> Column:
+    """n-grams of the characters (code points) of a text; none if it is shorter than n."""
+    return F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.substring(s, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
+def chars(s: Column) -> Column:
+    """Characters of a text."""
+    return F.filter(F.split(s, ""), lambda c: c != "")
+
+
+def let(fn, *columns: Column) -> Column:
+    """``fn`` of ``columns``, each of them computed once per row even where ``fn`` uses them within lambdas."""
+    bound = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(columns)])
+    return F.get(F.transform(F.array(bound), lambda s: fn(*[s[f"_{i}"] for i in range(len(columns))])), F.lit(0))

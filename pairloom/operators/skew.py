@@ -25,9 +25,19 @@ from pyspark.sql import functions as F
 HOT_SHARE = 0.005
 
 
-def hot_keys(loads: DataFrame, key: str, load: str = "load", share: float = HOT_SHARE) -> list:
-    """Keys of ``loads`` (one row per key) with more than ``share`` of the whole load: at most ``1 / share`` values."""
-    total = loads.agg(F.sum(load)).first()[0] or 0
+#: Below this many rows no key is hot: all of them are a small task's work.
+FEW_ROWS = 200_000
+
+
+def hot_keys(loads: DataFrame, key: str, load: str = "load", share: float = HOT_SHARE, total: int | None = None) -> list:
+    """Keys of ``loads`` (one row per key) with more than ``share`` of the whole load: at most ``1 / share`` values.
+
+    ``total`` is the whole load where the caller knows it.
+    """
+    if total is None:
+        total = loads.agg(F.sum(load)).first()[0] or 0
+    if total <= FEW_ROWS:
+        return []
     return [r[0] for r in loads.filter(F.col(load) > share * total).select(key).collect()]
 
 
