@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def inverse_distance(a: Column, b: Column) -> Column:
@@ -29,14 +30,14 @@ def _common(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def edit_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """(n1 + n2 - d) / (n1 + n2) with a substitution counted as two edits; 1 for two empty texts, null for a null one."""
     for x, y in batches:
         yield pd.Series([None if a is None or b is None else 2 * _common(a, b) / (len(a) + len(b)) if a or b else 1.0 for a, b in zip(x, y)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratio of matching blocks of the texts in lower case (the standard library's SequenceMatcher)."""
     for x, y in batches:

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .sets import EPS
 
@@ -86,7 +87,7 @@ def spearman(x: Column, y: Column) -> Column:
     return pearson(ranks(x), ranks(y))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def kendall(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Kendall's tau-b; null for a constant or missing side."""
 

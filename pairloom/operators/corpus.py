@@ -120,3 +120,20 @@ def top_grams(texts: DataFrame, sizes: tuple[int, ...], most: int, least_df: int
     tally = long.groupBy("gram").agg(F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("df"))
     kept = tally.filter((F.col("df") >= least_df) & (F.col("df") <= share * n)).orderBy(F.desc("n"), "gram").limit(most)
     return [r.gram for r in kept.collect()]
+
+
+def padded_sequences(df: DataFrame, key: str, array: str, vocabulary: list[str], length: int, most: int) -> DataFrame:
+    """(key, seq): ranks of a row's tokens, the last ``length`` of them, filled with 0 in front.
+
+    Ranks go from 1 by falling count in the arrays ``vocabulary``, ties by token; tokens from rank ``most`` on are left out.
+    """
+    from .rows import numbered
+
+    all_ = df.select(F.explode(F.concat(*vocabulary)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rank = numbered(all_.withColumn("_k", -F.col("n")), ["_k", "token"], "k").select("token", (F.col("k") + 1).alias("k")).filter(F.col("k") < most - 1)
+    long = df.select(key, F.posexplode(array).alias("pos", "token")).join(rank, "token")
+    seq = long.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "k"))).alias("x"))  # the tokens of one text
+    ids = F.coalesce(F.transform("x", lambda s: s["k"]), F.array().cast("array<bigint>"))
+    out = df.select(key).join(seq, key, "left").select(key, ids.alias("ids"))
+    fill = F.array_repeat(F.lit(0).cast("long"), F.greatest(F.lit(0), length - F.size("ids")))
+    return out.select(key, F.concat(fill, F.when(F.size("ids") > length, F.slice("ids", -length, length)).otherwise(F.col("ids"))).alias("seq"))
