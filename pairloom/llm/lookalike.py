@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: Letters of other alphabets and the Latin letters that they look like (fixed values).
 LOOKALIKES = {
-    "Cyrillic": ("АВЕІЈКМНОРСЅТУХԌԚԜаеіјорсѕухԁһԛԝѵЁЇёїЀѐҮ", "ABEIJKMHOPCSTYXGQWaeijopcsyxdhqwvËÏëïÈèY"),
-    "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϊϳ", "ABEZHIKMNOPTYXoïj"),
+    "Cyrillic": ("АВЕІЈКМНОРСЅТУХҮԌԚԜаеіјорсѕухԁһԛԝѵ", "ABEIJKMHOPCSTYXYGQWaeijopcsyxdhqwv"),
+    "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϳ", "ABEZHIKMNOPTYXoj"),
 }
 #: Letters printed as one glyph and their parts (fixed values).
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ſt", "ﬆ": "st", "ĳ": "ij", "Ĳ": "IJ", "ǉ": "lj", "ǈ": "Lj", "Ǉ": "LJ", "ǌ": "nj", "ǋ": "Nj", "Ǌ": "NJ"}
@@ -29,7 +29,11 @@ INVISIBLE = r"[\x{00AD}\x{034F}\x{061C}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E
 PICTURES = r"([\p{So}\x{1F3FB}-\x{1F3FF}\x{FE0F}])\x{200D}(\p{So})"
 
 
-def _tables() -> tuple[str, str]:
+def _letters() -> dict[str, str]:
+    return {x: y for a, b in LOOKALIKES.values() for x, y in zip(a, b, strict=True)}
+
+
+def _tables() -> dict[str, str]:
     """Single characters and what stands for them, by rule where there is one."""
     pairs = {}
     for c in map(chr, [*range(0xFF01, 0xFF5F), *range(0xFFE0, 0xFFE7), *range(0xFF61, 0xFFDD)]):  # full and half width
@@ -37,24 +41,40 @@ def _tables() -> tuple[str, str]:
         if len(to) == 1 and to != c:
             pairs[c] = to
     pairs |= {"ﾞ": "゙", "ﾟ": "゚", "￣": "¯"}
-    pairs |= {c: " " for c in map(chr, range(0x80, 0x3001)) if unicodedata.category(c) == "Zs" and c != " "}  # blanks of any width; U+1680 is a stroke
-    pairs |= {"‐": "-", "‑": "-"}
-    for a, b in LOOKALIKES.values():
-        pairs |= dict(zip(a, b, strict=True))
-    return "".join(pairs), "".join(pairs.values())
+    pairs |= {c: " " for c in map(chr, range(0x80, 0x3001)) if unicodedata.category(c) == "Zs" and c != "\u1680"}  # blanks of any width; U+1680 is a stroke
+    return pairs | {"‐": "-", "‑": "-"} | _letters()
+
+
+def _accented() -> dict[str, str]:
+    """Letters of other alphabets with accents whose bare letter looks like a Latin one: the Latin letter with the accents."""
+    bare, out = _letters(), {}
+    for c in map(chr, [*range(0x370, 0x530), *range(0x1F00, 0x2000)]):
+        base, *marks = unicodedata.normalize("NFD", c)
+        if marks and base in bare:
+            out[c] = unicodedata.normalize("NFC", bare[base] + "".join(marks))
+    return out
 
 
 def form_sql(column: str = "text") -> str:
-    """The DuckDB expression of the printed form."""
-    a, b = _tables()
+    """The DuckDB expression of the printed form.
+
+    Letters are mapped before accents are joined to them, and those that stood joined from the start after it, so that texts that
+    are canonically equivalent have one form.
+    """
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    translated = lambda x, t: f"translate({x}, {quoted(''.join(t))}, {quoted(''.join(t.values()))})"
     x = column
     for _ in range(2):  # a chain of pictures overlaps
         x = rf"regexp_replace({x}, '{PICTURES}', '\1' || chr(64976) || '\2', 'g')"
-    x = f"nfc_normalize(regexp_replace({x}, '{INVISIBLE}', '', 'g'))"
+    x = translated(f"regexp_replace({x}, '{INVISIBLE}', '', 'g')", _tables())
     for k, v in LIGATURES.items():
         x = f"replace({x}, {quoted(k)}, {quoted(v)})"
-    return f"translate(nfc_normalize(translate({x}, {quoted(a)}, {quoted(b)})), chr(64976), chr(8205))"
+    accented = _accented()
+    x = translated(f"nfc_normalize({x})", {k: v for k, v in accented.items() if len(v) == 1})
+    for k, v in accented.items():
+        if len(v) > 1:
+            x = f"replace({x}, {quoted(k)}, {quoted(v)})"
+    return f"translate(nfc_normalize({x}), chr(64976), chr(8205))"
 
 
 def printed_forms(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
