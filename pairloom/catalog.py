@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import clean, edit, fixed, lengths, sets, stem
 from .functions import text as tx
 from .functions import vectors as V
-from .operators import corpus, embed, graph, rows, skew
+from .operators import corpus, embed, graph, learn, rows, skew
 from .plans.work import Workspace
 from .sources import files
 from .sources.tables import one_per_id, table
@@ -735,3 +735,100 @@ def pair_profile(spark, d):
     source = F.replace(F.lower(F.regexp_replace("source", r"^\s+|\s+$", "")), F.lit("-"), F.lit("_")).alias("source")
     m = tx.let(lambda a, b: F.struct(sets.word_match_share(a, b).alias("s"), sets.bag_dice(a, b).alias("d"), F.abs(F.size(a) - F.size(b)).alias("w")), c("question1"), c("question2"))
     return t.select(source, m.alias("m")).groupBy("source").agg(F.count(F.lit(1)).alias("n"), r(F.avg("m.s")).alias("share"), r(F.avg("m.d")).alias("dice"), r(F.avg("m.w")).alias("wc_diff"))
+
+
+# ---- learners: no SQL says what they do
+
+FOLDS = 3
+
+
+def features(spark, d):
+    """A small feature table with labels and folds."""
+    t = token_pairs(spark, d)
+    m = tx.let(
+        lambda a, b, x, y: F.struct(
+            sets.word_match_share(a, b).alias("z_share"),
+            sets.bag_dice(a, b).alias("z_dice"),
+            sets.bag_ochiai(tx.word_ngrams(a, 2), tx.word_ngrams(b, 2)).alias("z_ochiai2"),
+            F.abs(F.size(a) - F.size(b)).cast("double").alias("z_wc_diff"),
+            F.levenshtein(x, y).cast("double").alias("f_distance"),
+        ),
+        F.col("a"),
+        F.col("b"),
+        F.col("q1"),
+        F.col("q2"),
+    )
+    df = t.select("id", "label", m.alias("m")).select("id", "label", "m.*").fillna(0.0, ["z_share", "z_dice", "z_ochiai2", "z_wc_diff", "f_distance"])
+    return Workspace(spark, "features").save(rows.folds(df, "id", FOLDS), "features")
+
+
+def _oof(spark, d, learner):
+    f = features(spark, d)
+    return learn.out_of_fold(f, "id", "label", [c for c in rows.feature_columns(f) if c != "fold"], learner(f), FOLDS)
+
+
+@query()
+def lr_predict(spark, d):
+    return _oof(spark, d, lambda f: learn.logistic("label", f.count()))
+
+
+@query()
+def rf_predict(spark, d):
+    return _oof(spark, d, lambda f: learn.forest("label", trees=20))
+
+
+@query()
+def gbt_predict(spark, d):
+    return _oof(spark, d, lambda f: learn.boosted("label", rounds=10, depth=4))
+
+
+@query()
+def mlp_predict(spark, d):
+    return _oof(spark, d, lambda f: learn.perceptron("label", 5, 10))
+
+
+@query()
+def cv_grid(spark, d):
+    """Mean log-loss of each cell of a grid over the strength of regularisation."""
+    f = features(spark, d)
+    names = [c for c in rows.feature_columns(f) if c != "fold"]
+    cells = learn.grid_search(f, "label", names, learn.logistic("label", 1000), {"regParam": [0.0001, 0.01, 0.1]}, k=3)
+    return spark.createDataFrame([(str(p["regParam"]), m) for p, m in cells], "reg string, log_loss double")
+
+
+@query()
+def stack_level2(spark, d):
+    """A second level over the out-of-fold predictions of two first-level learners."""
+    f = features(spark, d)
+    names = [c for c in rows.feature_columns(f) if c != "fold"]
+    levels = [learn.out_of_fold(f, "id", "label", names, m, FOLDS) for m in (learn.logistic("label", 1000), learn.forest("label", trees=10, depth=6))]
+    return learn.stacked(levels, "id", "label", f, FOLDS)
+
+
+@query()
+def document_vectors(spark, d):
+    """Similarity of the two texts' learned document vectors."""
+    p = pairs(spark, d)
+    side = F.explode(F.array(F.struct(F.lit(1).alias("s"), F.col("q1").alias("q")), F.struct(F.lit(2).alias("s"), F.col("q2").alias("q")))).alias("x")
+    docs = p.select("id", side).select("id", "x.s", clean.document_words(F.col("x.q")).alias("t"))
+    v = learn.document_vectors(docs, learn.learned_vectors(docs, "t"))
+    both = v.groupBy("id").agg(F.max(F.when(F.col("s") == 1, F.col("vec"))).alias("x"), F.max(F.when(F.col("s") == 2, F.col("vec"))).alias("y"))
+    x, y = F.col("x"), F.col("y")
+    return both.select("id", *[r(getattr(V, f)(x, y)).alias(f) for f in ("cosine_guarded", "manhattan", "sum_difference")], r(tx.let(V.pearson, x, y)).alias("pearson"), r(tx.let(V.spearman, x, y)).alias("spearman"), r(V.kendall("x", "y")).alias("kendall"))
+
+
+@query()
+def synonym_expansion(spark, d):
+    """question1 with each word replaced by its five nearest words in learned vectors."""
+    t = token_pairs(spark, d).select("id", "a")
+    syn = learn.synonym_table(learn.learned_vectors(t, "a", least=5))
+    return embed.expand(t, "id", F.col("a"), syn).select("id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query()
+def gram_svd(spark, d):
+    """First components of the hashed character trigrams of both texts."""
+    p = pairs(spark, d).select("id", F.explode(F.array("q1", "q2")).alias("q"))
+    docs = p.distinct().select(F.concat_ws(":", "id", F.md5("q")).alias("key"), learn.hash_cells(tx.char_ngrams(F.lower("q"), 3), 256).alias("cells"))
+    out = learn.truncated_svd(docs, "key", "cells", 256, 4)
+    return out.select("key", *[r(F.get("components", F.lit(i)), 4).alias(f"svd{i}") for i in range(4)])

@@ -6,6 +6,8 @@ broadcast only if it is below :data:`SMALL`; this is checked.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,17 +72,60 @@ def relaxed_distance(pairs: DataFrame, key: str, a: Column, b: Column, words: Da
 def nearest(queries: DataFrame, index: DataFrame, k: int, blocks: int = 8) -> DataFrame:
     """(query, item, rank, score): the ``k`` items with the highest cosine of each query, ties by item; the item itself is left out.
 
-    ``queries`` (query, vec) is the stated query set, sent to the blocks of ``index`` (item, vec) if it is small, else joined block by block;
-    each block keeps its k best before they are merged.
+    ``queries`` (query, vec) is the stated query set against all rows of ``index`` (item, vec). A set of at most :data:`SMALL`
+    queries is sent to all tasks, which multiply it with their batches and keep the k best of each; a larger one is
+    joined block by block. Zero vectors have no cosine.
     """
-    unit = lambda df: df.withColumn("n", V.norm(F.col("vec"))).filter("n > 0").withColumn("vec", F.transform("vec", lambda x: x / F.col("n"))).drop("n")
-    q, x = unit(queries), unit(index).withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
-    q = q.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    small = queries.limit(SMALL + 1).count() <= SMALL
-    s = x.join((F.broadcast(q) if small else q).withColumnRenamed("vec", "qv"), "block").filter("query <> item")
-    s = s.select("query", "item", "block", V.dot(F.col("vec"), F.col("qv")).alias("score"))
-    best = lambda df, *p: df.withColumn("rank", F.row_number().over(Window.partitionBy("query", *p).orderBy(F.desc(F.round("score", 9)), "item"))).filter(F.col("rank") <= k)
-    return best(best(s, "block").drop("rank")).select("query", "item", "rank", "score")
+    if queries.limit(SMALL + 1).count() <= SMALL:
+        best = _nearest_small(queries, index, k)
+    else:
+        unit = lambda df: df.withColumn("n", V.norm(F.col("vec"))).filter("n > 0").withColumn("vec", F.transform("vec", lambda x: x / F.col("n"))).drop("n")
+        x = unit(index).withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
+        q = unit(queries).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        best = x.join(q.withColumnRenamed("vec", "qv"), "block").filter("query <> item")
+        best = best.select("query", "item", "block", V.dot(F.col("vec"), F.col("qv")).alias("score"))
+        best = _best(best, k, "block").drop("rank", "block")
+    return _best(best, k).select("query", "item", "rank", "score")
+
+
+def _best(df: DataFrame, k: int, *part: str) -> DataFrame:
+    w = Window.partitionBy("query", *part).orderBy(F.desc(F.round("score", 9)), "item")
+    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _nearest_small(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    rows = queries.filter("vec is not null").select("query", F.transform("vec", lambda x: x.cast("double")).alias("vec")).collect()  # at most SMALL
+    names = [r.query for r in rows]
+    m = np.array([r.vec for r in rows]) if rows else np.zeros((0, 1))
+    norms = np.linalg.norm(m, axis=1)
+    shared = queries.sparkSession.sparkContext.broadcast(([n for n, x in zip(names, norms) if x > 0], m[norms > 0] / norms[norms > 0, None]))
+    kind = index.schema["item"].dataType.simpleString()
+
+    def run(batches):
+        ids, q = shared.value
+        for b in batches:
+            items = b.column("item").to_pylist()
+            if not items or not ids:
+                continue
+            x = np.array(b.column("vec").to_pylist(), dtype=float)
+            n = np.linalg.norm(x, axis=1)
+            keep = n > 0
+            items = [i for i, ok in zip(items, keep) if ok]
+            x = x[keep] / n[keep, None]
+            out = ([], [], [])
+            for lo in range(0, len(ids), 1000):
+                score = q[lo : lo + 1000] @ x.T
+                # ties with the k-th best (and the item itself) stay in, so that the order by item is settled later
+                cut = -np.partition(-score, min(k, score.shape[1] - 1), axis=1)[:, min(k, score.shape[1] - 1)] - 1e-9
+                for i, j in zip(*np.nonzero(score >= cut[:, None])):
+                    if ids[lo + i] != items[j]:
+                        out[0].append(ids[lo + i])
+                        out[1].append(items[j])
+                        out[2].append(float(score[i, j]))
+            t = b.schema.field("item").type
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], t), pa.array(out[1], t), pa.array(out[2], pa.float64())], ["query", "item", "score"])
+
+    return index.filter("vec is not null").select("item", "vec").mapInArrow(run, f"query {kind}, item {kind}, score double")
 
 
 def expand(rows: DataFrame, key: str, array: Column, synonyms: DataFrame) -> DataFrame:
