@@ -43,32 +43,38 @@ def hash_to_min(pairs: DataFrame, a: str, b: str, work: Workspace, most_rounds:
     raise RuntimeError(f"not stable after {most_rounds} rounds")
 
 
-def _jump(parents: DataFrame) -> DataFrame:
+def _hot(df: DataFrame, column: str, rows: int) -> list:
+    """Hot values of a column of a table of ``rows`` rows."""
+    return hot_keys(df.groupBy(column).agg(F.count(F.lit(1)).alias("load")), column, total=rows)
+
+
+def _jump(parents: DataFrame, rows: int) -> DataFrame:
     """Each vertex's parent's parent."""
     up = parents.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-    hot = hot_keys(parents.groupBy("p").agg(F.count(F.lit(1)).alias("load")), "p")
-    return hot_cold_join(parents, up, "p", hot).select("v", F.col("pp").alias("p"))
+    return hot_cold_join(parents, up, "p", _hot(parents, "p", rows)).select("v", F.col("pp").alias("p"))
 
 
 def boruvka(pairs: DataFrame, a: str, b: str, work: Workspace, most_rounds: int = 64) -> tuple[DataFrame, DataFrame]:
     """(root of each vertex: v, root), (forest: u, v). Edges are ordered by a hash of their ends, which keeps trees shallow."""
     live = edges(pairs, a, b).select("u", "v", F.xxhash64("u", "v").alias("w"), F.col("u").alias("ou"), F.col("v").alias("ov"))
     live = work.save(live, "edges-0")
-    maps, trees = [], []
+    maps, trees, sizes = [], [], []
     for i in range(most_rounds):
         half = live.select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("v").alias("p")), F.struct(F.col("v").alias("v"), F.col("u").alias("p")))).alias("x"), "w", "ou", "ov")
         best = half.select("x.v", "x.p", "w", "ou", "ov").groupBy("v").agg(*[F.min_by(c, "w").alias(c) for c in ("p", "ou", "ov")])
         best = work.save(best, f"best-{i}")
-        if best.isEmpty():
+        vertices = best.count()
+        if not vertices:
             break
+        sizes.append(vertices)
         trees.append(best.select(F.col("ou").alias("u"), F.col("ov").alias("v")))
         # two components that take the same edge point at each other; the smaller one becomes the root
         up = best.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        hot = hot_keys(best.groupBy("p").agg(F.count(F.lit(1)).alias("load")), "p")
+        hot = _hot(best, "p", vertices)
         own = (F.col("pp") == F.col("v")) & (F.col("v") < F.col("p"))
         parents = work.save(hot_cold_join(best.select("v", "p"), up, "p", hot).select("v", F.when(own, F.col("v")).otherwise(F.col("p")).alias("p")), f"up-{i}-0")
         for j in range(1, most_rounds):
-            new = work.save(_jump(parents), f"up-{i}-{j}")
+            new = work.save(_jump(parents, vertices), f"up-{i}-{j}")
             # at the end every parent is its own parent: as many parents as roots
             n = new.agg(F.count_distinct("p"), F.count_if(F.col("v") == F.col("p"))).first()
             work.drop(f"up-{i}-{j - 1}")
@@ -78,9 +84,9 @@ def boruvka(pairs: DataFrame, a: str, b: str, work: Workspace, most_rounds: int
         else:
             raise RuntimeError("the parents don't come to an end")
         maps.append(parents)
-        to = live
+        to, rows = live, live.count()
         for c in ("u", "v"):
-            hot = hot_keys(live.groupBy(c).agg(F.count(F.lit(1)).alias("load")), c)
+            hot = _hot(live, c, rows)
             to = hot_cold_join(to, parents.select(F.col("v").alias(c), F.col("p").alias(f"{c}_to")), c, hot)
         to = to.filter("u_to <> v_to").select(F.least("u_to", "v_to").alias("u"), F.greatest("u_to", "v_to").alias("v"), "w", "ou", "ov")
         to = to.groupBy("u", "v").agg(F.min("w").alias("w"), F.min_by("ou", "w").alias("ou"), F.min_by("ov", "w").alias("ov"))
@@ -94,7 +100,7 @@ def boruvka(pairs: DataFrame, a: str, b: str, work: Workspace, most_rounds: int
     roots = maps[-1].select("v", F.col("p").alias("root"))
     for i in range(len(maps) - 2, -1, -1):
         m = maps[i].select("v", F.col("p").alias("at"))
-        hot = hot_keys(m.groupBy("at").agg(F.count(F.lit(1)).alias("load")), "at")
+        hot = _hot(m, "at", sizes[i])
         roots = hot_cold_join(m, roots.select(F.col("v").alias("at"), "root"), "at", hot, "left").select("v", F.coalesce("root", "at").alias("root"))
     return work.save(roots, "roots"), forest
 
