@@ -33,28 +33,62 @@ def add_vectors(a: Column, b: Column) -> Column:
 def sentence_vectors(rows: DataFrame, keys: list[str], array: Column, words: DataFrame, dims: int, weight: DataFrame | None = None) -> DataFrame:
     """(keys, vec): the mean of the vectors of a row's known tokens, repeats counted; weighted by ``weight`` (token, w) if given.
 
-    A row without known tokens has the zero vector. The mean is taken component by component over exploded vectors.
+    A row without known tokens has the zero vector. A table of at most :data:`SMALL` words is sent to all tasks, which take the means
+    where the rows lie; a larger one is joined and the mean is taken component by component.
     """
-    long = rows.select(*keys, F.explode(array).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).cast("double").alias("w"))
     if weight is not None:
-        long = long.join(weight.select("token", F.col("w").alias("_w")), "token").withColumn("w", F.col("w") * F.col("_w"))
-    known = long.join(_near(words.select(F.col("word").alias("token"), "vec")), "token")
+        words = words.join(weight.select(F.col("token").alias("word"), "w"), "word")
+    if words.limit(SMALL + 1).count() <= SMALL:
+        return _means_small(rows, keys, array, words, dims)
+    long = rows.select(*keys, F.explode(array).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    own = F.col("_w") if weight is not None else F.lit(1.0)
+    table = words.select(F.col("word").alias("token"), "vec", *([F.col("w").alias("_w")] if weight is not None else []))
+    known = long.join(table, "token").withColumn("w", F.col("w") * own)
     comps = [(F.sum(F.col("w") * F.get("vec", F.lit(i))) / F.nullif(F.sum("w"), F.lit(0.0))).alias(f"_{i}") for i in range(dims)]
     mean = known.groupBy(*keys).agg(*comps).select(*keys, F.array(*[F.coalesce(f"_{i}", F.lit(0.0)) for i in range(dims)]).alias("vec"))
     return rows.select(*keys).distinct().join(mean, keys, "left").select(*keys, F.coalesce("vec", F.array_repeat(F.lit(0.0), dims)).alias("vec"))
 
 
+def _means_small(rows: DataFrame, keys: list[str], array: Column, words: DataFrame, dims: int) -> DataFrame:
+    table = words.filter("vec is not null").collect()  # at most SMALL
+    at = {r.word: i for i, r in enumerate(table)}
+    matrix = np.array([list(r.vec) for r in table], dtype=float).reshape(len(table), dims)
+    weights = np.array([r.w for r in table]) if "w" in words.columns else np.ones(len(table))
+    shared = rows.sparkSession.sparkContext.broadcast((at, matrix, weights))
+
+    def run(batches):
+        at, matrix, weights = shared.value
+        for b in batches:
+            out = np.zeros((b.num_rows, dims))
+            for i, ts in enumerate(b.column("_tokens").to_pylist()):
+                known = [at[t] for t in ts or () if t in at]
+                if known:
+                    w = weights[known]
+                    total = w.sum()
+                    if total:
+                        out[i] = w @ matrix[known] / total
+            ends = pa.array(np.arange(0, (b.num_rows + 1) * dims, dims, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], pa.ListArray.from_arrays(ends, pa.array(out.ravel()))], [*keys, "vec"])
+
+    schema = ", ".join([*[f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys], "vec array<double>"])
+    return rows.select(*keys, array.alias("_tokens")).mapInArrow(run, schema)
+
+
 def relaxed_distance(pairs: DataFrame, key: str, a: Column, b: Column, words: DataFrame, restart: bool = False) -> DataFrame:
     """(key, distance): for each token of one side the least distance to a token of the other, the mean of these, both directions added.
 
     Only known words count. A side without known tokens gives 0. With ``restart`` a running minimum of 0 is overwritten by the next
     distance in the order of the other side, as formulas that take 0 for 'none yet' do.
     """
-    w = _near(words.select(F.col("word").alias("token"), "vec"))
-    side = lambda c: pairs.select(key, F.posexplode(c).alias("pos", "token")).join(w, "token").select(key, "pos", "token", "vec")
-    x, y = side(a), side(b)
-    both = x.select(key, F.col("pos").alias("i"), F.col("vec").alias("u")).join(y.select(key, F.col("pos").alias("j"), F.col("vec").alias("v")), key)
-    d = both.select(key, "i", "j", V.euclidean(F.col("u"), F.col("v")).alias("d"))
+    w = _near(words.select("word"))
+    side = lambda c, n: pairs.select(key, F.posexplode(c).alias(n, "word")).join(w, "word").withColumnRenamed("word", f"w{n}")
+    both = side(a, "i").join(side(b, "j"), key)
+    # the distance of two words is computed once, however many pairs of texts have them
+    apart = both.select("wi", "wj").distinct()
+    for n in ("i", "j"):
+        apart = apart.join(words.select(F.col("word").alias(f"w{n}"), F.col("vec").alias(f"v{n}")), f"w{n}")
+    apart = apart.select("wi", "wj", V.euclidean(F.col("vi"), F.col("vj")).alias("d"))
+    d = both.join(apart, ["wi", "wj"]).select(key, "i", "j", "d")
 
     def least(own: str, other: str) -> DataFrame:
         if restart:

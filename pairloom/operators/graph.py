@@ -64,16 +64,18 @@ def weighted_common_ratio(pairs: DataFrame, a: str, b: str, edges: DataFrame) ->
 
     ``edges`` has (src, dst, weight), one row per src and dst. 0 without common neighbours or weight.
     """
+    total = edges.groupBy("src").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("degree"))
     p = pairs.select(a, b).filter(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
-    total = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    left = p.join(edges.select(F.col("src").alias(a), "dst", F.col("weight").alias("wa")), a)
-    hit = left.join(edges.select(F.col("src").alias(b), "dst", F.col("weight").alias("wb")), [b, "dst"])
+    for c, x in ((a, "a"), (b, "b")):
+        p = p.join(total.select(F.col("src").alias(c), F.col("total").alias(f"t{x}"), F.col("degree").alias(f"d{x}")), c, "left")
+    # the smaller adjacency is expanded and probed in the edges of the other end
+    less = F.coalesce("da", F.lit(0)) <= F.coalesce("db", F.lit(0))
+    q = p.select(a, b, F.when(less, F.col(a)).otherwise(F.col(b)).alias("src"), F.when(less, F.col(b)).otherwise(F.col(a)).alias("far"))
+    near = q.join(edges.select("src", "dst", F.col("weight").alias("wa")), "src")
+    hit = near.join(edges.select(F.col("src").alias("far"), "dst", F.col("weight").alias("wb")), ["far", "dst"])
     hit = hit.groupBy(a, b).agg(F.count(F.lit(1)).alias("common"), F.sum(F.col("wa") + F.col("wb")).alias("w"))
-    t = p.join(hit, [a, b], "left")
-    for c in (a, b):
-        t = t.join(total.select(F.col("src").alias(c), F.col("total").alias(f"t_{c}")), c, "left")
-    ratio = F.try_divide(F.col("w"), F.col(f"t_{a}") + F.col(f"t_{b}"))
-    return t.select(a, b, F.coalesce("common", F.lit(0)).alias("common"), F.coalesce(ratio, F.lit(0.0)).alias("ratio"))
+    ratio = F.try_divide(F.col("w"), F.col("ta") + F.col("tb"))
+    return p.join(hit, [a, b], "left").select(a, b, F.coalesce("common", F.lit(0)).alias("common"), F.coalesce(ratio, F.lit(0.0)).alias("ratio"))
 
 
 def pagerank(edges: DataFrame, work: Workspace, rounds: int = 20, damping: float = 0.85) -> DataFrame:
