@@ -400,6 +400,30 @@ def simhash_distance(spark, d):
     return token_pairs(spark, d).select("id", edit.simhash_distance(F.col("a"), F.col("b")).alias("distance"))
 
 
+def _simhash_sql(a: str, b: str) -> str:
+    return f"""WITH {T}, H AS (SELECT id, list_transform({a}, lambda w: md5(w)) AS ha, list_transform({b}, lambda w: md5(w)) AS hb FROM T),
+B AS (SELECT id, {_BITS.format(h='ha')} AS x, {_BITS.format(h='hb')} AS y FROM H)
+SELECT id, CAST(list_sum(list_transform(range(1, 65), lambda i: abs(x[i] - y[i]))) AS INT) AS distance FROM B"""
+
+
+def _simhash_grams(kind: str, n: int):
+    def f(spark, d):
+        t = token_pairs(spark, d)
+        g = (lambda a, q: tx.word_ngrams(F.col(a), n)) if kind == "word" else (lambda a, q: tx.char_ngrams(F.lower(q), n))
+        df = t.select("id", g("a", "q1").alias("a"), g("b", "q2").alias("b"))
+        return df.select("id", edit.simhash_distance(F.col("a"), F.col("b")).alias("distance"))
+
+    f.__name__ = f"simhash_{kind}{n}"
+    w = f"list_transform(range(1, len({{}}) - {n} + 2), lambda i: array_to_string({{}}[i : i + {n - 1}], ' '))"
+    sql = _simhash_sql(w.format("a", "a"), w.format("b", "b")) if kind == "word" else _simhash_sql(_CHARS.format(q="lower(q1)", n=n), _CHARS.format(q="lower(q2)", n=n))
+    query(sql)(f)
+
+
+for _kind in ("word", "char"):
+    for _n in (2, 3):
+        _simhash_grams(_kind, _n)
+
+
 # ---- stems
 
 
@@ -414,6 +438,22 @@ def lancaster_words(spark, d):
     return stem.stem_words(df, "id", F.col("t")).select("id", F.array_join("stems", " ").alias("stems"))
 
 
+@query()
+def snowball_words(spark, d):
+    df = pairs(spark, d).select("id", tx.tokens(clean.clean_sequence(F.col("q1"))).alias("t"))
+    return stem.stem_words(df, "id", F.col("t"), stem.snowball_udf).select("id", F.array_join("stems", " ").alias("stems"))
+
+
+@query(rf"""WITH {P} SELECT id, array_to_string(regexp_extract_all(q1, '\p{{L}}+'), ' ') AS alphabetic FROM P""")
+def alphabetic_tokens(spark, d):
+    return pairs(spark, d).select("id", F.array_join(tx.alphabetic(F.col("q1")), " ").alias("alphabetic"))
+
+
+@query()
+def treebank_tokens(spark, d):
+    return pairs(spark, d).select("id", F.array_join(tx.treebank_words(F.col("q1")), " ").alias("tokens"))
+
+
 # ---- graph
 
 
@@ -447,6 +487,14 @@ def first_seen_id(spark, d):
     return graph.first_seen_ids(stack, "k", ["s", "id"])
 
 
+@query("""WITH K AS (SELECT md5(question1) AS t, min(qid1) AS i FROM train WHERE question1 IS NOT NULL AND qid1 IS NOT NULL GROUP BY ALL), W AS (SELECT DISTINCT md5(question1) AS t FROM test WHERE question1 IS NOT NULL),
+N AS (SELECT t, row_number() OVER (ORDER BY t) + 10000000 AS i FROM W WHERE t NOT IN (SELECT t FROM K)) SELECT t, i FROM K JOIN W USING (t) UNION ALL SELECT t, i FROM N""")
+def allocated_ids(spark, d):
+    """Question ids for the texts of test: those of train where it has the text, new ones else."""
+    known = table(spark, d, "train", "qid1", "question1").filter("question1 is not null and qid1 is not null").groupBy(F.md5("question1").alias("t")).agg(F.min("qid1").alias("i"))
+    return graph.allocate_ids(table(spark, d, "test", "question1").select(F.md5("question1").alias("t")), known, "t", "i", 10_000_000)
+
+
 @query(f"WITH {_N}, K AS (SELECT DISTINCT src, dst FROM E) SELECT src, count(*) AS degree FROM K GROUP BY src")
 def degree(spark, d):
     return graph.degree(graph.both_ways(_nodes(spark, d), "k1", "k2"))
@@ -707,6 +755,27 @@ def pad_sequences(spark, d):
     return corpus.padded_sequences(token_pairs(spark, d), "id", "a", ["a", "b"], 30, 200_000).select("id", F.array_join(F.transform("seq", lambda x: x.cast("string")), " ").alias("seq"))
 
 
+@query(f"""WITH {P}, L AS (SELECT id, label, length(q1) AS z1, length(q2) AS z2 FROM P), S AS (SELECT id, {_P(1)} AS f1 FROM P WHERE id % 2 = 0)
+SELECT id, CAST(z1 AS INTEGER) AS z1, CAST(z2 AS INTEGER) AS z2, round(coalesce(f1, 0), 6) AS f1, round(CASE WHEN label = 1 THEN 0.472001959 ELSE 1.309028344 END, 9) AS weight FROM L LEFT JOIN S USING (id)""")
+def feature_matrix_join(spark, d):
+    """Feature tables joined by key, gaps 0, with the weight of the row's class."""
+    p = pairs(spark, d)
+    z = p.select("id", F.length("q1").alias("z1"), F.length("q2").alias("z2"))
+    f = _scores(spark, d).filter("id % 2 = 0").select("id", F.col("p1").alias("f1"))
+    return rows.join_features(p.select("id", "label"), [z, f], ["id"]).select("id", "z1", "z2", r("f1").alias("f1"), rows.prior_weight(F.col("label")).alias("weight"))
+
+
+@query(f"""WITH {T}, {_WV}, B AS (SELECT w, count(*) AS n FROM (SELECT unnest(a) AS w FROM T UNION ALL SELECT unnest(b) FROM T) GROUP BY w), R AS (SELECT w, row_number() OVER (ORDER BY n DESC, w) - 1 AS k FROM B)
+SELECT w AS word, k, round(coalesce(list_sum(vec), 0), 4) AS total FROM R LEFT JOIN WV ON w = word""")
+def embedding_matrix(spark, d):
+    """The vocabulary by falling frequency, each word with its vector or zeros; the sum of the vector stands for it."""
+    t = token_pairs(spark, d)
+    counts = t.select(F.explode(F.concat("a", "b")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    vocabulary = rows.numbered(counts.withColumn("_k", -F.col("n")), ["_k", "word"], "k").select("word", "k")
+    m = embed.embedding_matrix(vocabulary, embed.unique_words(table(spark, d, "word_vectors", "word", "vec")), 300)
+    return m.select("word", "k", r(F.aggregate("vec", F.lit(0.0), lambda x, y: x + y), 4).alias("total"))
+
+
 @query("""SELECT split, CAST(is_null AS BOOLEAN) AS no_label, count(*) AS n FROM (SELECT DISTINCT 'train' AS split, id, is_duplicate IS NULL AS is_null FROM train
 UNION ALL SELECT DISTINCT 'test', test_id, true FROM test) GROUP BY ALL""")
 def train_and_test(spark, d):
@@ -825,6 +894,17 @@ def synonym_expansion(spark, d):
     return embed.expand(t, "id", F.col("a"), syn).select("id", F.array_join("tokens", " ").alias("tokens"))
 
 
+@query()
+def expanded_weight_share(spark, d):
+    """Weight share of the two texts after each word was replaced by its nearest words in learned vectors."""
+    t = token_pairs(spark, d)
+    syn = learn.synonym_table(learn.learned_vectors(t, "a", least=5))
+    a, b = embed.expand(t, "id", F.col("a"), syn), embed.expand(t, "id", F.col("b"), syn)
+    both = a.join(b.withColumnRenamed("tokens", "other"), "id")
+    share = corpus.weight_share(corpus.pair_tokens(both, "id", F.col("tokens"), F.col("other")), "id", _weights(pairs(spark, d)))
+    return share.select("id", r("share").alias("share"))
+
+
 @query()
 def gram_svd(spark, d):
     """First components of the hashed character trigrams of both texts."""

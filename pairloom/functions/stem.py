@@ -86,6 +86,86 @@ def porter(w: str) -> str:
     return w
 
 
+# Endings of steps 2 to 4 of the published English Snowball algorithm, and its exceptions.
+SNOWBALL2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al", "alli": "al", "fulness": "ful", "ousli": "ous", "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "ogi": "og", "fulli": "ful", "lessli": "less", "li": ""}
+SNOWBALL3 = {"ational": "ate", "tional": "tion", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""}
+SNOWBALL4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion"]
+SNOWBALL_WORDS = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl", "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas", "cosmos": "cosmos", "bias": "bias", "andes": "andes"}
+SNOWBALL_KEPT = {"inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"}
+
+
+def _after(w: str, start: int) -> int:
+    """Where the region after the first non-vowel that follows a vowel begins."""
+    for i in range(start + 1, len(w)):
+        if w[i] not in "aeiouy" and w[i - 1] in "aeiouy":
+            return i + 1
+    return len(w)
+
+
+def _short(w: str) -> bool:
+    """The word ends in a short syllable."""
+    v = "aeiouy"
+    if len(w) == 2:
+        return w[0] in v and w[1] not in v
+    return len(w) > 2 and w[-1] not in v + "wxY" and w[-2] in v and w[-3] not in v
+
+
+def snowball(word: str) -> str:
+    """The English Snowball algorithm (Porter 2) on a word in lower case."""
+    if len(word) <= 2:
+        return word
+    if word in SNOWBALL_WORDS:
+        return SNOWBALL_WORDS[word]
+    w = word.lstrip("'")
+    w = "".join("Y" if c == "y" and (i == 0 or w[i - 1] in "aeiouy") else c for i, c in enumerate(w))
+    head = next((p for p in ("gener", "commun", "arsen") if w.startswith(p)), None)
+    r1 = len(head) if head else _after(w, 0)
+    r2 = _after(w, r1)
+    for e in ("'s'", "'s", "'"):
+        if w.endswith(e):
+            w = w[: -len(e)]
+            break
+    if w.endswith("sses"):
+        w = w[:-2]
+    elif w.endswith(("ied", "ies")):
+        w = w[:-2] if len(w) > 4 else w[:-1]
+    elif w.endswith("s") and not w.endswith(("us", "ss")) and any(c in "aeiouy" for c in w[:-2]):
+        w = w[:-1]
+    if w in SNOWBALL_KEPT:
+        return w
+    e = _longest(w, ("eedly", "eed", "ingly", "edly", "ing", "ed"))
+    if e in ("eedly", "eed"):
+        if len(w) - len(e) >= r1:
+            w = w[: -len(e)] + "ee"
+    elif e and any(c in "aeiouy" for c in w[: -len(e)]):
+        w = w[: -len(e)]
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif len(w) > 1 and w[-1] == w[-2] and w[-1] in "bdfgmnprt":
+            w = w[:-1]
+        elif r1 >= len(w) and _short(w):
+            w += "e"
+    if len(w) > 2 and w[-1] in "yY" and w[-2] not in "aeiouy":
+        w = w[:-1] + "i"
+    e = _longest(w, SNOWBALL2)
+    if e and len(w) - len(e) >= r1:
+        stem = w[: -len(e)]
+        if (e != "ogi" or stem.endswith("l")) and (e != "li" or stem[-1:] in set("cdeghkmnrt")):
+            w = stem + SNOWBALL2[e]
+    e = _longest(w, SNOWBALL3)
+    if e and len(w) - len(e) >= (r2 if e == "ative" else r1):
+        w = w[: -len(e)] + SNOWBALL3[e]
+    e = _longest(w, SNOWBALL4)
+    if e and len(w) - len(e) >= r2 and (e != "ion" or w[: -len(e)].endswith(("s", "t"))):
+        w = w[: -len(e)]
+    if w.endswith("e"):
+        if len(w) - 1 >= r2 or (len(w) - 1 >= r1 and not _short(w[:-1])):
+            w = w[:-1]
+    elif w.endswith("ll") and len(w) - 1 >= r2:
+        w = w[:-1]
+    return w.lower()
+
+
 _RULE = re.compile(r"^([a-z]+)(\*?)(\d)([a-z]*)([>.])$")
 _RULES: dict[str, list[tuple]] = {}
 for _r in fixed.LANCASTER:
@@ -130,7 +210,7 @@ def _udf(f):
     return run
 
 
-porter_udf, lancaster_udf = _udf(porter), _udf(lancaster)
+porter_udf, lancaster_udf, snowball_udf = _udf(porter), _udf(lancaster), _udf(snowball)
 
 
 def porter_tail(text: Column) -> Column:

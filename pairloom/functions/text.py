@@ -31,6 +31,23 @@ def vectorizer_words(text: Column, stops: list[str] | None = None) -> Column:
     return F.filter(ws, lambda w: ~w.isin(stops)) if stops else ws
 
 
+def alphabetic(text: Column) -> Column:
+    """Runs of letters, case kept."""
+    return F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0))
+
+
+#: Contractions and punctuation that a treebank tokenizer sets apart.
+TREEBANK = r"""'(?i:s|re|ve|ll|d|m)\b|(?i:n't)\b|\.\.\.|--|[\p{L}\p{Nd}]+?(?=(?i:n't)\b)|[\p{L}\p{Nd}]+(?:[-.,:/&][\p{L}\p{Nd}]+)*|[^\s\p{L}\p{Nd}]"""
+
+
+def treebank_words(text: Column) -> Column:
+    """Words, contractions (n't, 's) and punctuation marks as tokens of their own, in the manner of treebank tokenizers.
+
+    Numbers and words joined by a hyphen, full stop, comma, colon or slash stay whole.
+    """
+    return F.regexp_extract_all(text, F.lit(TREEBANK), F.lit(0))
+
+
 def word_ngrams(a: Column, n: int) -> Column:
     """n-grams of a token array, a blank between their tokens; none if there are fewer than n tokens."""
     return F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(1), F.size(a) - (n - 1)), lambda i: F.array_join(F.slice(a, i, n), " "))).otherwise(F.array().cast("array<string>"))

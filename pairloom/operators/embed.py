@@ -162,6 +162,11 @@ def _nearest_small(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     return index.filter("vec is not null").select("item", "vec").mapInArrow(run, f"query {kind}, item {kind}, score double")
 
 
+def embedding_matrix(vocabulary: DataFrame, words: DataFrame, dims: int) -> DataFrame:
+    """``vocabulary`` (word, k) with the word's vector, zeros for an unknown word."""
+    return vocabulary.join(words.select("word", F.transform("vec", lambda x: x.cast("double")).alias("vec")), "word", "left").withColumn("vec", F.coalesce("vec", F.array_repeat(F.lit(0.0), dims)))
+
+
 def expand(rows: DataFrame, key: str, array: Column, synonyms: DataFrame) -> DataFrame:
     """(key, tokens): each token replaced by its synonyms (word, syns) in order, unknown ones kept."""
     long = rows.select(key, F.posexplode(array).alias("pos", "word")).join(synonyms, "word", "left")

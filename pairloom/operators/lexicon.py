@@ -5,6 +5,7 @@ Tables: ``senses`` (lemma, sense, gloss) and ``parents`` (sense, parent). Both m
 * :func:`ancestors` - every more general sense and how many steps away it is.
 * :func:`similarities` - path similarity 1 / (steps + 1) and Wu-Palmer similarity 2 depth(common) / (depth(a) + depth(b)).
 * :func:`disambiguate` - the sense of each word whose gloss shares most words with the text (Lesk), ties by sense.
+* :func:`look_up_words` - lemmas or tags of a text's words by a dictionary.
 * :func:`overall` - for each word of one text its best counterpart's similarity, summed, over the words of both texts.
 """
 
@@ -43,6 +44,22 @@ def similarities(pairs: DataFrame, up: DataFrame) -> DataFrame:
     return pairs.join(best.select("a", "b", (1 / (F.col("steps") + 1)).alias("path"), wup.alias("wup")), ["a", "b"], "left")
 
 
+def look_up_words(texts: DataFrame, key: str, words: Column, dictionary: DataFrame, value: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, found): for each word, in order, its ``value`` in ``dictionary`` (word, value; one row per word).
+
+    Without ``keep`` an unknown word stands for itself (lemmas); with ``keep`` the words whose value begins with one of its entries
+    are returned (parts of speech).
+    """
+    long = texts.select(key, F.posexplode(words).alias("pos", "word")).join(dictionary.select("word", F.col(value).alias("v")), "word", "left")
+    if keep:
+        ok = F.lit(False)
+        for k in keep:
+            ok = ok | F.coalesce(F.startswith("v", F.lit(k)), F.lit(False))
+        long = long.filter(ok).withColumn("v", F.col("word"))
+    back = long.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("v", "word").alias("v")))).alias("x"))  # the words of one text
+    return texts.select(key).join(back, key, "left").select(key, F.coalesce(F.transform("x", lambda s: s["v"]), F.array().cast("array<string>")).alias("found"))
+
+
 def disambiguate(texts: DataFrame, key: str, words: Column, senses: DataFrame) -> DataFrame:
     """(key, pos, word, sense) of the words that the lexicon has."""
     long = texts.select(key, F.posexplode(words).alias("pos", "word"))

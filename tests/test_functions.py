@@ -102,6 +102,18 @@ def test_stemmers():
         assert stem.lancaster(w) == s, w
 
 
+def test_snowball():
+    for w, s in {"consistently": "consist", "generously": "generous", "knightly": "knight", "skies": "sky", "proceed": "proceed", "cried": "cri", "ties": "tie", "gaps": "gap", "hoping": "hope", "hopping": "hop", "luxuriating": "luxuri", "kneeled": "kneel", "relational": "relat", "by": "by", "say": "say", "nationality": "nation", "knocks": "knock"}.items():
+        assert stem.snowball(w) == s, w
+
+
+def test_tokenizers(spark):
+    d = spark.createDataFrame([("I don't know; it's 3.5 state-of-the-art... Über x2?",)], "q string")
+    out = d.select(tx.treebank_words(F.col("q")), tx.alphabetic(F.col("q"))).first()
+    assert out[0] == ["I", "do", "n't", "know", ";", "it", "'s", "3.5", "state-of-the-art", "...", "Über", "x2", "?"]
+    assert out[1][:4] == ["I", "don", "t", "know"] and out[1][-1] == "x"
+
+
 def test_stem_words_keep_order(spark):
     d = spark.createDataFrame([(1, ["running", "maximum", "running"]), (2, [])], "id long, t array<string>")
     assert {r.id: r.stems for r in stem.stem_words(d, "id", F.col("t")).collect()} == {1: ["run", "maxim", "run"], 2: []}

@@ -141,6 +141,13 @@ def test_lexicon(spark, work):
     assert both[0].similarity == pytest.approx((0.2 + 1 / 3) / 2 / 2)
 
 
+def test_dictionary(spark):
+    texts = spark.createDataFrame([(1, ["cats", "run", "x"]), (2, [])], "id long, w array<string>")
+    lemmas = spark.createDataFrame([("cats", "cat", "NNS"), ("run", "run", "VB")], "word string, lemma string, tag string")
+    assert {r.id: r.found for r in lexicon.look_up_words(texts, "id", F.col("w"), lemmas, "lemma").collect()} == {1: ["cat", "run", "x"], 2: []}
+    assert {r.id: r.found for r in lexicon.look_up_words(texts, "id", F.col("w"), lemmas, "tag", ("N", "J")).collect()} == {1: ["cats"], 2: []}
+
+
 def test_files(spark, tmp_path):
     p = tmp_path / "pairs.csv"
     p.write_text('id,qid1,qid2,question1,question2,is_duplicate\n1,2,3,"a ""b""\nc",,0\n')
