@@ -3,11 +3,10 @@
 Suffixes start at word boundaries. The array is partitioned by each suffix's first words (its head), so that every run of
 suffixes with a common prefix of at least a head's length lies in one partition, and it is sorted within.
 
-* :func:`shared_spans` - suffixes in the order of the text: for every suffix of one split the longest common prefix with the
-  neighbouring suffixes of the other split, which is the longest match anywhere in it.
-* :func:`coverage` - those spans merged into the share of each record's words that stands in the other split.
-* :func:`near_pairs` - suffixes of texts whose words are put in one order, rare ones first: pairs of texts with at most
-  two words each that the other lacks.
+* :func:`shared_spans` - suffixes in the order of the text: those that have a long common prefix with a suffix of the other split.
+* :func:`coverage` - these spans merged into the number of each text's words that stand in the other split.
+* :func:`near_pairs` - the same array over texts whose words are put in one order, rare ones first, as the order of the words makes no
+  difference there: pairs of texts with at most two words each that the other lacks.
 
 Texts equal word for word are one text in the array, however often they occur; copies are put back by their key.
 A null or empty text has no words and no suffixes; nothing is cut from long ones.
@@ -17,7 +16,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
@@ -112,72 +111,54 @@ def found(train: DataFrame, test: DataFrame, work: Workspace) -> DataFrame:
 # ---- suffixes in the order of the text
 
 
-def shared_spans(texts: DataFrame, length: int = 5) -> DataFrame:
-    """Spans of at least ``length`` words that a text shares with a text of the other split.
+def suffixes(texts: DataFrame, length: int) -> DataFrame:
+    """(text_key, start, head) of every suffix of at least ``length`` words, start from 0; head is the hash of its first words."""
+    at = F.explode(F.sequence(F.lit(0), F.size("words") - length))
+    long = texts.filter(F.size("words") >= length).select("text_key", "words", at.alias("start"))
+    return long.select("text_key", "start", F.xxhash64(F.slice("words", F.col("start") + 1, length)).alias("head"))
+
 
-    ``texts``: text_key, split (two values), words; one row per text and split. Returns text_key, split, start (from 0) and
-    words of each span: for every suffix the longest common prefix with a suffix of the other split. In a sorted array that is the
-    last one of the other split before it or the first one after it.
+def shared_spans(texts: DataFrame, others: DataFrame, length: int = 5) -> DataFrame:
+    """(text_key, start) of every suffix of ``texts`` whose common prefix with a suffix of ``others`` has at least ``length`` words.
+
+    Both have text_key and words. The suffixes of both splits are brought into one sorted array, partitioned by head, by a merge join; equal
+    heads stand side by side there, so a suffix has a neighbour of the other split exactly if its head is among theirs. Suffixes with a
+    longer common prefix show as further suffixes that start within it, so no span is cut. Heads of the other split
+    are made distinct within each partition before they are sent, so a much repeated passage is one entry.
     """
-    at = F.explode(F.sequence(F.lit(0), F.size("words") - length))
-    suffix = (
-        texts.filter(F.size("words") >= length)
-        .select("text_key", "split", "words", at.alias("start"))
-        .select("text_key", "split", "start", F.expr("slice(words, start + 1, size(words))").alias("suffix"))
-        .withColumn("head", F.xxhash64(F.slice("suffix", 1, length)))
-    )
-    # suffixes that are equal in all their words within a split are one entry of the array
-    entry = suffix.groupBy("head", "suffix", "split").agg(F.count(F.lit(1)).alias("n"))
-    both = entry.groupBy("head").agg(F.min("split").alias("lo"), F.max("split").alias("hi")).filter("lo <> hi").select("head")
-    w = Window.partitionBy("head").orderBy("suffix", "split")
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("head").orderBy(F.desc("suffix"), F.desc("split")).rowsBetween(Window.unboundedPreceding, -1)
-    mine = F.col("split")
-    lo, hi = F.min("split").over(Window.partitionBy("head")), F.max("split").over(Window.partitionBy("head"))
-    near = entry.join(both, "head").withColumns({"lo": lo, "hi": hi})
-    for side in ("lo", "hi"):
-        own = F.when(mine == F.col(side), F.col("suffix"))
-        near = near.withColumns({f"{side}_before": F.last(own, True).over(before), f"{side}_after": F.last(own, True).over(after)})
-    other = lambda d: F.when(mine == F.col("lo"), F.col(f"hi_{d}")).otherwise(F.col(f"lo_{d}"))
-
-    def lcp(a: Column, b: Column) -> Column:
-        n = F.least(F.size(a), F.size(b))
-        stop = F.array_position(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x == y), False)
-        return F.when(b.isNull(), 0).otherwise(F.when(stop == 0, n).otherwise((stop - 1).cast("int")))
-
-    near = near.withColumns({"p": other("before"), "q": other("after")}).select("head", "suffix", "split", F.greatest(lcp(F.col("suffix"), F.col("p")), lcp(F.col("suffix"), F.col("q"))).alias("span"))
-    return suffix.join(near.filter(F.col("span") >= length), ["head", "suffix", "split"]).select("text_key", "split", "start", F.col("span").alias("words"))
-
-
-def coverage(spans: DataFrame) -> DataFrame:
-    """Words of each (text_key, split) that lie in at least one span; overlapping spans count once."""
-    w = Window.partitionBy("text_key", "split").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    end = F.col("start") + F.col("words")
-    reached = F.coalesce(F.max(end).over(w), F.lit(0))
-    new = F.greatest(end - F.greatest(F.col("start"), reached), F.lit(0))
-    return spans.withColumn("new", new).groupBy("text_key", "split").agg(F.sum("new").cast("long").alias("covered"))
+    heads_ = suffixes(others, length).select("head").distinct()
+    return suffixes(texts, length).join(heads_.hint("merge"), "head", "left_semi").select("text_key", "start")
+
+
+def coverage(spans: DataFrame, length: int = 5) -> DataFrame:
+    """(text_key, covered): words of each text that lie in at least one span of ``length`` words; overlapping spans are merged."""
+    s = spans.groupBy("text_key").agg(F.array_sort(F.collect_list("start")).alias("s"))  # positions within one text
+    steps = F.zip_with(F.slice("s", 2, F.size("s")), "s", lambda nxt, at: F.least(F.coalesce(nxt - at, F.lit(length)), F.lit(length)))
+    return s.select("text_key", F.aggregate(steps, F.lit(0), lambda acc, x: acc + x).cast("long").alias("covered"))
 
 
 def report(train: DataFrame, test: DataFrame, work: Workspace, share: float = 0.8, length: int = 5) -> DataFrame:
     """Per split and source of test: records, questions of at least ``length`` words, and how many are covered by at least ``share``.
 
     source is trimmed and in lower case with ``_`` for ``-``; null stays null. A test record that arrives again counts once.
+    Copies of a text are one text of the array; texts are known by the 64-bit hash of their words.
     """
     said = lambda c: F.array_join(words(c), " ")
-    t = train.select(said("question1").alias("text")).distinct().withColumn("split", F.lit("train"))
+    key = F.xxhash64("text").alias("text_key")
+    t = train.select(said("question1").alias("text")).distinct().select(key, F.split("text", " ").alias("words"))
     source = F.replace(F.lower(F.regexp_replace("source", r"^\s+|\s+$", "")), F.lit("-"), F.lit("_"))
     rows = test.dropDuplicates(["test_id"]).select("test_id", "split", source.alias("source"), F.explode(F.array(said("question1"), said("question2"))).alias("text"))
-    rows = work.save(rows, "test_rows")
-    q = rows.select("text").distinct().withColumn("split", F.lit("test"))
-    texts = t.unionByName(q).withColumn("words", F.split("text", " ")).withColumn("text_key", F.col("text"))
-    covered = coverage(shared_spans(texts.select("text_key", "split", "words"), length)).filter("split = 'test'").select(F.col("text_key").alias("text"), "covered")
-    n = F.size(F.split("text", " "))
-    told = rows.join(covered, "text", "left")
+    rows = work.save(rows.select("test_id", "split", "source", key, F.filter(F.split("text", " "), lambda w: w != "").alias("words")), "test_rows")
+    q = rows.dropDuplicates(["text_key"]).select("text_key", "words")
+    covered = coverage(shared_spans(q, t, length), length)
+    told = rows.select("test_id", "split", "source", "text_key", F.size("words").alias("n")).join(covered, "text_key", "left")
+    c, n = F.coalesce("covered", F.lit(0)), F.col("n")
     return (
         told.groupBy("split", "source")
         .agg(
             F.countDistinct("test_id").alias("records"),
             F.sum((n >= length).cast("long")).alias("questions"),
-            F.sum((F.coalesce("covered", F.lit(0)) >= share * n).cast("long")).alias("overlapping"),
-            F.sum((F.coalesce("covered", F.lit(0)) == n).cast("long")).alias("identical_span"),
+            F.sum(((n >= length) & (c >= share * n)).cast("long")).alias("overlapping"),
+            F.sum(((n >= length) & (c == n)).cast("long")).alias("covered_whole"),
         )
     )
