@@ -323,7 +323,7 @@ def gram_vocabulary(spark, d):
     return spark.createDataFrame([(g,) for g in corpus.top_grams(t, (1, 2, 3), 400, 1000, 0.999)], "gram string")
 
 
-@query(_VOCAB + ", A AS (SELECT list(gram ORDER BY gram) AS g FROM K) SELECT id, array_to_string(list_transform(g, lambda x: CAST(-CAST(contains(lower(q1), x) <> contains(lower(q2), x) AS INT) AS VARCHAR)), ' ') AS mismatch FROM P, A")
+@query(_VOCAB + ", A AS (SELECT coalesce(list(gram ORDER BY gram), []) AS g FROM K) SELECT id, array_to_string(list_transform(g, lambda x: CAST(-CAST(contains(lower(q1), x) <> contains(lower(q2), x) AS INT) AS VARCHAR)), ' ') AS mismatch FROM P, A")
 def bag_mismatch(spark, d):
     df = pairs(spark, d)
     grams = corpus.top_grams(df.select(F.explode(F.array("q1", "q2")).alias("text")), (1, 2, 3), 400, 1000, 0.999)
@@ -756,7 +756,7 @@ def pad_sequences(spark, d):
 
 
 @query(f"""WITH {P}, L AS (SELECT id, label, length(q1) AS z1, length(q2) AS z2 FROM P), S AS (SELECT id, {_P(1)} AS f1 FROM P WHERE id % 2 = 0)
-SELECT id, CAST(z1 AS INTEGER) AS z1, CAST(z2 AS INTEGER) AS z2, round(coalesce(f1, 0), 6) AS f1, round(CASE WHEN label = 1 THEN 0.472001959 ELSE 1.309028344 END, 9) AS weight FROM L LEFT JOIN S USING (id)""")
+SELECT id, CAST(z1 AS INTEGER) AS z1, CAST(z2 AS INTEGER) AS z2, round(coalesce(f1, 0), 6) AS f1, CAST(CASE WHEN label = 1 THEN 0.472001959 ELSE 1.309028344 END AS DOUBLE) AS weight FROM L LEFT JOIN S USING (id)""")
 def feature_matrix_join(spark, d):
     """Feature tables joined by key, gaps 0, with the weight of the row's class."""
     p = pairs(spark, d)

@@ -1,5 +1,6 @@
 """The queries against their SQL, on the smallest tables."""
 
+from decimal import Decimal
 from pathlib import Path
 
 import duckdb
@@ -12,6 +13,8 @@ HEAVY = {"pagerank"}
 
 
 def plain(v):
+    if isinstance(v, Decimal):
+        v = float(v)
     if isinstance(v, float):
         return None if v != v else round(v, 5) + 0.0
     if isinstance(v, (list, tuple)):
