@@ -3,6 +3,7 @@
 * :func:`hot_keys` - the keys whose load is above a share of the whole; their number is bounded by the share.
 * :func:`hot_cold_join` - join a large side to one row per key; hot keys are joined by broadcast of their (bounded)
   rows, all others by a shuffle.
+* :func:`join_by_load` - the same where the joined rows carry the load of their key, for keys of several columns.
 * :func:`plan_shards` - fragment-replicate plan by estimated load: keys larger than a task's share are split into shards
   in proportion to their load, the shards are bin-packed to tasks, all other keys are hashed to tasks.
 * :func:`fragment_replicate_join` - join by such a plan: the loaded side is fragmented, the matching side is
@@ -55,6 +56,20 @@ def hot_cold_join(left: DataFrame, right: DataFrame, key: str, hot: list, how: s
     return near.unionByName(far)
 
 
+def join_by_load(left: DataFrame, right: DataFrame, on: list[str], load: str, total: int, share: float = HOT_SHARE) -> DataFrame:
+    """Inner join of ``left`` to ``right``, which has one row per key with ``load``, the key's rows in ``left`` (``total`` in all).
+
+    Rows of ``right`` with more than ``share`` of the total, at most 1 / share, are broadcast; all others are joined by a shuffle in
+    which the rows of ``left`` for those keys take no part. ``load`` isn't in the result.
+    """
+    if total <= FEW_ROWS:
+        return left.join(right.drop(load), on)
+    hot = F.col(load) > share * total
+    big = right.filter(hot).drop(load)
+    near = left.join(F.broadcast(big), on)
+    return near.unionByName(left.join(F.broadcast(big.select(*on)), on, "left_anti").join(right.filter(~hot).drop(load), on))
+
+
 @dataclass
 class ShardPlan:
     """Task ``bins``; ``split`` maps each key that is split to the task of each of its shards."""

@@ -54,3 +54,12 @@ def test_hot_cold_join(spark, monkeypatch):
     monkeypatch.setattr(skew, "FEW_ROWS", 0)
     loads = left.groupBy("k").agg(F.count("*").alias("load"))
     assert skew.hot_keys(loads, "k", share=0.5) == [1]
+
+
+def test_join_by_load(spark, monkeypatch):
+    left = spark.createDataFrame([(1, 1, i) for i in range(50)] + [(1, 2, 1), (None, 2, 2)], "k long, l long, x long")
+    right = spark.createDataFrame([(1, 1, 50, "a"), (1, 2, 1, "b"), (3, 3, 0, "c")], "k long, l long, n long, y string")
+    want = sorted(map(tuple, left.join(right.drop("n"), ["k", "l"]).collect()))
+    for few in (0, 1000):
+        monkeypatch.setattr(skew, "FEW_ROWS", few)
+        assert sorted(map(tuple, skew.join_by_load(left, right, ["k", "l"], "n", 51).collect())) == want
