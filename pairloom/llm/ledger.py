@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..operators.skew import join_by_load
 from ..plans.work import Workspace
 
 
@@ -81,8 +82,10 @@ class Ledger:
         """(keep_id, id) of every member but the one kept."""
         if not self.members:
             return self.work.spark.createDataFrame([], "keep_id long, id long")
-        again = self.counts().filter("copies > 1").select("h1", "h2", "keep_id")
-        return reduce(DataFrame.unionByName, self.members).join(again, ["h1", "h2"]).filter("id <> keep_id").select("keep_id", "id")
+        again = self.counts().filter("copies > 1").select("h1", "h2", "keep_id", "copies")
+        total = self.counts().agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+        told = join_by_load(reduce(DataFrame.unionByName, self.members), again, ["h1", "h2"], "copies", total)
+        return told.filter("id <> keep_id").select("keep_id", "id")
 
 
 def ledger_of(pairs: DataFrame, work: Workspace, batches: int = 3, by: str = "loaded_at") -> Ledger:

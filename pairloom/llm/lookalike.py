@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_by_load
+
 #: Letters of other alphabets and the Latin letters that they look like (fixed values).
 LOOKALIKES = {
     "Cyrillic": ("АВЕІЈКМНОРСЅТУХҮԌԚԜаеіјорсѕухԁһԛԝѵ", "ABEIJKMHOPCSTYXYGQWaeijopcsyxdhqwv"),
@@ -106,8 +108,8 @@ def same_in_print(df: DataFrame, work, ident: str = "doc_id", text: str = "text"
     raw = df.select(F.col(ident).alias("id"), F.md5(text).alias("raw"))
     form = forms.select("id", F.md5("form").alias("form"))
     rows = work.save(form.join(raw, "id").distinct(), "forms")
-    many = rows.groupBy("form").agg(F.min("raw").alias("x"), F.max("raw").alias("y")).filter("x <> y").select("form")
-    v = work.save(rows.join(many, "form").select("form", "raw").distinct(), "variants")
+    many = rows.groupBy("form").agg(F.min("raw").alias("x"), F.max("raw").alias("y"), F.count(F.lit(1)).alias("load")).filter("x <> y").select("form", "load")
+    v = work.save(join_by_load(rows, many, ["form"], "load", rows.count()).select("form", "raw").distinct(), "variants")
     ab = v.select("form", F.col("raw").alias("raw_a")).join(v.select("form", F.col("raw").alias("raw_b")), "form").filter("raw_a < raw_b")
     a = rows.select(F.col("raw").alias("raw_a"), F.col("id").alias("ia"))
     b = rows.select(F.col("raw").alias("raw_b"), F.col("id").alias("ib"))
