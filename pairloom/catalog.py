@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .functions import clean, edit, fixed, lengths, sets, stem
+from .functions import clean, edit, fixed, grams, lengths, sets, stem
 from .functions import text as tx
 from .functions import vectors as V
 from .operators import corpus, embed, graph, learn, rows, skew
@@ -202,13 +202,13 @@ def _char_long(spark, d, n: int):
 
 
 def _char_grams(n: int):
+    def counted(spark, d):
+        return pairs(spark, d).select("id", grams.gram_counts(F.lower("q1"), F.lower("q2"), n).alias("g")).select("id", "g.*")
+
     def bags(spark, d):
-        df, long = _char_long(spark, d, n)
-        s = long.groupBy("id").agg(F.sum(F.col("c1") * F.col("c2")).alias("same"), F.sum("c1").alias("n1"), F.sum("c2").alias("n2"))
-        s = df.select("id").join(s, "id", "left").fillna(0)
-        tot = F.col("n1") + F.col("n2") + 1
-        return s.select(
-            "id", r(F.col("same") / ((tot - F.col("same")) + 1e-6)).alias("jaccard"), r(2 * F.col("same") / (tot + 1e-6)).alias("dice"), r(F.col("same") / (F.sqrt(F.col("n1") * F.col("n2") + 1) + 1e-6)).alias("ochiai")
+        tot, same = F.col("n1") + F.col("n2") + 1, F.col("same")
+        return counted(spark, d).select(
+            "id", r(same / ((tot - same) + 1e-6)).alias("jaccard"), r(2 * same / (tot + 1e-6)).alias("dice"), r(same / (F.sqrt(F.col("n1") * F.col("n2") + 1) + 1e-6)).alias("ochiai")
         )
 
     bags.__name__ = f"ngram_char{n}"
@@ -216,14 +216,9 @@ def _char_grams(n: int):
 SELECT id, round(same / ((n1 + n2 + 1 - same) + 1e-6), 6) AS jaccard, round(2 * same / ((n1 + n2 + 1) + 1e-6), 6) AS dice, round(same / (sqrt(n1 * n2 + 1) + 1e-6), 6) AS ochiai FROM S"""))(bags)
 
     def overlaps(spark, d):
-        df, long = _char_long(spark, d, n)
-        lo, hi = F.sum(F.least("c1", "c2")), F.sum(F.greatest("c1", "c2"))
-        s = long.groupBy("id").agg(
-            r(F.try_divide(F.count_if((F.col("c1") > 0) & (F.col("c2") > 0)), F.count(F.lit(1)))).alias("set_jaccard"),
-            r(F.try_divide(lo, F.sum(F.col("c1") + F.col("c2")))).alias("min_over_sum"),
-            r(F.try_divide(lo, hi)).alias("ruzicka"),
+        return counted(spark, d).select(
+            "id", r(F.try_divide("common", "either")).alias("set_jaccard"), r(F.try_divide("lesser", F.col("n1") + F.col("n2"))).alias("min_over_sum"), r(F.try_divide("lesser", "greater")).alias("ruzicka")
         )
-        return df.select("id").join(s, "id", "left")
 
     overlaps.__name__ = f"gram_overlap{n}"
     query(_gram_sql(n, """SELECT P.id, round(count(*) FILTER (c1 > 0 AND c2 > 0) / nullif(count(token), 0), 6) AS set_jaccard,
@@ -326,10 +321,10 @@ def gram_vocabulary(spark, d):
 @query(_VOCAB + ", A AS (SELECT coalesce(list(gram ORDER BY gram), []) AS g FROM K) SELECT id, array_to_string(list_transform(g, lambda x: CAST(-CAST(contains(lower(q1), x) <> contains(lower(q2), x) AS INT) AS VARCHAR)), ' ') AS mismatch FROM P, A")
 def bag_mismatch(spark, d):
     df = pairs(spark, d)
-    grams = corpus.top_grams(df.select(F.explode(F.array("q1", "q2")).alias("text")), (1, 2, 3), 400, 1000, 0.999)
-    if not grams:
+    kept = corpus.top_grams(df.select(F.explode(F.array("q1", "q2")).alias("text")), (1, 2, 3), 400, 1000, 0.999)
+    if not kept:
         return df.select("id", F.lit("").alias("mismatch"))
-    m = tx.let(lambda a, b: sets.mismatch(sorted(grams), a, b), F.lower("q1"), F.lower("q2"))
+    m = grams.mismatch(sorted(kept), F.lower("q1"), F.lower("q2"))
     return df.select("id", F.array_join(F.transform(m, lambda x: x.cast("string")), " ").alias("mismatch"))
 
 

@@ -72,8 +72,3 @@ def min_over_sum(a: Column, b: Column) -> Column:
 def ruzicka(a: Column, b: Column) -> Column:
     """Sum of the lesser counts over the sum of the greater counts; null if there are none."""
     return F.try_divide(_sum_of(F.least, a, b), _sum_of(F.greatest, a, b))
-
-
-def mismatch(vocabulary: list[str], a: Column, b: Column) -> Column:
-    """-1 for each gram of ``vocabulary`` that one text has and the other lacks, else 0."""
-    return F.transform(F.array(*map(F.lit, vocabulary)), lambda g: -(F.contains(a, g) != F.contains(b, g)).cast("int"))

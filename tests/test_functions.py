@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.functions import clean, edit, fixed, lengths, sets, stem
+from pairloom.functions import clean, edit, fixed, grams, lengths, sets, stem
 from pairloom.functions import text as tx
 from pairloom.functions import vectors as V
 
@@ -75,6 +75,13 @@ def test_lengths(df):
     assert dict(zip(names, out[7]))["wc_ratio"] is None
 
 
+def test_character_grams(spark):
+    d = spark.createDataFrame([("aab", "aba"), (None, "x"), ("", ""), ("añ", "ña")], "q1 string, q2 string")
+    out = [tuple(r.g) for r in d.select(grams.gram_counts(F.col("q1"), F.col("q2"), 2).alias("g")).collect()]
+    assert out == [(1, 2, 2, 1, 3, 1, 3), (0, 0, 0, 0, 0, 0, 0), (0, 0, 0, 0, 0, 0, 0), (0, 1, 1, 0, 2, 0, 2)]
+    assert [list(r[0]) for r in d.select(grams.mismatch(["a", "b", "ba", "x"], F.col("q1"), F.col("q2"))).collect()] == [[0, 0, -1, 0], [0, 0, 0, -1], [0] * 4, [0] * 4]
+
+
 def test_edit(df):
     out = rows(df, edit.edit_ratio("q1", "q2"), edit.sequence_ratio("q1", "q2"), edit.simhash_distance(F.col("a"), F.col("b")), edit.inverse_distance(F.col("q1"), F.col("q2")))
 
