@@ -6,10 +6,13 @@ join on the token. No vocabulary is collected but for :func:`top_grams`, whose s
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import char_ngrams, tokens
+from ..functions.text import tokens
 
 
 def both_texts(pairs: DataFrame, *others: DataFrame) -> DataFrame:
@@ -114,12 +117,24 @@ def weighted_overlap(long: DataFrame, key: str, weights: DataFrame, eps: float =
 def top_grams(texts: DataFrame, sizes: tuple[int, ...], most: int, least_df: int, share: float) -> list[str]:
     """The ``most`` frequent character grams in at least ``least_df`` and at most ``share`` of the distinct texts; ties by gram."""
     docs = texts.select(F.lower("text").alias("text")).distinct()
-    n = docs.count()
-    grams = F.concat(*[char_ngrams(F.col("text"), k) for k in sizes])
-    long = docs.select("text", F.explode(grams).alias("gram")).groupBy("text", "gram").agg(F.count(F.lit(1)).alias("cnt"))
-    tally = long.groupBy("gram").agg(F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("df"))
-    kept = tally.filter((F.col("df") >= least_df) & (F.col("df") <= share * n)).orderBy(F.desc("n"), "gram").limit(most)
-    return [r.gram for r in kept.collect()]
+
+    def tally(batches):
+        # grams of a batch are added up before they are sent; the marker row counts the texts
+        for batch in batches:
+            n, df = Counter(), Counter()
+            for t in batch.column("text").to_pylist():
+                own = Counter(t[i : i + k] for k in sizes for i in range(len(t) - k + 1)) if t else Counter()
+                n.update(own)
+                df.update(own.keys())
+            cols = ([*n, None], [*n.values(), 0], [*(df[g] for g in n), batch.num_rows])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["gram", "n", "df"])
+
+    grams = docs.mapInArrow(tally, "gram string, n long, df long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("df").alias("df")).persist()
+    whole = grams.filter("gram is null").select("df").first()
+    kept = grams.filter("gram is not null").filter((F.col("df") >= least_df) & (F.col("df") <= share * (whole.df if whole else 0))).orderBy(F.desc("n"), "gram").limit(most)
+    out = [r.gram for r in kept.collect()]
+    grams.unpersist()
+    return out
 
 
 def padded_sequences(df: DataFrame, key: str, array: str, vocabulary: list[str], length: int, most: int) -> DataFrame:
