@@ -16,18 +16,32 @@ import heapq
 import json
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Where the tokenizers' files are.
 TOKENIZERS = "/opt/tokenizers"
+#: What merges may not cross, as the vocabulary's publishers give it (fixed value).
+WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters outside the blocks where this pattern and the library's own cutting are known to agree (they differ in what newer
+#: versions of Unicode have added). A text with such a character is cut by the library.
+UNSURE = r"[^\u0000-\u0557\u0900-\u0BFF\u1E00-\u2070\u20A0-\u20BF\u2100-\u2BFF\u3000-\u9FFC\uAC00-\uD7A3\uF900-\uFAFF\uFE00-\uFE0F\uFEFF\uFF00-\uFFFD\U0001F300-\U0001F64F]"
 #: Words that a task remembers; then it forgets them all and goes on.
 REMEMBERED = 1_000_000
 
 
+def _byte_alphabet() -> list[str]:
+    """The character that stands for each byte in the vocabulary file: printable Latin-1 for itself, others from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
 class MergeReplay:
     """Encoder of words with the merges of one vocabulary file (JSON of the ``tokenizers`` library)."""
 
@@ -36,22 +50,29 @@ class MergeReplay:
 
         spec = json.load(open(path, encoding="utf-8"))
         spec["added_tokens"] = []
-        self.cut = Tokenizer.from_str(json.dumps(spec)).pre_tokenizer.pre_tokenize_str
+        self._library = Tokenizer.from_str(json.dumps(spec)).pre_tokenizer
+        self._words, self._unsure = regex.compile(WORDS).findall, regex.compile(UNSURE).search
         vocab = spec["model"]["vocab"]
-        self.byte_ids = {c: i for c, i in vocab.items() if len(c) == 1}
+        self.byte_ids = [vocab[c] for c in _byte_alphabet()]
         merges = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         # a pair of token ids as one number -> (rank, id of the merged token)
         self.merges = {vocab[a] << 32 | vocab[b]: (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
         self.known: dict[str, list[int]] = {}
 
+    def cut(self, text: str) -> list[str]:
+        """The words of a text; together they are the text."""
+        if self._unsure(text):
+            return [text[a:b] for _, (a, b) in self._library.pre_tokenize_str(text)]
+        return self._words(text)
+
     def replay(self, words: list[str]) -> list[list[int]]:
-        """Token ids of each word; words are in the alphabet of bytes."""
+        """Token ids of each word."""
         byte_ids, merges = self.byte_ids, self.merges
         tok: list[int] = []
         begin: list[int] = []
         for w in words:
             begin.append(len(tok))
-            tok.extend([byte_ids[c] for c in w])
+            tok.extend([byte_ids[c] for c in w.encode()])
             tok.append(-1)  # the end of a word
         n = len(tok)
         nxt, prev = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -102,15 +123,14 @@ class MergeReplay:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        cut = [[w for w, _ in self.cut(t)] if t else () for t in texts]
-        new = list({w for ws in cut for w in ws if w not in known})
+        cut = [self.cut(t) if t else () for t in texts]
+        new = list(set(chain.from_iterable(cut)).difference(known))
         known.update(zip(new, self.replay(new)))
         flat: list[int] = []
         sizes = []
         for ws in cut:
             at = len(flat)
-            for w in ws:
-                flat += known[w]
+            flat.extend(chain.from_iterable(map(known.__getitem__, ws)))
             sizes.append(len(flat) - at)
         return flat, sizes
 

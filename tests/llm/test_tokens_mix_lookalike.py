@@ -46,6 +46,17 @@ def test_replay_of_any_texts(texts):
     assert [flat[a:b] for a, b in itertools.pairwise(at)] == [lib(t) if t else [] for t in texts]
 
 
+@needs
+def test_cutting_agrees_where_it_is_said_to():
+    enc = tokens._encoder(PATH)
+    for cp in range(0x110000):
+        c = chr(cp)
+        if 0xD800 <= cp < 0xE000 or enc._unsure(c):
+            continue
+        s = f"ab1{c}{c}c 2 {c}"
+        assert enc.cut(s) == [s[a:b] for _, (a, b) in enc._library.pre_tokenize_str(s)], hex(cp)
+
+
 def test_sainte_lague():
     assert mix.sainte_lague({"a": 53, "b": 24, "c": 23}, 7) == {"a": 3, "b": 2, "c": 2}
     assert mix.sainte_lague({"a": 0.5, "b": 0.5}, 10, {"a": 2, "b": 100}) == {"a": 2, "b": 8}
