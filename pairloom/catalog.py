@@ -452,12 +452,13 @@ def treebank_tokens(spark, d):
 # ---- graph
 
 
-def _nodes(spark, d):
-    """Pairs of train and test with the MD5 of their texts; null texts are empty."""
+def _nodes(spark, d, texts: bool = False):
+    """Pairs of train and test with the MD5 of their texts (and the texts), as a working table; null texts are empty."""
     tr = one_per_id(table(spark, d, "train", "id", "question1", "question2")).withColumn("split", F.lit("train"))
     te = one_per_id(table(spark, d, "test", "test_id", "question1", "question2"), "test_id").withColumnRenamed("test_id", "id").withColumn("split", F.lit("test"))
-    h = lambda c: F.md5(F.coalesce(c, F.lit("")))
-    return tr.unionByName(te).select("split", "id", h("question1").alias("k1"), h("question2").alias("k2"), F.coalesce("question1", F.lit("")).alias("q1"), F.coalesce("question2", F.lit("")).alias("q2"))
+    q1, q2 = (F.coalesce(c, F.lit("")) for c in ("question1", "question2"))
+    both = tr.unionByName(te).select("split", "id", F.md5(q1).alias("k1"), F.md5(q2).alias("k2"), *([q1.alias("q1"), q2.alias("q2")] if texts else []))
+    return Workspace(spark, "nodes").save(both, "nodes")
 
 
 _N = """N AS (SELECT split, id, md5(q1) AS k1, md5(q2) AS k2, q1, q2 FROM (SELECT DISTINCT 'train' AS split, id, coalesce(question1, '') AS q1, coalesce(question2, '') AS q2 FROM train
@@ -512,7 +513,7 @@ SELECT Q.k1, Q.k2, coalesce(c, 0) AS common, round(coalesce(I.w / nullif(a.t + b
 @query(_WM)
 def wm_ratio(spark, d):
     """Word-match weight of the edges to common neighbours."""
-    n = _nodes(spark, d)
+    n = _nodes(spark, d, texts=True)
     less = lambda c: F.filter(F.array_distinct(tx.tokens(F.lower(c))), lambda w: ~w.isin(fixed.ENGLISH_STOPS))
     w = n.select("k1", "k2", tx.let(sets.word_match_share, less("q1"), less("q2")).alias("weight"))
     e = graph.both_ways(w, "k1", "k2", "weight").groupBy("src", "dst").agg(F.max("weight").alias("weight"))
