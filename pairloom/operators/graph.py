@@ -7,10 +7,11 @@ rows are joined by :func:`pairloom.operators.skew.hot_cold_join` where one side
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.work import Workspace
+from .rows import numbered
 from .skew import hot_cold_join, hot_keys
 
 
@@ -110,8 +111,6 @@ def kcore(edges: DataFrame, work: Workspace, most_rounds: int = 10_000) -> DataF
     hot = hot_keys(deg, "src", total=rows)
     core = deg.select(F.col("src").alias("v"), F.col("load").alias("core"))
     last = None
-    from pyspark.sql import Window
-
     for i in range(most_rounds):
         # neighbours' values, cut at the vertex's own value: a histogram of at most core + 1 steps
         near = hot_cold_join(e.select(F.col("dst").alias("v"), "src"), core, "v", hot).select(F.col("src").alias("v"), F.col("core").alias("c"))
@@ -132,18 +131,14 @@ def kcore(edges: DataFrame, work: Workspace, most_rounds: int = 10_000) -> DataF
 def first_seen_ids(texts: DataFrame, text: str, position: list[str]) -> DataFrame:
     """(text, n): 0, 1, 2 ... in the order of first appearance by ``position``, without a single-task sort.
 
-    Rows are range-partitioned by position; a text's number is the count of earlier partitions plus its place in its own.
+    See :func:`pairloom.operators.rows.numbered`.
     """
     first = texts.filter(F.col(text).isNotNull()).groupBy(text).agg(F.min(F.struct(*position)).alias("at"))
-    from .rows import numbered
-
     return numbered(first, ["at"], "n").select(F.col(text).alias("text"), "n")
 
 
 def allocate_ids(wanted: DataFrame, known: DataFrame, key: str, ident: str, start: int) -> DataFrame:
     """(key, ident): the known id of each key, else a new one above ``start``, in the order of the keys."""
-    from .rows import numbered
-
     w = wanted.select(key).filter(F.col(key).isNotNull()).distinct()
     old = w.join(known.select(key, ident), key)
     new = numbered(w.join(known.select(key), key, "left_anti"), [key], ident).withColumn(ident, F.col(ident) + start + 1)

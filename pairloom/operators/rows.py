@@ -7,19 +7,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.work import Workspace
+
 
 def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
     """``df`` with ``name`` = 0, 1, 2 ... in the order of ``by`` (a unique key).
 
-    Rows are range-partitioned and sorted once and the sorted order is kept in a hidden partition number; offsets are the
-    running counts of partitions, as many rows as there are partitions.
+    Rows are range-partitioned and sorted, and each row's partition and place are written with it: a second computation might draw
+    other bounds, so all that follows reads what was written. A row's number is its place after the counts of the partitions
+    before its own, of which there are as many as partitions.
     """
-    ordered = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_p", F.spark_partition_id())
-    w = Window.partitionBy("_p").orderBy(*by)
-    placed = ordered.withColumn("_i", F.row_number().over(w) - 1)
-    counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    offsets = counts.withColumn("_o", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return placed.join(F.broadcast(offsets.select("_p", "_o")), "_p").withColumn(name, (F.col("_i") + F.col("_o")).cast("long")).drop("_p", "_i", "_o")
+    ordered = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    placed = Workspace(df.sparkSession, "numbered").save(ordered.withColumn("_m", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("_m", 33)
+    counts = placed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
+    place = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(offsets), part == F.col("_p")).withColumn(name, (place + F.col("_o")).cast("long")).drop("_p", "_o", "_m")
 
 
 def bucket(key: str, seed: str, n: int = 1_000_000) -> Column:
