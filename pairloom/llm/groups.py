@@ -143,7 +143,7 @@ def assign_splits(groups: DataFrame, targets: list[tuple[str, float]], seed: int
 
     Large groups (at most 1 / LARGE by definition) go, largest first, to the split that lacks most. The others lie in bands
     of size (powers of two) and, within a band, in cells of the hash of the root; a cell's groups, in hash order, are dealt
-    systematically: the one whose span of records covers a mark of a split goes there, with the shares the large ones left.
+    systematically: its records are a line that is cut in the shares the large ones left, and a group goes where its middle lies.
     """
     spark = groups.sparkSession
     total = groups.agg(F.sum("n")).first()[0] or 0
@@ -171,8 +171,9 @@ def assign_splits(groups: DataFrame, targets: list[tuple[str, float]], seed: int
     w = Window.partitionBy("band", "cell").orderBy("h", "grp")
     small = small.withColumn("mid", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") / 2)
     small = small.withColumn("sum_", F.sum("n").over(Window.partitionBy("band", "cell")))
-    # systematic: the golden-ratio walk spreads neighbours over the splits, whatever the order of sizes
-    at = F.pmod(F.col("mid") / F.col("sum_") + F.pmod(F.row_number().over(w) * 0.6180339887498949, F.lit(1.0)), F.lit(1.0))
+    # systematic with a random start: a cell's span of records, begun at a point that its hash draws, is cut at the marks
+    start = F.pmod(F.xxhash64("band", "cell", F.lit(seed)), F.lit(1_000_003)) / 1_000_003
+    at = F.pmod(F.col("mid") / F.col("sum_") + start, F.lit(1.0))
     split = F.coalesce(*[F.when(at < m, s) for s, m in marks[:-1]], F.lit(marks[-1][0])) if marks else F.lit(None).cast("string")
     return small.select("grp", split.alias("split")).unionByName(large)
 
