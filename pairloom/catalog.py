@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import clean, edit, fixed, grams, lengths, sets, stem
 from .functions import text as tx
 from .functions import vectors as V
-from .operators import corpus, embed, graph, learn, rows, skew
+from .operators import corpus, embed, graph, learn, lexicon, rows, skew
 from .plans.work import Workspace
 from .sources import files
 from .sources.tables import one_per_id, table
@@ -802,6 +802,48 @@ def pair_profile(spark, d):
     return t.select(source, m.alias("m")).groupBy("source").agg(F.count(F.lit(1)).alias("n"), r(F.avg("m.s")).alias("share"), r(F.avg("m.d")).alias("dice"), r(F.avg("m.w")).alias("wc_diff"))
 
 
+# ---- lexicon and files
+
+
+@query("""WITH N AS (SELECT n_nationkey AS i, n_name AS a, n_regionkey AS r FROM nation)
+SELECT x.a AS a, y.a AS b, round(CASE WHEN x.i = y.i THEN 1.0::DOUBLE WHEN x.r = y.r THEN 1.0 / 3 ELSE 1.0 / 5 END, 6) AS path, round(CASE WHEN x.i = y.i THEN 1.0::DOUBLE WHEN x.r = y.r THEN 2.0 / 3 ELSE 1.0 / 3 END, 6) AS wup FROM N x, N y WHERE x.i <= y.i""")
+def taxonomy_similarity(spark, d):
+    """Path and Wu-Palmer similarity of nations below regions below one root."""
+    n, g = table(spark, d, "nation", "n_nationkey", "n_name", "n_regionkey"), table(spark, d, "region", "r_regionkey")
+    region = lambda c: F.concat(F.lit("region "), c)
+    parents = n.select(F.col("n_name").alias("sense"), region("n_regionkey").alias("parent")).unionByName(g.select(region("r_regionkey").alias("sense"), F.lit("world").alias("parent")))
+    up = lexicon.ancestors(parents, Workspace(spark, "lexicon"))
+    k = n.select("n_nationkey", "n_name")
+    both = k.toDF("i", "a").join(k.toDF("j", "b"), F.col("i") <= F.col("j")).select("a", "b")  # 25 nations
+    return lexicon.similarities(both, up).select("a", "b", r("path").alias("path"), r("wup").alias("wup"))
+
+
+@query(f"""WITH {P}, {_WV}, X AS (SELECT id, unnest({_CLEANED.format('q1')}) AS w, generate_subscripts({_CLEANED.format('q1')}, 1) AS i FROM P), K AS (SELECT id, i, w FROM X JOIN WV ON w = word)
+SELECT P.id, coalesce(string_agg(w, ' ' ORDER BY i), '') AS found FROM P LEFT JOIN K USING (id) GROUP BY P.id""")
+def dictionary_words(spark, d):
+    """The words of question1 that a dictionary has with a tag asked for; here word_vectors' words, all tagged N."""
+    p = pairs(spark, d).select("id", tx.words("q1").alias("t"))
+    known = embed.unique_words(table(spark, d, "word_vectors", "word", "vec")).select("word", F.lit("NN").alias("tag"))
+    return lexicon.look_up_words(p, "id", F.col("t"), known, "tag", ("N",)).select("id", F.array_join("found", " ").alias("found"))
+
+
+@query("SELECT id, qid1, qid2, nullif(question1, '') AS question1, nullif(question2, '') AS question2, is_duplicate FROM (SELECT DISTINCT id, qid1, qid2, question1, question2, is_duplicate FROM train)")
+def csv_round_trip(spark, d):
+    """The pairs written as CSV and read again with the schema of a training file; CSV has one form for null and empty."""
+    path = Workspace(spark, "csv").path("train")
+    files.write_csv(one_per_id(table(spark, d, "train", "id", "qid1", "qid2", "question1", "question2", "is_duplicate")), path)
+    return files.read_csv(spark, path, files.PAIRS_TRAIN)
+
+
+@query("SELECT word, CAST(len(vec) AS INTEGER) AS dims, round(list_sum(vec::DOUBLE[]), 3) AS total FROM word_vectors")
+def glove_round_trip(spark, d):
+    """Word vectors written as lines of text and read again."""
+    path = Workspace(spark, "glove").path("vectors")
+    table(spark, d, "word_vectors").select(F.concat_ws(" ", "word", F.array_join(F.transform("vec", lambda x: x.cast("string")), " ")).alias("value")).write.text(path)
+    v = files.read_glove(spark, path, 300)
+    return v.select("word", F.size("vec").alias("dims"), r(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+
+
 # ---- learners: no SQL says what they do
 
 FOLDS = 3

@@ -20,7 +20,8 @@ def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str] | N
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    (df.select(*columns) if columns else df).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    """A CSV table with a header; white space at the ends of values stays."""
+    (df.select(*columns) if columns else df).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_submission(df: DataFrame, path: str, ident: str = "test_id", p: str = "is_duplicate") -> None:
