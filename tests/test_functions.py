@@ -31,7 +31,7 @@ def rows(df, *cols):
 
 
 def test_bag_metrics_by_hand(df):
-    out = rows(df, sets.bag_jaccard("a", "b") if False else sets.bag_jaccard(F.col("a"), F.col("b")), sets.bag_dice(F.col("a"), F.col("b")), sets.bag_ochiai(F.col("a"), F.col("b")))
+    out = rows(df, sets.bag_jaccard(F.col("a"), F.col("b")), sets.bag_dice(F.col("a"), F.col("b")), sets.bag_ochiai(F.col("a"), F.col("b")))
     for (q1, q2), (j, d, o) in zip(PAIRS, out):
         a, b = q1.split(), q2.split()
         same = sum(x == y for x in a for y in b)
@@ -59,8 +59,7 @@ def test_cleaners(spark):
     d = spark.createDataFrame([("can't I'm 60k, the US??",), (None,), ("What is the best ios in india?",)], "q string")
     out = rows(d, clean.clean_v1(F.col("q")), clean.clean_v2(F.col("q")), clean.clean_sequence(F.col("q")))
     assert out[1] == (None, None, None)
-    assert out[0] == ("can t I am 60000 America", "cannot I am 60000 America", "cannot i am 60000 the us? ?" if False else out[0][2])
-    assert out[0][2].startswith("cannot i am 60000")
+    assert out[0] == ("can t I am 60000 America", "cannot I am 60000 America", "cannot i am 60000 the us ")
     assert out[2][0] == "best operating system in India"
 
 
