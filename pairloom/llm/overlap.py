@@ -19,7 +19,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import let, words
 from ..plans.work import Workspace
 
 #: Words in more than this share of the texts are put behind all others. With L words a text there are at most L / share.
@@ -48,8 +48,8 @@ def heads(ws: Column, often: list[list[str]], digits: Column) -> Column:
     order = F.array_sort(F.transform(F.array_distinct(ws), lambda w: F.struct(band(w).alias("b"), F.xxhash64(w).alias("h"))))
     fill = F.array(*[F.lit(i).cast("long") for i in range(HEAD)])
     first = F.slice(F.concat(F.transform(order, lambda s: s["h"]), fill), 1, HEAD + MISSING)
-    at = lambda x, i: F.get(x, F.lit(i))
-    return F.transform(F.array(first), lambda x: F.array(*[F.xxhash64(digits, *[at(x, i) for i in c]) for c in combinations(range(HEAD + MISSING), HEAD)]))[0]
+    some = list(combinations(range(HEAD + MISSING), HEAD))
+    return let(lambda x, d: F.array(*[F.xxhash64(d, *[F.get(x, F.lit(i)) for i in c]) for c in some]), first, digits)
 
 
 def lacks(a: str, b: str) -> Column:
@@ -62,11 +62,10 @@ def lacks(a: str, b: str) -> Column:
 
 def bag(text: str) -> Column:
     """The words of a text, sorted, as one string; null below five words."""
-    w = words(text)
-    return F.when(F.size(w) >= 5, F.array_join(F.array_sort(w), " "))
+    return let(lambda w: F.when(F.size(w) >= 5, F.array_join(F.array_sort(w), " ")), words(text))
 
 
-def near_pairs(left: DataFrame, right: DataFrame, work: Workspace) -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs (left_bag, right_bag) of texts of two splits that are near-same.
 
     Both inputs have the distinct texts as ``bag`` (sorted words, blank between). Heads of both splits are sorted into one
@@ -99,11 +98,12 @@ def found(train: DataFrame, test: DataFrame, work: Workspace) -> DataFrame:
 
     Rows without qid1 or without test_id name no case. Extra columns are ignored.
     """
-    t = train.filter(F.col("qid1").isNotNull()).select("qid1", bag("question1").alias("bag")).filter("bag is not null").distinct()
+    # bags are computed within generators and tested after them, so that no filter computes them a second time
+    t = train.filter(F.col("qid1").isNotNull()).select("qid1", F.explode(F.array(bag("question1"))).alias("bag")).filter("bag is not null").distinct()
     fields = F.explode(F.array(*[F.struct(F.lit(f).alias("test_field"), bag(f).alias("bag")) for f in ("question1", "question2")]))
     q = test.filter(F.col("test_id").isNotNull()).select("test_id", fields.alias("x")).select("test_id", "x.test_field", "x.bag").filter("bag is not null")
     t, q = work.save(t, "train_texts"), work.save(q, "test_texts")
-    pairs = work.save(near_pairs(t.select("bag").distinct(), q.select("bag").distinct(), work), "pairs")
+    pairs = work.save(near_pairs(t.select("bag").distinct(), q.select("bag").distinct()), "pairs")
     a = t.join(pairs.withColumnRenamed("left_bag", "bag"), "bag").select("qid1", "right_bag")
     return a.distinct().join(q.withColumnRenamed("bag", "right_bag"), "right_bag").select("qid1", "test_id", "test_field").distinct()
 
