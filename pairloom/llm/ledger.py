@@ -13,21 +13,25 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import let, words
 from ..operators.skew import join_by_load
 from ..plans.work import Workspace
 
 
 def keyed(pairs: DataFrame, ident: str = "id", a: str = "question1", b: str = "question2", least: int = 5) -> DataFrame:
     """(h1, h2, id) of every pair that counts; rows without id are left out, since nothing names them."""
-    x, y = words(a), words(b)
-    ok = (F.size(x) >= least) & (F.size(y) >= least)
-    said = pairs.filter(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), F.when(ok, F.array_join(x, " ")).alias("x"), F.when(ok, F.array_join(y, " ")).alias("y")).filter("x is not null")
-    lo, hi = F.least("x", "y"), F.greatest("x", "y")
-    return said.select(F.xxhash64(lo, hi).alias("h1"), F.xxhash64(F.lit(1), hi, lo).alias("h2"), "id")
+
+    def key(x: Column, y: Column) -> Column:
+        lo, hi = F.array_join(x, " "), F.array_join(y, " ")
+        ok = (F.size(x) >= least) & (F.size(y) >= least)
+        return F.when(ok, let(lambda p, q: F.struct(F.xxhash64(p, q).alias("h1"), F.xxhash64(F.lit(1), q, p).alias("h2")), F.least(lo, hi), F.greatest(lo, hi)))
+
+    # keys are computed within a generator and tested after it, so that no filter computes them a second time
+    said = pairs.filter(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), F.explode(F.array(let(key, words(a), words(b)))).alias("k"))
+    return said.filter("k is not null").select("k.h1", "k.h2", "id")
 
 
 class Ledger:
