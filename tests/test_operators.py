@@ -137,7 +137,8 @@ def test_lexicon(spark, work):
     texts = spark.createDataFrame([(1, ["river", "bank"]), (2, ["bank", "money"])], "id long, w array<string>")
     found = lexicon.disambiguate(texts, "id", F.col("w"), senses)
     assert {(r.id, r.word, r.sense) for r in found.collect()} == {(1, "bank", "river"), (2, "bank", "money")}
-    both = lexicon.overall(found.limit(1).withColumn("sense", F.lit("dog")), found.limit(1).withColumn("sense", F.lit("cat")), "id", up).collect()
+    one = found.filter("id = 1")
+    both = lexicon.overall(one.withColumn("sense", F.lit("dog")), one.withColumn("sense", F.lit("cat")), "id", up).collect()
     assert both[0].similarity == pytest.approx((0.2 + 1 / 3) / 2 / 2)
 
 
