@@ -138,8 +138,9 @@ def coverage(spans: DataFrame, length: int = 5) -> DataFrame:
 
 
 def report(train: DataFrame, test: DataFrame, work: Workspace, share: float = 0.8, length: int = 5) -> DataFrame:
-    """Per split and source of test: records, questions of at least ``length`` words, and how many are covered by at least ``share``.
+    """Per split and source of test: records, questions of at least ``length`` words, how many overlap with train, how many are covered whole.
 
+    A question overlaps if it is near-same to a text of ``train.question1`` (:func:`near_pairs`) or at least ``share`` of its words are covered.
     source is trimmed and in lower case with ``_`` for ``-``; null stays null. A test record that arrives again counts once.
     Copies of a text are one text of the array; texts are known by the 64-bit hash of their words.
     """
@@ -150,15 +151,22 @@ def report(train: DataFrame, test: DataFrame, work: Workspace, share: float = 0.
     rows = test.dropDuplicates(["test_id"]).select("test_id", "split", source.alias("source"), F.explode(F.array(said("question1"), said("question2"))).alias("text"))
     rows = work.save(rows.select("test_id", "split", "source", key, F.filter(F.split("text", " "), lambda w: w != "").alias("words")), "test_rows")
     q = rows.dropDuplicates(["text_key"]).select("text_key", "words")
-    covered = coverage(shared_spans(q, t, length), length)
-    told = rows.select("test_id", "split", "source", "text_key", F.size("words").alias("n")).join(covered, "text_key", "left")
-    c, n = F.coalesce("covered", F.lit(0)), F.col("n")
+    covered = work.save(coverage(shared_spans(q, t, length), length), "covered")
+    c, n = F.coalesce("covered", F.lit(0)), F.size("words")
+    # a text that is covered counts whether or not it is near-same, so only the others are looked up
+    rest = q.join(covered, "text_key", "left").filter((n >= max(length, 5)) & (c < share * n))
+    rest = work.save(rest.select("text_key", F.array_join(F.array_sort("words"), " ").alias("bag")), "rest")
+    bags = train.select(F.explode(F.array(bag("question1"))).alias("bag")).filter("bag is not null").distinct()
+    pairs = near_pairs(work.save(bags, "train_bags"), rest.select("bag").distinct())
+    near = work.save(rest.join(pairs.select(F.col("right_bag").alias("bag")).distinct(), "bag").select("text_key", F.lit(True).alias("near")), "near")
+    told = rows.select("test_id", "split", "source", "text_key", n.alias("n")).join(covered, "text_key", "left").join(near, "text_key", "left")
+    n = F.col("n")
     return (
         told.groupBy("split", "source")
         .agg(
             F.countDistinct("test_id").alias("records"),
             F.sum((n >= length).cast("long")).alias("questions"),
-            F.sum(((n >= length) & (c >= share * n)).cast("long")).alias("overlapping"),
+            F.sum(((n >= length) & ((c >= share * n) | F.col("near").isNotNull())).cast("long")).alias("overlapping"),
             F.sum(((n >= length) & (c == n)).cast("long")).alias("covered_whole"),
         )
     )

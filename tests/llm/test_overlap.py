@@ -74,3 +74,21 @@ def test_report(spark, work):
     test = spark.createDataFrame(rows, "test_id long, question1 string, question2 string, split string, source string")
     got = {(r.split, r.source): tuple(r)[2:] for r in overlap.report(train, test, work).collect()}
     assert got == {("test", "web"): (1, 2, 1, 1), ("valid", None): (1, 0, 0, 0)}
+
+
+def test_report_counts_near_same_questions(spark, work):
+    base = "one two three four five six seven"
+    changed = ["one two three other five six seven", "seven six five four three two one", "one two three four new five six seven", "one two three a b c seven"]
+    mine, train = changed + texts(60, 5), [base, *texts(120, 1)]
+    said = lambda s: " ".join(WORD.findall((s or "").lower()))
+    others = [said(s) for s in train]
+    want = {}
+    for i, s in enumerate(mine):
+        n = len(said(s).split())
+        want[i] = int(n >= 5 and (any(near(s, o) for o in others) or brute_cover(said(s), others, 5) >= 0.8 * n))
+    assert [want[i] for i in range(4)] == [1, 1, 1, 0]
+    t = spark.createDataFrame(list(enumerate(train)), "qid1 long, question1 string")
+    q = spark.createDataFrame([(i, s, None, str(i), None) for i, s in enumerate(mine)], "test_id long, question1 string, question2 string, split string, source string")
+    got = {int(r.split): r.overlapping for r in overlap.report(t, q, work).collect()}
+    assert got == want
+    assert all(got[r.test_id] == 1 for r in overlap.found(t, q, work).collect())
