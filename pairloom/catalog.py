@@ -369,12 +369,19 @@ _ASCII = lambda c: rf"regexp_replace({c}, '[^\x00-\x7F]', '', 'g')"  # noqa: E73
 
 @query(f"WITH {P}, A AS (SELECT id, CAST(levenshtein({_ASCII('q1')}, {_ASCII('q2')}) AS INT) AS d FROM P) SELECT id, d AS distance, round(CASE WHEN d = 0 THEN 0 ELSE 1 / d END, 6) AS inverse FROM A")
 def levenshtein_distance(spark, d):
-    """Distance and its inverse of the texts' ASCII characters (the SQL counts bytes)."""
+    """Distance and its inverse of the texts' ASCII characters alone, as in the SQL, which counts bytes; of whole texts: levenshtein_whole."""
     bare = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "")
     df = pairs(spark, d).select("id", bare("q1").alias("x"), bare("q2").alias("y"))
     return df.select("id", F.levenshtein("x", "y").alias("distance"), r(edit.inverse_distance(F.col("x"), F.col("y"))).alias("inverse"))
 
 
+@query()
+def levenshtein_whole(spark, d):
+    """Distance and its inverse of the whole texts, by code points."""
+    df = pairs(spark, d)
+    return df.select("id", F.levenshtein("q1", "q2").alias("distance"), r(edit.inverse_distance(F.col("q1"), F.col("q2"))).alias("inverse"))
+
+
 @query()
 def edit_ratio(spark, d):
     return pairs(spark, d).select("id", r(edit.edit_ratio("q1", "q2")).alias("ratio"))
