@@ -82,7 +82,7 @@ def near_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     for name, df in sides.items():
         digits = F.array_join(F.filter("ws", lambda w: w.rlike(r"^\p{Nd}+$")), " ")
         n = F.size("ws")
-        runs[name] = df.select(F.col("key").alias(f"{name}_key"), n.cast("short").alias(f"{name}_n"), F.explode(F.array_distinct(heads(F.col("ws"), often, digits))).alias("head"))
+        runs[name] = df.select(F.col("key").alias(f"{name}_key"), n.alias(f"{name}_n"), F.explode(F.array_distinct(heads(F.col("ws"), often, digits))).alias("head"))
     spans = runs["left"].hint("merge").join(runs["right"], "head").filter(F.abs(F.col("left_n") - F.col("right_n")) <= MISSING)
     pairs = spans.groupBy("left_key", "right_key").agg(F.count(F.lit(1)).alias("heads"))
     text = lambda name: sides[name].select(F.col("key").alias(f"{name}_key"), F.col("bag").alias(f"{name}_bag"))

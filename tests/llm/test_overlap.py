@@ -92,3 +92,10 @@ def test_report_counts_near_same_questions(spark, work):
     got = {int(r.split): r.overlapping for r in overlap.report(t, q, work).collect()}
     assert got == want
     assert all(got[r.test_id] == 1 for r in overlap.found(t, q, work).collect())
+
+
+def test_found_takes_texts_of_more_words_than_a_short_counts(spark, work):
+    long = "word " * 39_999
+    t = spark.createDataFrame([(1, long + "end"), (2, "word " * 30_000)], "qid1 long, question1 string")
+    q = spark.createDataFrame([(1, long + "other", None), (2, long + "a b c", None)], "test_id long, question1 string, question2 string")
+    assert [tuple(r) for r in overlap.found(t, q, work).collect()] == [(1, 1, "question1")]
