@@ -1,15 +1,12 @@
-"""Same or near-same records across splits, by suffix arrays over partitioned, concatenated texts.
+"""Same or near-same records across splits, by joins on hashes of words: signatures of whole texts and shingles of their runs.
 
-Suffixes start at word boundaries. The array is partitioned by each suffix's first words (its head), so that every run of
-suffixes with a common prefix of at least a head's length lies in one partition, and it is sorted within.
-
-* :func:`shared_spans` - suffixes in the order of the text: those that have a long common prefix with a suffix of the other split.
+* :func:`shared_spans` - shingles in the order of the text: a semi-join finds those that stand in the other split.
 * :func:`coverage` - these spans merged into the number of each text's words that stand in the other split.
-* :func:`near_pairs` - the same array over texts whose words are put in one order, rare ones first, as the order of the words makes no
-  difference there: pairs of texts with at most two words each that the other lacks.
+* :func:`near_pairs` - signatures of texts whose words are put in one order, rare ones first, as the order of the words makes no
+  difference there: an equi-join finds pairs of texts with at most two words each that the other lacks.
 
-Texts equal word for word are one text in the array, however often they occur; copies are put back by their key.
-A null or empty text has no words and no suffixes; nothing is cut from long ones.
+Texts equal word for word are one text in the joins, however often they occur; copies are put back by their key.
+A null or empty text has no words and no shingles; nothing is cut from long ones.
 """
 
 from __future__ import annotations
@@ -68,8 +65,8 @@ def bag(text: str) -> Column:
 def near_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs (left_bag, right_bag) of texts of two splits that are near-same.
 
-    Both inputs have the distinct texts as ``bag`` (sorted words, blank between). Heads of both splits are sorted into one
-    array and neighbours with an equal head are candidates; the candidates of a pair of texts, found through up to ten
+    Both inputs have the distinct texts as ``bag`` (sorted words, blank between). Texts of both splits
+    with an equal head (signature) are joined as candidates; the candidates of a pair of texts, found through up to ten
     heads, are merged into one. The check that follows compares the texts themselves.
     """
     sides = {}
@@ -108,22 +105,21 @@ def found(train: DataFrame, test: DataFrame, work: Workspace) -> DataFrame:
     return a.distinct().join(q.withColumnRenamed("bag", "right_bag"), "right_bag").select("qid1", "test_id", "test_field").distinct()
 
 
-# ---- suffixes in the order of the text
+# ---- shingles in the order of the text
 
 
 def suffixes(texts: DataFrame, length: int) -> DataFrame:
-    """(text_key, start, head) of every suffix of at least ``length`` words, start from 0; head is the hash of its first words."""
+    """(text_key, start, head) of every run of ``length`` words, start from 0; head is its hash. Suffixes are not kept."""
     at = F.explode(F.sequence(F.lit(0), F.size("words") - length))
     long = texts.filter(F.size("words") >= length).select("text_key", "words", at.alias("start"))
     return long.select("text_key", "start", F.xxhash64(F.slice("words", F.col("start") + 1, length)).alias("head"))
 
 
 def shared_spans(texts: DataFrame, others: DataFrame, length: int = 5) -> DataFrame:
-    """(text_key, start) of every suffix of ``texts`` whose common prefix with a suffix of ``others`` has at least ``length`` words.
+    """(text_key, start) of every run of ``length`` words of ``texts`` that also stands in ``others``.
 
-    Both have text_key and words. The suffixes of both splits are brought into one sorted array, partitioned by head, by a merge join; equal
-    heads stand side by side there, so a suffix has a neighbour of the other split exactly if its head is among theirs. Suffixes with a
-    longer common prefix show as further suffixes that start within it, so no span is cut. Heads of the other split
+    Both have text_key and words. A left-semi join on the hashes of the runs, sorted and merged; longer common
+    runs show as further runs that start within them, so no span is cut. Heads of the other split
     are made distinct within each partition before they are sent, so a much repeated passage is one entry.
     """
     heads_ = suffixes(others, length).select("head").distinct()
@@ -142,7 +138,7 @@ def report(train: DataFrame, test: DataFrame, work: Workspace, share: float = 0.
 
     A question overlaps if it is near-same to a text of ``train.question1`` (:func:`near_pairs`) or at least ``share`` of its words are covered.
     source is trimmed and in lower case with ``_`` for ``-``; null stays null. A test record that arrives again counts once.
-    Copies of a text are one text of the array; texts are known by the 64-bit hash of their words.
+    Copies of a text are one text; texts are known by the 64-bit hash of their words.
     """
     said = lambda c: F.array_join(words(c), " ")
     key = F.xxhash64("text").alias("text_key")
