@@ -853,7 +853,7 @@ def glove_round_trip(spark, d):
 
 # ---- learners: no SQL says what they do
 
-FOLDS = 3
+FOLDS = 5
 
 
 def features(spark, d):
@@ -888,26 +888,29 @@ def lr_predict(spark, d):
 
 @query()
 def rf_predict(spark, d):
-    return _oof(spark, d, lambda f: learn.forest("label", trees=20))
+    return _oof(spark, d, lambda f: learn.forest("label"))
 
 
 @query()
 def gbt_predict(spark, d):
-    return _oof(spark, d, lambda f: learn.boosted("label", rounds=10, depth=4))
+    return _oof(spark, d, lambda f: learn.boosted("label"))
 
 
 @query()
 def mlp_predict(spark, d):
-    return _oof(spark, d, lambda f: learn.perceptron("label", 5, 10))
+    return _oof(spark, d, lambda f: learn.perceptron("label", 5))
 
 
 @query()
 def cv_grid(spark, d):
-    """Mean log-loss of each cell of a grid over the strength of regularisation."""
+    """Mean log-loss of each cell of two grids: the strength of regularisation, and the trees, depth and features of forests."""
     f = features(spark, d)
     names = [c for c in rows.feature_columns(f) if c != "fold"]
-    cells = learn.grid_search(f, "label", names, learn.logistic("label", 1000), {"regParam": [0.0001, 0.01, 0.1]}, k=3)
-    return spark.createDataFrame([(str(p["regParam"]), m) for p, m in cells], "reg string, log_loss double")
+    linear = learn.grid_search(f, "label", names, learn.logistic("label", 1000), {"regParam": [0.0001, 0.01, 0.1]}, k=FOLDS)
+    trees = {"numTrees": [8, 20], "maxDepth": [6, 8, 10], "featureSubsetStrategy": ["auto", "sqrt", "log2"]}
+    forests = learn.grid_search(f, "label", names, learn.forest("label"), trees, k=FOLDS)
+    cells = [(str(p["regParam"]), None, None, None, m) for p, m in linear] + [(None, *[p[t] for t in trees], m) for p, m in forests]
+    return spark.createDataFrame(cells, "reg string, trees int, depth int, features string, log_loss double")
 
 
 @query()
@@ -915,7 +918,7 @@ def stack_level2(spark, d):
     """A second level over the out-of-fold predictions of two first-level learners."""
     f = features(spark, d)
     names = [c for c in rows.feature_columns(f) if c != "fold"]
-    levels = [learn.out_of_fold(f, "id", "label", names, m, FOLDS) for m in (learn.logistic("label", 1000), learn.forest("label", trees=10, depth=6))]
+    levels = [learn.out_of_fold(f, "id", "label", names, m, FOLDS) for m in (learn.logistic("label", 1000), learn.forest("label"))]
     return learn.stacked(levels, "id", "label", f, FOLDS)
 
 

@@ -3,6 +3,8 @@
 import pytest
 
 import __spark_entry__ as e
+from pairloom import catalog
+from pairloom.operators import learn
 
 PAIRS = [("röd", "rod"), ("ö", "é"), ("naïve café", "naive cafe"), ("日本語", "日本"), ("a😀b", "ab"), ("same", "same"), (None, "x"), (None, None), ("", "né"), ("kitten", "sitting")]
 
@@ -22,3 +24,18 @@ def test_levenshtein_takes_whole_texts(spark, tmp_path):
     got = {r.id: (r.distance, r.inverse) for r in e.queries()["levenshtein_whole"](spark, str(tmp_path)).collect()}
     want = {i: brute_distance(a or "", b or "") for i, a, b, _ in rows}
     assert got == {i: (d, pytest.approx(1 / d if d else 0, abs=1e-6)) for i, d in want.items()}
+
+
+def test_learners_are_registered_whole(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(catalog, "features", lambda s, d: spark.createDataFrame([(1, 1, 0.5, 0)], "id long, label int, z double, fold int"))
+    monkeypatch.setattr(learn, "out_of_fold", lambda df, key, label, names, learner, k: seen.append((learner, k)))
+    monkeypatch.setattr(learn, "stacked", lambda levels, key, label, folds, k: None)
+    monkeypatch.setattr(learn, "grid_search", lambda df, label, names, learner, grid, k=5: seen.append((learner, k, set(grid))) or [])
+    for name in ("rf_predict", "gbt_predict", "mlp_predict", "stack_level2", "cv_grid"):
+        e.queries()[name](spark, "")
+    whole = [learn.forest("label"), learn.boosted("label"), learn.perceptron("label", 5), learn.logistic("label", 1000), learn.forest("label")]
+    values = lambda x: {p.name: v for p, v in x.extractParamMap().items()}
+    assert [values(x) for x, *_ in seen[:5]] == [values(x) for x in whole]
+    assert all(k == 5 for _, k, *_ in seen)
+    assert [g for *_, g in seen[5:]] == [{"regParam"}, {"numTrees", "maxDepth", "featureSubsetStrategy"}]
