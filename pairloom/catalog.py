@@ -768,6 +768,16 @@ def feature_matrix_join(spark, d):
     return rows.join_features(p.select("id", "label"), [z, f], ["id"]).select("id", "z1", "z2", r("f1").alias("f1"), rows.prior_weight(F.col("label")).alias("weight"))
 
 
+@query(f"""WITH {P}, L AS (SELECT id, label, length(q1) AS z1, length(q2) AS z2 FROM P), S AS (SELECT id, {_P(1)} AS f1 FROM P)
+SELECT id, CAST(z1 AS INTEGER) AS z1, CAST(z2 AS INTEGER) AS z2, round(coalesce(f1, 0), 6) AS f1, CAST(CASE WHEN label = 1 THEN 0.472001959 ELSE 1.309028344 END AS DOUBLE) AS weight FROM L LEFT JOIN S USING (id)""")
+def feature_matrix_whole(spark, d):
+    """feature_matrix_join over both whole feature tables."""
+    p = pairs(spark, d)
+    z = p.select("id", F.length("q1").alias("z1"), F.length("q2").alias("z2"))
+    f = _scores(spark, d).select("id", F.col("p1").alias("f1"))
+    return rows.join_features(p.select("id", "label"), [z, f], ["id"]).select("id", "z1", "z2", r("f1").alias("f1"), rows.prior_weight(F.col("label")).alias("weight"))
+
+
 @query(f"""WITH {T}, {_WV}, B AS (SELECT w, count(*) AS n FROM (SELECT unnest(a) AS w FROM T UNION ALL SELECT unnest(b) FROM T) GROUP BY w), R AS (SELECT w, row_number() OVER (ORDER BY n DESC, w) - 1 AS k FROM B)
 SELECT w AS word, k, round(coalesce(list_sum(vec), 0), 4) AS total FROM R LEFT JOIN WV ON w = word""")
 def embedding_matrix(spark, d):

@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as e
 from pairloom import catalog
-from pairloom.operators import learn
+from pairloom.operators import learn, rows
 
 PAIRS = [("röd", "rod"), ("ö", "é"), ("naïve café", "naive cafe"), ("日本語", "日本"), ("a😀b", "ab"), ("same", "same"), (None, "x"), (None, None), ("", "né"), ("kitten", "sitting")]
 
@@ -19,10 +19,10 @@ def brute_distance(a, b):
 
 
 def test_levenshtein_takes_whole_texts(spark, tmp_path):
-    rows = [(i, a, b, 0) for i, (a, b) in enumerate(PAIRS)]
-    spark.createDataFrame(rows, "id long, question1 string, question2 string, is_duplicate int").write.parquet(f"{tmp_path}/train.parquet")
+    train = [(i, a, b, 0) for i, (a, b) in enumerate(PAIRS)]
+    spark.createDataFrame(train, "id long, question1 string, question2 string, is_duplicate int").write.parquet(f"{tmp_path}/train.parquet")
     got = {r.id: (r.distance, r.inverse) for r in e.queries()["levenshtein_whole"](spark, str(tmp_path)).collect()}
-    want = {i: brute_distance(a or "", b or "") for i, a, b, _ in rows}
+    want = {i: brute_distance(a or "", b or "") for i, a, b, _ in train}
     assert got == {i: (d, pytest.approx(1 / d if d else 0, abs=1e-6)) for i, d in want.items()}
 
 
@@ -39,3 +39,15 @@ def test_learners_are_registered_whole(spark, monkeypatch):
     assert [values(x) for x, *_ in seen[:5]] == [values(x) for x in whole]
     assert all(k == 5 for _, k, *_ in seen)
     assert [g for *_, g in seen[5:]] == [{"regParam"}, {"numTrees", "maxDepth", "featureSubsetStrategy"}]
+
+
+def test_feature_matrix_keeps_the_scores_of_all_ids(spark, tmp_path):
+    spark.createDataFrame([(i, "a", "b c", i % 2) for i in range(1, 9)], "id long, question1 string, question2 string, is_duplicate int").write.parquet(f"{tmp_path}/train.parquet")
+    got = {x.id: x.f1 for x in e.queries()["feature_matrix_whole"](spark, str(tmp_path)).collect()}
+    want = {x.id: round(x.p1, 6) for x in catalog._scores(spark, str(tmp_path)).collect()}
+    assert got == want and len(got) == 8 and any(want[i] for i in (1, 3, 5, 7))
+
+
+def test_gaps_of_a_feature_table_are_zero(spark):
+    test, submission = spark.createDataFrame([(1,), (2,)], "test_id long"), spark.createDataFrame([(1, 0.7)], "test_id long, f1 double")
+    assert {tuple(x) for x in rows.join_features(test, [submission], ["test_id"]).select("test_id", "f1").collect()} == {(1, 0.7), (2, 0.0)}
