@@ -55,14 +55,18 @@ def _jump(parents: DataFrame, rows: int) -> DataFrame:
 
 
 def boruvka(pairs: DataFrame, a: str, b: str, work: Workspace, most_rounds: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(root of each vertex: v, root), (forest: u, v). Edges are ordered by a hash of their ends, which keeps trees shallow."""
+    """(root of each vertex: v, root), (forest: u, v), which stay in ``work`` as tables "roots" and "forest".
+
+    Edges are ordered by a hash of their ends, which keeps trees shallow.
+    """
     live = edges(pairs, a, b).select("u", "v", F.xxhash64("u", "v").alias("w"), F.col("u").alias("ou"), F.col("v").alias("ov"))
     live = work.save(live, "edges-0")
     maps, trees, sizes = [], [], []
     for i in range(most_rounds):
         half = live.select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("v").alias("p")), F.struct(F.col("v").alias("v"), F.col("u").alias("p")))).alias("x"), "w", "ou", "ov")
-        best = half.select("x.v", "x.p", "w", "ou", "ov").groupBy("v").agg(*[F.min_by(c, "w").alias(c) for c in ("p", "ou", "ov")])
-        best = work.save(best, f"best-{i}")
+        # edges are ordered by weight, then by their ends, so no two are equal and no circle can close
+        best = half.select("x.v", F.struct("w", "ou", "ov", "x.p").alias("e")).groupBy("v").agg(F.min("e").alias("e"))
+        best = work.save(best.select("v", "e.p", "e.ou", "e.ov"), f"best-{i}")
         vertices = best.count()
         if not vertices:
             break
@@ -89,12 +93,16 @@ def boruvka(pairs: DataFrame, a: str, b: str, work: Workspace, most_rounds: int
             hot = _hot(live, c, rows)
             to = hot_cold_join(to, parents.select(F.col("v").alias(c), F.col("p").alias(f"{c}_to")), c, hot)
         to = to.filter("u_to <> v_to").select(F.least("u_to", "v_to").alias("u"), F.greatest("u_to", "v_to").alias("v"), "w", "ou", "ov")
-        to = to.groupBy("u", "v").agg(F.min("w").alias("w"), F.min_by("ou", "w").alias("ou"), F.min_by("ov", "w").alias("ov"))
+        to = to.groupBy("u", "v").agg(F.min(F.struct("w", "ou", "ov")).alias("e")).select("u", "v", "e.w", "e.ou", "e.ov")
         live = work.save(to, f"edges-{i + 1}")
         work.drop(f"edges-{i}")
+    else:
+        raise RuntimeError(f"edges are left after {most_rounds} rounds")
     forest = trees[0].distinct() if trees else live.select("u", "v")
     for t in trees[1:]:
         forest = forest.unionByName(t.distinct())
+    forest = work.save(forest, "forest")
+    work.drop(*[f"best-{i}" for i in range(len(trees))])
     if not maps:
         return live.select("v", F.col("u").alias("root")), forest
     roots = maps[-1].select("v", F.col("p").alias("root"))

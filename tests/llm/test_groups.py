@@ -1,4 +1,5 @@
 from collections import Counter, defaultdict
+from functools import partial
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -42,9 +43,9 @@ CASES = {
 
 
 @pytest.mark.parametrize("name", CASES)
-@pytest.mark.parametrize("few", [0, 10**9])
-def test_components(spark, work, monkeypatch, name, few):
-    monkeypatch.setattr(skew, "FEW_ROWS", few)
+@pytest.mark.parametrize("share", [0.005, 2.0])
+def test_components(spark, work, monkeypatch, name, share):
+    monkeypatch.setattr(groups, "hot_keys", partial(skew.hot_keys, share=share))
     df = spark.createDataFrame(CASES[name], "a long, b long")
     want = {x: r for x, r in union([p for p in CASES[name] if None not in p and p[0] != p[1]]).items()}
     assert dict(map(tuple, groups.hash_to_min(df, "a", "b", work).collect())) == want

@@ -80,6 +80,34 @@ def test_mix_reaches_targets_within_caps(spark):
     assert told["absent"].used_tokens == 0 and told["big"].share + told["small"].share == pytest.approx(1, abs=1e-5)
 
 
+def test_sainte_lague_with_very_many_seats():
+    got = mix.sainte_lague({"a": 5, "b": 3, "c": 2, "d": 0}, 10**11 + 1, {"a": 10**12, "b": 10**10, "c": 10**12, "d": 5})
+    assert got["b"] == 10**10 and sum(got.values()) == 10**11 + 1 and got["d"] == 0
+    assert abs(got["a"] / got["c"] - 2.5) < 1e-9
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.sampled_from("abcdef"), st.tuples(st.integers(0, 50), st.integers(0, 30)), max_size=6), st.integers(0, 120))
+def test_sainte_lague_gives_the_highest_quotients(weights, seats):
+    w, most = {k: v[0] for k, v in weights.items()}, {k: v[1] for k, v in weights.items()}
+    quotients = sorted((-w[k] / (2 * i + 1), k, i) for k in w if w[k] for i in range(most[k]))[:seats]
+    assert mix.sainte_lague(w, seats, most) == {k: sum(x[1] == k for x in quotients) for k in w}
+
+
+@needs
+def test_mix_where_blocks_are_far_more_than_a_shard_holds(spark, monkeypatch):
+    # 40 shards and more a source, and 10,000 blocks would each be larger than a shard
+    for name, value in (("SHARD", 200), ("BLOCKS", 20)):
+        monkeypatch.setattr(mix, name, value)
+    docs = [(i, "big" if i % 4 else "small", "some words of a text " * (1 + i % 3)) for i in range(2000)] + [(5000, "big", "a very long one " * 500)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("big", 0.6, 2), ("small", 0.4, 3)], "source string, target_share double, max_repeats int")
+    told = {r.source: r for r in mix.shares(df, targets, Workspace(spark, "t")).collect()}
+    whole = sum(r.used_tokens for r in told.values())
+    assert whole > 0.97 * sum(r.tokens for r in tokens.token_counts(df).collect())
+    assert told["small"].share == pytest.approx(0.4, abs=0.01) and told["small"].most_uses <= 3
+
+
 @needs
 def test_mix_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, source string, text string")
