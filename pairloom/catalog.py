@@ -69,7 +69,7 @@ def sql_chain(expr: str, rules: list[tuple[str, str]]) -> str:
 
 def _p7(spark, d):
     p = one_per_id(table(spark, d, "train", "id", "qid1", "qid2", "is_duplicate"))
-    return p, skew.per_key_results(p, "qid1", "qid2", "is_duplicate")
+    return p, skew.per_key_results(p, "id", "qid1", "qid2", "is_duplicate")
 
 
 _LONG = """WITH o AS (SELECT DISTINCT id, qid1, qid2, is_duplicate FROM train), k AS (

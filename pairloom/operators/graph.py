@@ -123,9 +123,9 @@ def kcore(edges: DataFrame, work: Workspace, most_rounds: int = 10_000) -> DataF
             work.drop(f"core-{i - 1}")
         core = new
         if now == last:
-            break
+            return core
         last = now
-    return core
+    raise RuntimeError(f"not stable after {most_rounds} rounds")
 
 
 def first_seen_ids(texts: DataFrame, text: str, position: list[str]) -> DataFrame:

@@ -26,10 +26,6 @@ from pyspark.sql import functions as F
 HOT_SHARE = 0.005
 
 
-#: Below this many rows no key is hot: all of them are a small task's work.
-FEW_ROWS = 200_000
-
-
 def hot_keys(loads: DataFrame, key: str, load: str = "load", share: float = HOT_SHARE, total: int | None = None) -> list:
     """Keys of ``loads`` (one row per key) with more than ``share`` of the whole load: at most ``1 / share`` values.
 
@@ -37,8 +33,6 @@ def hot_keys(loads: DataFrame, key: str, load: str = "load", share: float = HOT_
     """
     if total is None:
         total = loads.agg(F.sum(load)).first()[0] or 0
-    if total <= FEW_ROWS:
-        return []
     return [r[0] for r in loads.filter(F.col(load) > share * total).select(key).collect()]
 
 
@@ -46,13 +40,13 @@ def hot_cold_join(left: DataFrame, right: DataFrame, key: str, hot: list, how: s
     """``left`` joined on ``key`` to ``right``, which has one row per key; ``hot`` are keys with very many rows in left.
 
     The rows of ``right`` for hot keys are as many as ``hot`` and are broadcast, so that the rows of ``left`` with such a key
-    stay where they are. ``how`` is inner or left; a null key matches nothing.
+    stay where they are; all other rows meet in a merge join, so nothing that grows with the data is broadcast. ``how`` is inner or left; a null key matches nothing.
     """
     if not hot:
-        return left.join(right, key, how)
+        return left.join(right.hint("merge"), key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     near = left.filter(is_hot).join(F.broadcast(right.filter(F.col(key).isin(hot))), key, how)
-    far = left.filter(~is_hot).join(right.filter(~F.col(key).isin(hot)), key, how)
+    far = left.filter(~is_hot).join(right.filter(~F.col(key).isin(hot)).hint("merge"), key, how)
     return near.unionByName(far)
 
 
@@ -62,8 +56,6 @@ def join_by_load(left: DataFrame, right: DataFrame, on: list[str], load: str, to
     Rows of ``right`` with more than ``share`` of the total, at most 1 / share, are broadcast; all others are joined by a shuffle in
     which the rows of ``left`` for those keys take no part. ``load`` isn't in the result.
     """
-    if total <= FEW_ROWS:
-        return left.join(right.drop(load), on)
     hot = F.col(load) > share * total
     big = right.filter(hot).drop(load)
     near = left.join(F.broadcast(big), on)
@@ -120,42 +112,45 @@ def replicate(df: DataFrame, key: str, plan: ShardPlan) -> DataFrame:
 
 
 def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, spread_by: list[str], plan: ShardPlan) -> DataFrame:
-    """Inner join on ``key``: ``left`` is fragmented by ``plan``, ``right`` replicated to the shards. Keeps ``_task``."""
-    return fragment(left, key, spread_by, plan).join(replicate(right, key, plan), ["_task", key])
+    """Inner join on ``key``: ``left`` is fragmented by ``plan``, ``right`` replicated to the shards. Keeps ``_task``.
 
+    Rows of both sides are sent to the partition whose number is ``_task``, so the plan's tasks are the tasks that run.
+    """
+    sides = (x.repartitionById(plan.bins, F.col("_task")) for x in (fragment(left, key, spread_by, plan), replicate(right, key, plan)))
+    a, b = sides
+    return a.join(b.hint("merge"), ["_task", key])
 
-def key_pairs(pairs: DataFrame, a: str, b: str, label: str) -> DataFrame:
-    """(key, partner, label) of every pair, once for each of its two keys; a pair of a key with itself counts once."""
+
+def key_pairs(pairs: DataFrame, ident: str, a: str, b: str, label: str) -> DataFrame:
+    """(ident, key, partner, label) of every pair, once for each of its two keys; a pair of a key with itself counts once."""
     both = F.array(F.struct(F.col(a).alias("key"), F.col(b).alias("partner")), F.struct(F.col(b).alias("key"), F.col(a).alias("partner")))
     one = F.array(F.struct(F.col(a).alias("key"), F.col(b).alias("partner")))
     return (
-        pairs.select(F.explode(F.when(F.col(a).eqNullSafe(F.col(b)), one).otherwise(both)).alias("x"), F.col(label).alias("label"))
-        .select("x.key", "x.partner", "label")
+        pairs.select(F.col(ident).alias("ident"), F.explode(F.when(F.col(a).eqNullSafe(F.col(b)), one).otherwise(both)).alias("x"), F.col(label).alias("label"))
+        .select("ident", "x.key", "x.partner", "label")
         .filter(F.col("key").isNotNull())
     )
 
 
-def per_key_results(pairs: DataFrame, a: str, b: str, label: str, bins: int | None = None) -> DataFrame:
-    """Per key of ``a`` or ``b``: pairs, positive labels, distinct partners, and the key's share of all pairs.
+def per_key_results(pairs: DataFrame, ident: str, a: str, b: str, label: str, bins: int | None = None) -> DataFrame:
+    """Per key of ``a`` or ``b``: pairs, positive labels, distinct partners, and the share of positive labels.
 
-    ``pairs`` has one row per record. A null label is not positive, a null partner is none, a key paired with itself is its
-    own partner. An empty table gives no rows. Loads are counted first; the pairs of a large key are fragmented by
-    partner, so that partners counted in different shards are different and the shards' results add up; the load row of a
-    key is replicated to its shards and gives each pair its weight within the key.
+    ``pairs`` has one row per record, told apart by ``ident``. A null label is not positive, a null partner is none, a key paired
+    with itself is its own partner. An empty table gives no rows. Loads are counted first; the pairs of a large key are
+    fragmented by record, so neither a missing partner nor one partner with very many pairs makes a large shard; the load row of
+    a key is replicated to its shards and gives each pair its weight within the key. What a shard has of a partner is added up,
+    then partners are counted per key.
     """
-    long = key_pairs(pairs, a, b, label)
+    long = key_pairs(pairs, ident, a, b, label)
     loads = long.groupBy("key").agg(F.count(F.lit(1)).alias("load"))
     plan = plan_shards(loads, "key", bins=bins)
-    joined = fragment_replicate_join(long, loads, "key", ["partner"], plan)
-    by_partner = joined.groupBy("_task", "key", "partner").agg(
+    joined = fragment_replicate_join(long, loads, "key", ["ident"], plan)
+    by_partner = joined.groupBy("key", "partner").agg(
         F.count(F.lit(1)).alias("pairs"), F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("positive"), F.max("load").alias("load")
     )
-    by_shard = by_partner.groupBy("_task", "key").agg(
-        F.sum("pairs").alias("pairs"), F.sum("positive").alias("positive"), F.count("partner").alias("partners"), F.max("load").alias("load")
-    )
-    return by_shard.groupBy("key").agg(
+    return by_partner.groupBy("key").agg(
         F.sum("pairs").alias("pairs"),
         F.sum("positive").alias("positive"),
-        F.sum("partners").alias("partners"),
+        F.count("partner").alias("partners"),
         F.round(F.sum("positive") / F.max("load"), 6).alias("positive_rate"),
     )

@@ -6,6 +6,7 @@ A written table cuts the lineage, survives the loss of executors and can be dele
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,9 +17,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one of our own only where that setting is missing (tests)."""
+    """The folder of ``spark.checkpoint.dir``. Without that setting a local session gets a folder of its own; on a cluster it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="pairloom-")
         spark.conf.set("spark.checkpoint.dir", root)
         _made.append((spark, root))
@@ -44,13 +47,29 @@ def _clean() -> None:
 
 
 class Workspace:
-    """Named working tables of one query below the shared folder."""
+    """Named working tables of one query below the shared folder.
+
+    As results are read from them later, they stay until :meth:`close` or the end of a ``with`` block; what is left is deleted when
+    the process ends.
+    """
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/{what}-{uuid.uuid4().hex[:12]}"
         _made.append((spark, self.root))
 
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Delete all tables; results that read them must have been written or collected."""
+        _delete(self.spark, self.root)
+        if (self.spark, self.root) in _made:
+            _made.remove((self.spark, self.root))
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 

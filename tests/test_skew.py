@@ -19,14 +19,14 @@ def brute(pairs):
 
 def test_per_key_results_hot_null_self_and_ties(spark):
     pairs = [(1, i, i % 3) for i in range(2, 400)] + [(None, 5, 1), (5, None, None), (7, 7, 1), (1, 2, 1), (None, None, 0)]
-    df = spark.createDataFrame(pairs, "a long, b long, label int").withColumn("key", F.lit("clash"))
-    got = {r.key: (r.pairs, r.positive, r.partners) for r in skew.per_key_results(df, "a", "b", "label", bins=4).collect()}
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "id long, a long, b long, label int").withColumn("key", F.lit("clash"))
+    got = {r.key: (r.pairs, r.positive, r.partners) for r in skew.per_key_results(df, "id", "a", "b", "label", bins=4).collect()}
     assert got == brute(pairs)
 
 
 def test_per_key_results_empty(spark):
-    df = spark.createDataFrame([], "a long, b long, label int")
-    assert skew.per_key_results(df, "a", "b", "label").collect() == []
+    df = spark.createDataFrame([], "id long, a long, b long, label int")
+    assert skew.per_key_results(df, "id", "a", "b", "label").collect() == []
 
 
 def test_large_keys_are_split_in_proportion(spark):
@@ -45,21 +45,32 @@ def test_fragment_replicate_join_is_the_join(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "key").collect()))
 
 
-def test_hot_cold_join(spark, monkeypatch):
+def test_hot_cold_join(spark):
     left = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 1), (None, 2)], "k long, x long")
     right = spark.createDataFrame([(1, "a"), (2, "b")], "k long, y string")
     for how in ("inner", "left"):
         got = skew.hot_cold_join(left, right, "k", [1], how)
         assert sorted(map(str, got.collect())) == sorted(map(str, left.join(right, "k", how).collect()))
-    monkeypatch.setattr(skew, "FEW_ROWS", 0)
     loads = left.groupBy("k").agg(F.count("*").alias("load"))
     assert skew.hot_keys(loads, "k", share=0.5) == [1]
 
 
-def test_join_by_load(spark, monkeypatch):
+def test_join_by_load(spark):
     left = spark.createDataFrame([(1, 1, i) for i in range(50)] + [(1, 2, 1), (None, 2, 2)], "k long, l long, x long")
     right = spark.createDataFrame([(1, 1, 50, "a"), (1, 2, 1, "b"), (3, 3, 0, "c")], "k long, l long, n long, y string")
     want = sorted(map(tuple, left.join(right.drop("n"), ["k", "l"]).collect()))
-    for few in (0, 1000):
-        monkeypatch.setattr(skew, "FEW_ROWS", few)
-        assert sorted(map(tuple, skew.join_by_load(left, right, ["k", "l"], "n", 51).collect())) == want
+    for share in (0.005, 0.5, 2.0):
+        assert sorted(map(tuple, skew.join_by_load(left, right, ["k", "l"], "n", 51, share).collect())) == want
+
+
+def test_hot_keys_without_partner_and_hot_pairs_are_even_tasks(spark):
+    rows = [(i, 1, None if i % 10 else 2, 1) for i in range(9000)] + [(10_000 + i, 3, 4, 0) for i in range(3000)] + [(20_000 + i, i, i + 1, 0) for i in range(100, 600)]
+    df = spark.createDataFrame(rows, "id long, a long, b long, label int")
+    long = skew.key_pairs(df, "id", "a", "b", "label")
+    loads = long.groupBy("key").agg(F.count("*").alias("load"))
+    plan = skew.plan_shards(loads, "key", bins=8)
+    joined = skew.fragment_replicate_join(long, loads, "key", ["ident"], plan)
+    tasks = [r.n for r in joined.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(tasks) == 8 and max(tasks) < 1.5 * sum(tasks) / 8
+    got = {r.key: (r.pairs, r.positive, r.partners) for r in skew.per_key_results(df, "id", "a", "b", "label", bins=8).collect()}
+    assert got == brute([r[1:] for r in rows])
