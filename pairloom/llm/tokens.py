@@ -1,26 +1,29 @@
-"""Encoding of a corpus with a public byte-level BPE tokenizer, by merge replay.
+"""Encoding of a corpus with a public byte-level BPE tokenizer, by merge replay over the words of the corpus.
 
-Merges are not applied text by text. The distinct words of all texts of a chunk of a partition are laid out in one array; an
-inverted index leads from each pair of neighbouring tokens to the positions where it stands; the merges are then
-replayed in rank order, each one at all its positions, and only the neighbours of a merged position are updated. As the token that a
-merge makes is part of later merges only, this gives each word the tokens that the greedy rule gives it. Documents don't leave their
-partition, so there is no shuffle; words that a task has met before are looked up.
+Merges are not applied text by text. The words of the whole corpus are counted, and its MOST frequent ones (those that come more than
+once) are encoded once for all documents: they are laid out in one array, an inverted index leads from each pair of neighbouring
+tokens to the positions where it stands, and the merges are replayed in rank order, each one at all its positions, while only the
+neighbours of a merged position are updated. As the token that a merge makes is part of later merges only, this gives each word the
+tokens that the greedy rule gives it. The words' ids are sent to all tasks, and documents are put together where they lie. The rest
+of the words, rarer than all of these, are replayed in the same way with the other such words of their partition: sending every one of them
+to its word's task and back would move the documents twice.
 
 Special tokens' strings are ordinary text; a null or empty text gives an empty list; long texts are encoded whole.
-The vocabulary file's path is a parameter; the file must be readable by all executors.
+The vocabulary file's path is a parameter; the driver reads it and sends it to the tasks.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +34,9 @@ WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Characters outside the blocks where this pattern and the library's own cutting are known to agree (they differ in what newer
 #: versions of Unicode have added). A text with such a character is cut by the library.
 UNSURE = r"[^\u0000-\u0557\u0900-\u0BFF\u1E00-\u2070\u20A0-\u20BF\u2100-\u2BFF\u3000-\u9FFC\uAC00-\uD7A3\uF900-\uFAFF\uFE00-\uFE0F\uFEFF\uFF00-\uFFFD\U0001F300-\U0001F64F]"
-#: Words that a task remembers; then it forgets them all and goes on.
+#: Words of the corpus that are encoded once for all tasks, none longer than LONGEST characters.
+MOST, LONGEST = 100_000, 64
+#: Words that a task remembers; then it forgets the rare ones and goes on.
 REMEMBERED = 1_000_000
 
 
@@ -43,12 +48,12 @@ def _byte_alphabet() -> list[str]:
 
 
 class MergeReplay:
-    """Encoder of words with the merges of one vocabulary file (JSON of the ``tokenizers`` library)."""
+    """Encoder of words with the merges of one vocabulary (JSON of the ``tokenizers`` library)."""
 
-    def __init__(self, path: str):
+    def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
-        spec = json.load(open(path, encoding="utf-8"))
+        spec = json.loads(vocabulary)
         spec["added_tokens"] = []
         self._library = Tokenizer.from_str(json.dumps(spec)).pre_tokenizer
         self._words, self._unsure = regex.compile(WORDS).findall, regex.compile(UNSURE).search
@@ -57,7 +62,12 @@ class MergeReplay:
         merges = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         # a pair of token ids as one number -> (rank, id of the merged token)
         self.merges = {vocab[a] << 32 | vocab[b]: (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
-        self.known: dict[str, list[int]] = {}
+        self.corpus: dict[str, list[int]] = {}  # words encoded for all tasks
+        self.known: dict[str, list[int]] = {}  # these and the rare words met so far
+
+    def learn(self, corpus: dict[str, list[int]]) -> None:
+        if corpus is not self.corpus:
+            self.corpus, self.known = corpus, dict(corpus)
 
     def cut(self, text: str) -> list[str]:
         """The words of a text; together they are the text."""
@@ -122,7 +132,7 @@ class MergeReplay:
         """All texts' ids one after the other, and the number of ids of each text."""
         known = self.known
         if len(known) > REMEMBERED:
-            known.clear()
+            known = self.known = dict(self.corpus)
         cut = [self.cut(t) if t else () for t in texts]
         new = list(set(chain.from_iterable(cut)).difference(known))
         known.update(zip(new, self.replay(new)))
@@ -135,13 +145,19 @@ class MergeReplay:
         return flat, sizes
 
 
-_encoders: dict[str, MergeReplay] = {}  # of a Python worker
+_encoders: dict[int, MergeReplay] = {}  # of a Python worker
+
+
+def _encoder(vocabulary: str) -> MergeReplay:
+    key = hash(vocabulary)
+    if key not in _encoders:
+        _encoders[key] = MergeReplay(vocabulary)
+    return _encoders[key]
 
 
-def _encoder(path: str) -> MergeReplay:
-    if path not in _encoders:
-        _encoders[path] = MergeReplay(path)
-    return _encoders[path]
+def read_vocabulary(path: str) -> str:
+    with open(path, encoding="utf-8") as f:
+        return f.read()
 
 
 #: Characters of text that are encoded together.
@@ -159,12 +175,35 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
+def corpus_words(df: DataFrame, text: str, vocabulary: Broadcast) -> dict[str, list[int]]:
+    """The MOST frequent words of all texts, each with its ids. Words are counted where they lie before they are sent."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = _encoder(vocabulary.value).cut
+        for batch in batches:
+            n = Counter(chain.from_iterable(cut(t) for t in batch.column(0).to_pylist() if t))
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = _encoder(vocabulary.value)
+        words = list(chain.from_iterable(b["word"].to_pylist() for b in batches))  # a part of MOST
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(enc.replay(words), pa.list_(pa.int32()))], ["word", "ids"])
+
+    counts = df.select(F.col(f"`{text}`")).mapInArrow(tally, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    often = counts.filter((F.col("n") > 1) & (F.length("word") <= LONGEST)).orderBy(F.desc("n"), "word").limit(MOST)
+    return {r.word: list(r.ids) for r in often.select("word").repartition("word").mapInArrow(replay, "word string, ids array<int>").collect()}
+
+
 def _map(df: DataFrame, text: str, path: str, field: str, kind: str, build) -> DataFrame:
     rest = [f for f in df.schema.fields if f.name not in (text, field)]
     names = [f.name for f in rest]
+    send = df.sparkSession.sparkContext.broadcast
+    vocabulary = send(read_vocabulary(path))
+    corpus = send(corpus_words(df, text, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(path)
+        enc = _encoder(vocabulary.value)
+        enc.learn(corpus.value)
         for batch in batches:
             texts = batch.column(text).to_pylist()
             for lo, hi in _chunks(texts):

@@ -40,8 +40,9 @@ def brute(rows):
     return groups.values()
 
 
-@pytest.mark.parametrize("batches", [1, 3, 7])
-def test_ledger_is_the_same_for_any_batches(spark, batches):
+@pytest.mark.parametrize("batches, few", [(1, 200_000), (3, 200_000), (3, 0), (7, 2)])
+def test_ledger_is_the_same_for_any_batches(spark, monkeypatch, batches, few):
+    monkeypatch.setattr(ledger, "FEW", few)
     led = ledger.ledger_of(frame(spark, ROWS), Workspace(spark, "test"), batches)
     assert sorted((r.keep_id, r.copies) for r in led.counts().collect()) == sorted((min(g), len(g)) for g in brute(ROWS))
     assert sorted(map(tuple, led.copies().collect())) == sorted((min(g), i) for g in brute(ROWS) for i in g if i != min(g))
@@ -50,3 +51,8 @@ def test_ledger_is_the_same_for_any_batches(spark, batches):
 def test_empty(spark):
     led = ledger.ledger_of(frame(spark, []), Workspace(spark, "test"))
     assert led.counts().collect() == [] and led.copies().collect() == []
+
+
+def test_buckets_follow_the_size(spark):
+    sizes = [(w.buckets, w.parts) for w in (ledger.Ledger(Workspace(spark, "t"), n) for n in (0, 10**7, 10**12))]
+    assert sizes == [(8, 1), (16, 2), (4096, 64)]

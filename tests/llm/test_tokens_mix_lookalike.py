@@ -26,7 +26,10 @@ TEXTS = ["", None, " ", "\n\n", "Hello  world", "aaaaaaaaaaa", "ababababab aba",
 
 
 @needs
-def test_ids_equal_the_library(spark):
+@pytest.mark.parametrize("most, remembered", [(100_000, 1_000_000), (2, 3), (0, 0)])
+def test_ids_equal_the_library(spark, monkeypatch, most, remembered):
+    monkeypatch.setattr(tokens, "MOST", most)
+    monkeypatch.setattr(tokens, "REMEMBERED", remembered)
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").withColumn("ids", F.lit("clash"))
     lib = library()
     got = {r.doc_id: list(r.ids) for r in tokens.token_ids(df).collect()}
@@ -40,7 +43,7 @@ def test_ids_equal_the_library(spark):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.characters(max_codepoint=0x2FF), st.sampled_from("aabt heT'\n 's")), max_size=40), max_size=5))
 def test_replay_of_any_texts(texts):
-    enc, lib = tokens._encoder(PATH), library()
+    enc, lib = tokens._encoder(tokens.read_vocabulary(PATH)), library()
     flat, sizes = enc.encode(texts)
     at = list(itertools.accumulate([0, *sizes]))
     assert [flat[a:b] for a, b in itertools.pairwise(at)] == [lib(t) if t else [] for t in texts]
@@ -48,7 +51,7 @@ def test_replay_of_any_texts(texts):
 
 @needs
 def test_cutting_agrees_where_it_is_said_to():
-    enc = tokens._encoder(PATH)
+    enc = tokens._encoder(tokens.read_vocabulary(PATH))
     for cp in range(0x110000):
         c = chr(cp)
         if 0xD800 <= cp < 0xE000 or enc._unsure(c):
