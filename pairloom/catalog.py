@@ -122,11 +122,22 @@ def document_words(spark, d):
     return pairs(spark, d).select("id", said("q1").alias("w1"), said("q2").alias("w2"))
 
 
-@query(rf"""WITH {P} SELECT id, array_to_string(list_filter(regexp_extract_all(lower(q1), '\p{{L}}+'), lambda w: length(w) BETWEEN 2 AND 15), ' ') AS plain,
-array_to_string(list_filter(regexp_extract_all(lower(q1), '[\p{{L}}\p{{Nd}}_]{{2,}}'), lambda w: NOT list_contains({STOPS}, w)), ' ') AS vectorized FROM P""")
+_PLAIN = lambda c: f"array_to_string(list_filter(regexp_extract_all(lower({c}), '{tx.ALPHABETIC}'), lambda w: length(w) BETWEEN 2 AND 15 AND w[1] <> '_'), ' ')"
+_VECTORIZED = lambda c: rf"array_to_string(list_filter(regexp_extract_all(lower({c}), '[\p{{L}}\p{{Nd}}_]{{2,}}'), lambda w: NOT list_contains({STOPS}, w)), ' ')"
+
+
+@query(f"WITH {P} SELECT id, {_PLAIN('q1')} AS plain1, {_PLAIN('q2')} AS plain2, {_VECTORIZED('q1')} AS vectorized1, {_VECTORIZED('q2')} AS vectorized2 FROM P")
 def tokenizers(spark, d):
-    q = F.col("q1")
-    return pairs(spark, d).select("id", F.array_join(tx.plain_words(q), " ").alias("plain"), F.array_join(tx.vectorizer_words(q, fixed.ENGLISH_STOPS), " ").alias("vectorized"))
+    """Plain words, and words of two or more characters without stop words; the list of stop words is a parameter."""
+    said = lambda f, *more: [F.array_join(f(F.col(q), *more), " ").alias(f"{f.__name__.split('_')[0].replace('vectorizer', 'vectorized')}{q[1]}") for q in ("q1", "q2")]
+    return pairs(spark, d).select("id", *said(tx.plain_words), *said(tx.vectorizer_words, fixed.ENGLISH_STOPS))
+
+
+@query(f"WITH {P} SELECT id, array_to_string(string_split(q1, ''), ' ') AS x1, array_to_string(string_split(q2, ''), ' ') AS x2 FROM P")
+def spaced_characters(spark, d):
+    """The characters of a text, a blank between."""
+    said = lambda c: F.array_join(tx.chars(F.col(c)), " ")
+    return pairs(spark, d).select("id", said("q1").alias("x1"), said("q2").alias("x2"))
 
 
 @query(f"""WITH {T} SELECT id, CAST(length(q1) AS INTEGER) AS len1, CAST(length(q2) AS INTEGER) AS len2, CAST(len(a) AS INTEGER) AS words1, CAST(len(b) AS INTEGER) AS words2,
@@ -190,20 +201,24 @@ _grams(3)
 _CHARS = "list_transform(range(1, length({q}) - {n} + 2), lambda i: substr({q}, i, {n}))"
 
 
-def _gram_sql(n: int, select: str) -> str:
-    side = lambda q, s: f"SELECT id, unnest({_CHARS.format(q=f'lower({q})', n=n)}) AS token, {s} AS s FROM P"
+_ONE_BLANK = lambda q: f"regexp_replace(lower({q}), '{tx.BLANKS}', ' ', 'g')"
+
+
+def _gram_sql(n: int, select: str, counted: bool = False) -> str:
+    """Grams of the texts in lower case; with ``counted`` runs of blanks are one, as counting vectorizers have it."""
+    side = lambda q, s: f"SELECT id, unnest({_CHARS.format(q=_ONE_BLANK(q) if counted else f'lower({q})', n=n)}) AS token, {s} AS s FROM P"
     return f"""WITH {P}, X AS ({side('q1', 1)} UNION ALL {side('q2', 2)}),
 L AS (SELECT id, token, count(*) FILTER (s = 1) AS c1, count(*) FILTER (s = 2) AS c2 FROM X GROUP BY ALL) {select}"""
 
 
 def _char_long(spark, d, n: int):
     df = pairs(spark, d)
-    return df, corpus.pair_tokens(df, "id", tx.char_ngrams(F.lower("q1"), n), tx.char_ngrams(F.lower("q2"), n))
+    return df, corpus.pair_tokens(df, "id", tx.char_ngrams(tx.one_blank(F.lower("q1")), n), tx.char_ngrams(tx.one_blank(F.lower("q2")), n))
 
 
 def _char_grams(n: int):
-    def counted(spark, d):
-        return pairs(spark, d).select("id", grams.gram_counts(F.lower("q1"), F.lower("q2"), n).alias("g")).select("id", "g.*")
+    def counted(spark, d, form=lambda c: c):
+        return pairs(spark, d).select("id", grams.gram_counts(form(F.lower("q1")), form(F.lower("q2")), n).alias("g")).select("id", "g.*")
 
     def bags(spark, d):
         tot, same = F.col("n1") + F.col("n2") + 1, F.col("same")
@@ -216,13 +231,13 @@ def _char_grams(n: int):
 SELECT id, round(same / ((n1 + n2 + 1 - same) + 1e-6), 6) AS jaccard, round(2 * same / ((n1 + n2 + 1) + 1e-6), 6) AS dice, round(same / (sqrt(n1 * n2 + 1) + 1e-6), 6) AS ochiai FROM S"""))(bags)
 
     def overlaps(spark, d):
-        return counted(spark, d).select(
+        return counted(spark, d, tx.one_blank).select(
             "id", r(F.try_divide("common", "either")).alias("set_jaccard"), r(F.try_divide("lesser", F.col("n1") + F.col("n2"))).alias("min_over_sum"), r(F.try_divide("lesser", "greater")).alias("ruzicka")
         )
 
     overlaps.__name__ = f"gram_overlap{n}"
     query(_gram_sql(n, """SELECT P.id, round(count(*) FILTER (c1 > 0 AND c2 > 0) / nullif(count(token), 0), 6) AS set_jaccard,
-round(sum(least(c1, c2)) / nullif(sum(c1 + c2), 0), 6) AS min_over_sum, round(sum(least(c1, c2)) / nullif(sum(greatest(c1, c2)), 0), 6) AS ruzicka FROM P LEFT JOIN L USING (id) GROUP BY P.id"""))(overlaps)
+round(sum(least(c1, c2)) / nullif(sum(c1 + c2), 0), 6) AS min_over_sum, round(sum(least(c1, c2)) / nullif(sum(greatest(c1, c2)), 0), 6) AS ruzicka FROM P LEFT JOIN L USING (id) GROUP BY P.id""", counted=True))(overlaps)
 
 
 for _n in (1, 2, 3):
@@ -237,7 +252,7 @@ W AS (SELECT id, c1, c2, c1 * idf AS x, c2 * idf AS y FROM L JOIN D USING (token
 SELECT id, round(1 - coalesce(sum(x * y) / nullif(any_value(nx) * any_value(ny), 0), 1), 6) AS cosine_distance,
 round(sqrt(sum(pow(coalesce(x / nullif(nx, 0), 0) - coalesce(y / nullif(ny, 0), 0), 2))), 6) AS l2_tfidf,
 round(sqrt(sum(pow(coalesce(x / nullif(sx, 0), 0) - coalesce(y / nullif(sy, 0), 0), 2))), 6) AS l1_tfidf,
-round(sqrt(sum(pow(coalesce(c1 / nullif(nc, 0), 0) - coalesce(c2 / nullif(nd, 0), 0), 2))), 6) AS l2_tf FROM W JOIN Z USING (id) GROUP BY id"""))
+round(sqrt(sum(pow(coalesce(c1 / nullif(nc, 0), 0) - coalesce(c2 / nullif(nd, 0), 0), 2))), 6) AS l2_tf FROM W JOIN Z USING (id) GROUP BY id""", counted=True))
 def gram_tfidf(spark, d):
     """Distances of the tf-idf vectors of character trigrams."""
     _, long = _char_long(spark, d, 3)
@@ -306,7 +321,7 @@ def document_frequency(spark, d):
     return t.select("token", "df", r(corpus.idf_log2(k, n)).alias("idf"), r(corpus.idf_smooth(k, n)).alias("idf_smooth"))
 
 
-_VOCAB = f"""WITH {P}, Q AS (SELECT DISTINCT lower(t) AS t FROM (SELECT q1 AS t FROM P UNION ALL SELECT q2 FROM P)),
+_VOCAB = f"""WITH {P}, Q AS (SELECT DISTINCT {_ONE_BLANK('t')} AS t FROM (SELECT q1 AS t FROM P UNION ALL SELECT q2 FROM P)),
 G AS (SELECT t, unnest(list_concat({_CHARS.format(q='t', n=1)}, {_CHARS.format(q='t', n=2)}, {_CHARS.format(q='t', n=3)})) AS gram FROM Q),
 V AS (SELECT gram, count(*) AS n, count(DISTINCT t) AS df FROM G GROUP BY gram), K AS (SELECT gram FROM V WHERE df >= 1000 AND df <= 0.999 * (SELECT count(*) FROM Q) ORDER BY n DESC, gram LIMIT 400)"""
 
@@ -318,13 +333,13 @@ def gram_vocabulary(spark, d):
     return spark.createDataFrame([(g,) for g in corpus.top_grams(t, (1, 2, 3), 400, 1000, 0.999)], "gram string")
 
 
-@query(_VOCAB + ", A AS (SELECT coalesce(list(gram ORDER BY gram), []) AS g FROM K) SELECT id, array_to_string(list_transform(g, lambda x: CAST(-CAST(contains(lower(q1), x) <> contains(lower(q2), x) AS INT) AS VARCHAR)), ' ') AS mismatch FROM P, A")
+@query(_VOCAB + ", A AS (SELECT coalesce(list(gram ORDER BY gram), []) AS g FROM K) SELECT id, array_to_string(list_transform(g, lambda x: CAST(-CAST(contains(" + _ONE_BLANK('q1') + ", x) <> contains(" + _ONE_BLANK('q2') + ", x) AS INT) AS VARCHAR)), ' ') AS mismatch FROM P, A")
 def bag_mismatch(spark, d):
     df = pairs(spark, d)
     kept = corpus.top_grams(df.select(F.explode(F.array("q1", "q2")).alias("text")), (1, 2, 3), 400, 1000, 0.999)
     if not kept:
         return df.select("id", F.lit("").alias("mismatch"))
-    m = grams.mismatch(sorted(kept), F.lower("q1"), F.lower("q2"))
+    m = grams.mismatch(sorted(kept), tx.one_blank(F.lower("q1")), tx.one_blank(F.lower("q2")))
     return df.select("id", F.array_join(F.transform(m, lambda x: x.cast("string")), " ").alias("mismatch"))
 
 
@@ -364,19 +379,14 @@ def word_stats(spark, d):
 
 # ---- edit, sequence and hash distances
 
-_ASCII = lambda c: rf"regexp_replace({c}, '[^\x00-\x7F]', '', 'g')"
+# The SQL function counts bytes: each character of a pair that has several is put as a control character that neither text has.
+_ONE_BYTE = "translate({}, array_to_string(w, ''), substr(array_to_string(f, ''), 1, len(w)))"
 
 
-@query(f"WITH {P}, A AS (SELECT id, CAST(levenshtein({_ASCII('q1')}, {_ASCII('q2')}) AS INT) AS d FROM P) SELECT id, d AS distance, round(CASE WHEN d = 0 THEN 0 ELSE 1 / d END, 6) AS inverse FROM A")
+@query(f"""WITH {P}, W AS (SELECT id, q1, q2, list_distinct(list_filter(string_split(q1 || q2, ''), lambda c: strlen(c) > 1)) AS w,
+list_filter(list_transform(range(1, 128), lambda i: chr(i::INTEGER)), lambda c: NOT contains(q1 || q2, c)) AS f FROM P),
+A AS (SELECT id, CAST(levenshtein({_ONE_BYTE.format('q1')}, {_ONE_BYTE.format('q2')}) AS INT) AS d FROM W) SELECT id, d AS distance, round(CASE WHEN d = 0 THEN 0 ELSE 1 / d END, 6) AS inverse FROM A""")
 def levenshtein_distance(spark, d):
-    """Distance and its inverse of the texts' ASCII characters alone, as in the SQL, which counts bytes; of whole texts: levenshtein_whole."""
-    bare = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "")
-    df = pairs(spark, d).select("id", bare("q1").alias("x"), bare("q2").alias("y"))
-    return df.select("id", F.levenshtein("x", "y").alias("distance"), r(edit.inverse_distance(F.col("x"), F.col("y"))).alias("inverse"))
-
-
-@query()
-def levenshtein_whole(spark, d):
     """Distance and its inverse of the whole texts, by code points."""
     df = pairs(spark, d)
     return df.select("id", F.levenshtein("q1", "q2").alias("distance"), r(edit.inverse_distance(F.col("q1"), F.col("q2"))).alias("inverse"))
@@ -434,26 +444,43 @@ def porter_tail(spark, d):
     return pairs(spark, d).select("id", stem.porter_tail(F.col("q1")).alias("s1"), stem.porter_tail(F.col("q2")).alias("s2"))
 
 
+def _stemmed(spark, d, cleaner, *udf):
+    """(id, s1, s2): the stems of both texts' tokens, one text below the other while they are looked up."""
+    p = pairs(spark, d)
+    sides = p.select("id", F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.col(f"q{i}").alias("q")) for i in (1, 2)])).alias("x"))
+    long = sides.select(F.concat_ws(":", "id", "x.s").alias("key"), tx.tokens(cleaner(F.col("x.q"))).alias("t"))
+    out = stem.stem_words(long, "key", F.col("t"), *udf).select(F.split("key", ":").alias("k"), F.array_join("stems", " ").alias("stems"))
+    side = lambda i: F.max(F.when(F.get("k", F.lit(1)) == str(i), F.col("stems"))).alias(f"s{i}")
+    return out.groupBy(F.get("k", F.lit(0)).cast("long").alias("id")).agg(side(1), side(2))
+
+
 @query()
 def lancaster_words(spark, d):
-    df = pairs(spark, d).select("id", tx.tokens(clean.clean_v2(F.col("q1"))).alias("t"))
-    return stem.stem_words(df, "id", F.col("t")).select("id", F.array_join("stems", " ").alias("stems"))
+    return _stemmed(spark, d, clean.clean_v2)
+
+
+@query()
+def clean_v3(spark, d):
+    """The third cleaner: the first, with Lancaster stems."""
+    return _stemmed(spark, d, clean.clean_v1)
 
 
 @query()
 def snowball_words(spark, d):
-    df = pairs(spark, d).select("id", tx.tokens(clean.clean_sequence(F.col("q1"))).alias("t"))
-    return stem.stem_words(df, "id", F.col("t"), stem.snowball_udf).select("id", F.array_join("stems", " ").alias("stems"))
+    return _stemmed(spark, d, clean.clean_sequence, stem.snowball_udf)
+
+
+_ALPHA = lambda c: f"array_to_string(regexp_extract_all({c}, '{tx.ALPHABETIC}'), ' ')"
 
 
-@query(rf"""WITH {P} SELECT id, array_to_string(regexp_extract_all(q1, '\p{{L}}+'), ' ') AS alphabetic FROM P""")
+@query(f"WITH {P} SELECT id, {_ALPHA('q1')} AS a1, {_ALPHA('q2')} AS a2 FROM P")
 def alphabetic_tokens(spark, d):
-    return pairs(spark, d).select("id", F.array_join(tx.alphabetic(F.col("q1")), " ").alias("alphabetic"))
+    return pairs(spark, d).select("id", *[F.array_join(tx.alphabetic(F.col(f"q{i}")), " ").alias(f"a{i}") for i in (1, 2)])
 
 
 @query()
 def treebank_tokens(spark, d):
-    return pairs(spark, d).select("id", F.array_join(tx.treebank_words(F.col("q1")), " ").alias("tokens"))
+    return pairs(spark, d).select("id", *[F.array_join(tx.treebank_words(F.col(f"q{i}")), " ").alias(f"tokens{i}") for i in (1, 2)])
 
 
 # ---- graph
@@ -539,6 +566,16 @@ def pagerank(spark, d):
     return graph.pagerank(graph.both_ways(_nodes(spark, d), "k1", "k2"), Workspace(spark, "pagerank")).select("v", r("pr", 12).alias("pr"))
 
 
+@query(_pagerank_sql(20).replace("SELECT v, round(pr, 12) AS pr FROM R20", "SELECT split, id, round(a.pr, 12) AS q1_pr, round(b.pr, 12) AS q2_pr FROM N JOIN R20 a ON a.v = k1 JOIN R20 b ON b.v = k2"))
+def pagerank_pairs(spark, d):
+    """PageRank of both texts of every pair of train and test."""
+    n = _nodes(spark, d)
+    work = Workspace(spark, "pagerank")
+    ranks = work.save(graph.pagerank(graph.both_ways(n, "k1", "k2"), work), "ranks")
+    out = graph.look_up(n, {"k1": "q1_pr", "k2": "q2_pr"}, ranks, "v", "pr", default=0.0)
+    return out.select("split", "id", r("q1_pr", 12).alias("q1_pr"), r("q2_pr", 12).alias("q2_pr"))
+
+
 @query()
 def kcore(spark, d):
     return graph.kcore(graph.both_ways(_nodes(spark, d), "k1", "k2"), Workspace(spark, "kcore"))
@@ -582,7 +619,9 @@ def vec_correlations(spark, d):
     return df.select("vec_id", r(tx.let(V.pearson, F.col("x"), F.col("y"))).alias("pearson"), r(tx.let(V.spearman, F.col("x"), F.col("y"))).alias("spearman"))
 
 
-@query()
+@query(f"""{_VP}, E AS (SELECT vec_id, i, x[i] AS x, y[i] AS y FROM (SELECT vec_id, x, y, unnest(range(1, len(x) + 1)) AS i FROM V)),
+S AS (SELECT a.vec_id, sign(a.x - b.x) AS a, sign(a.y - b.y) AS b FROM E a JOIN E b ON a.vec_id = b.vec_id AND a.i < b.i)
+SELECT vec_id, round(sum(a * b) / sqrt(count(*) FILTER (a <> 0) * count(*) FILTER (b <> 0)), 6) AS kendall FROM S GROUP BY vec_id""")
 def vec_kendall(spark, d):
     return _vec_pairs(spark, d).select("vec_id", r(V.kendall("x", "y")).alias("kendall"))
 
@@ -638,14 +677,48 @@ def sent_vector_idf(spark, d):
     return _sentences(*_words_of(spark, d), weight)
 
 
-@query(_KNOWN.replace("X AS (", "X0 AS (").replace("K AS (SELECT id, s, w, vec FROM X JOIN", "X AS (SELECT id, s, w, row_number() OVER () AS t FROM X0), K AS (SELECT id, s, t, vec FROM X JOIN") + """,
-D AS (SELECT a.id, a.t AS i, b.t AS j, list_distance(a.vec, b.vec) AS d FROM K a JOIN K b ON a.id = b.id AND a.s = 1 AND b.s = 2),
-S AS (SELECT id, avg(m) AS m FROM (SELECT id, i, min(d) AS m FROM D GROUP BY id, i) GROUP BY id UNION ALL SELECT id, avg(m) FROM (SELECT id, j, min(d) AS m FROM D GROUP BY id, j) GROUP BY id),
+_APART = _KNOWN.replace("X AS (", "X0 AS (").replace("K AS (SELECT id, s, w, vec FROM X JOIN", "X AS (SELECT id, s, w, row_number() OVER () AS t FROM X0), K AS (SELECT id, s, w, t, vec FROM X JOIN") + """,
+D AS (SELECT a.id, a.t AS i, b.t AS j, a.w AS wi, b.w AS wj, list_distance(a.vec, b.vec) AS d FROM K a JOIN K b ON a.id = b.id AND a.s = 1 AND b.s = 2),
+M AS (SELECT id, 1 AS s, wi AS w, min(d) AS m FROM D GROUP BY id, i, wi UNION ALL SELECT id, 2, wj, min(d) FROM D GROUP BY id, j, wj)"""
+
+
+@query(_APART + """, S AS (SELECT id, avg(m) AS m FROM M GROUP BY id, s),
 Z AS (SELECT id, sum(m) AS d FROM S GROUP BY id) SELECT P.id, round(coalesce(d, 0), 6) AS distance FROM P LEFT JOIN Z USING (id)""")
 def relaxed_wmd(spark, d):
     """Mean least distance between the words of the two texts, both directions added."""
     df, words = _words_of(spark, d)
-    return embed.relaxed_distance(df, "id", F.col("a"), F.col("b"), words).select("id", r("distance").alias("distance"))
+    return embed.relaxed_distance(df, "id", F.col("a"), F.col("b"), words, 300).select("id", r("distance").alias("distance"))
+
+
+def _weighted_wmd(spark, d, weight):
+    df, words = _words_of(spark, d)
+    return embed.relaxed_distance(df, "id", F.col("a"), F.col("b"), words, 300, weight=weight(df)).select("id", r("distance", 9).alias("distance"))
+
+
+_WEIGHTED = " SELECT P.id, round(coalesce(sum(m * wt), 0), 9) AS distance FROM P LEFT JOIN (M JOIN G USING (w)) USING (id) GROUP BY P.id"
+
+
+@query(_APART + ", G AS (SELECT w, CASE WHEN count(*) < 2 THEN 0.0 ELSE 1 / (count(*) + 10000.0) END AS wt FROM X GROUP BY w)" + _WEIGHTED)
+def relaxed_wmd_tf(spark, d):
+    """Sum of the least distances, each times 1 / (count of its word + 10,000)."""
+
+    def weight(df):
+        n = df.select(F.explode(F.concat("a", "b")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        return corpus.inverse_weights(n).select("word", F.col("weight").alias("w"))
+
+    return _weighted_wmd(spark, d, weight)
+
+
+@query(_APART + ", G AS (SELECT w, log2((SELECT count(DISTINCT (id, s)) FROM X) / count(DISTINCT (id, s))) AS wt FROM X GROUP BY w)" + _WEIGHTED)
+def relaxed_wmd_idf(spark, d):
+    """The same with the words' log2(n / df)."""
+
+    def weight(df):
+        side = F.explode(F.array(F.struct(F.lit(1).alias("s"), F.col("a").alias("t")), F.struct(F.lit(2).alias("s"), F.col("b").alias("t")))).alias("x")
+        t = corpus.document_frequency(corpus.token_table(df.select("id", side).select("id", "x.s", "x.t"), ["id", "s"], F.col("t")), ["id", "s"])
+        return t.select(F.col("token").alias("word"), corpus.idf_log2(F.col("df"), F.col("n_docs")).alias("w"))
+
+    return _weighted_wmd(spark, d, weight)
 
 
 _NEAR = """, S AS (SELECT q.item AS query, x.item, list_cosine_similarity(q.vec, x.vec) AS score FROM U q JOIN U x ON q.item <> x.item WHERE {where})
@@ -656,14 +729,14 @@ SELECT query, item, CAST(row_number() OVER (PARTITION BY query ORDER BY round(sc
 def synonyms_topk(spark, d):
     """The five nearest words of every word of word_vectors."""
     w = embed.unique_words(table(spark, d, "word_vectors", "word", "vec")).withColumnRenamed("word", "item")
-    return embed.nearest(w.withColumnRenamed("item", "query"), w, 5).withColumn("score", r("score"))
+    return embed.nearest(w.withColumnRenamed("item", "query"), w, 5, 300).withColumn("score", r("score"))
 
 
 @query("WITH U AS (SELECT vec_id AS item, embedding::DOUBLE[] AS vec FROM embeddings)" + _NEAR.format(where="q.item % 100 = 0"))
 def nearest_vectors(spark, d):
     """The five nearest vectors of the query set (ids divisible by 100) among all."""
     e = table(spark, d, "embeddings", "vec_id", "embedding").select(F.col("vec_id").alias("item"), F.col("embedding").alias("vec"))
-    return embed.nearest(e.filter("item % 100 = 0").withColumnRenamed("item", "query"), e, 5).withColumn("score", r("score"))
+    return embed.nearest(e.filter("item % 100 = 0").withColumnRenamed("item", "query"), e, 5, 64).withColumn("score", r("score"))
 
 
 # ---- rows, splits, folds, predictions
@@ -681,6 +754,14 @@ def kfold5(spark, d):
     return rows.folds(pairs(spark, d), "id").select("id", "fold")
 
 
+@query(f"""WITH {P}, F AS (SELECT id, CAST({_BUCKET.format(k='id', seed='fold')} % 5 AS INTEGER) AS f FROM P), K AS (SELECT unnest(range(5))::INTEGER AS fold)
+SELECT fold, CASE WHEN f = fold THEN 'held out' ELSE 'train' END AS part, id FROM F, K UNION ALL SELECT fold, 'test', test_id FROM (SELECT DISTINCT test_id FROM test), K""")
+def folds_with_test(spark, d):
+    """For each fold its training rows, and the rows to predict: those held out and the whole test."""
+    te = one_per_id(table(spark, d, "test", "test_id"), "test_id").withColumnRenamed("test_id", "id")
+    return rows.fold_parts(rows.folds(pairs(spark, d).select("id"), "id"), te, "id")
+
+
 @query(f"WITH {P}, N AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n, count(*) OVER () AS c FROM P) SELECT id, CAST(least(n // (c // 5), 4) AS INTEGER) AS fold FROM N")
 def kfold_contiguous(spark, d):
     return rows.contiguous_folds(pairs(spark, d), ["id"]).select("id", "fold")
@@ -701,10 +782,10 @@ def oversample_08(spark, d):
 @query(f"""WITH {P}, C AS (SELECT count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM P), S AS (SELECT neg, pos / (pos + neg) / 0.165 - 1 AS s FROM C),
 K AS (SELECT neg, CASE WHEN s > 1 THEN pow(2, ceil(s) - 1) ELSE 1 END AS times, CASE WHEN s > 1 THEN s - (ceil(s) - 1) ELSE greatest(s, 0) END AS rest FROM S),
 G AS (SELECT id, label, row_number() OVER (ORDER BY id) - 1 AS n FROM P WHERE label = 0), M AS (SELECT G.*, times, CAST(floor(rest * neg * times) AS BIGINT) AS extra, neg FROM G, K)
-SELECT CAST(label AS VARCHAR) AS label, count(*) AS n FROM (SELECT label FROM P WHERE label IS DISTINCT FROM 0 UNION ALL SELECT label FROM (SELECT label, unnest(range(0, CAST(CAST(times AS BIGINT) + extra // neg + CASE WHEN n < extra % neg THEN 1 ELSE 0 END AS BIGINT))) FROM M)) GROUP BY label""")
+SELECT id, label, 0 AS copy FROM P WHERE label IS DISTINCT FROM 0 UNION ALL SELECT id, label, CAST(unnest(range(0, CAST(CAST(times AS BIGINT) + extra // neg + CASE WHEN n < extra % neg THEN 1 ELSE 0 END AS BIGINT))) AS INTEGER) FROM M""")
 def oversample_prior(spark, d):
-    """Rows per label after the negatives were repeated to reach the prior."""
-    return rows.oversample_to_prior(pairs(spark, d), "id", "label").groupBy(F.col("label").cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    """The rows, with copies of the negatives that bring the positives' share to the prior."""
+    return rows.oversample_to_prior(pairs(spark, d), "id", "label").select("id", "label", "copy")
 
 
 def _scores(spark, d):
@@ -750,28 +831,33 @@ def libsvm_rows(spark, d):
     return t.select("id", files.sparse_line(v, F.col("label")).alias("line"))
 
 
-@query(f"""WITH {T}, X AS (SELECT id, unnest(a) AS w, generate_subscripts(a, 1) AS i FROM T), B AS (SELECT w, count(*) AS n FROM (SELECT unnest(a) AS w FROM T UNION ALL SELECT unnest(b) FROM T) GROUP BY w),
-R AS (SELECT w, row_number() OVER (ORDER BY n DESC, w) AS k FROM B), S AS (SELECT id, list(k ORDER BY i) FILTER (k < 200000) AS s FROM X JOIN R USING (w) GROUP BY id)
-SELECT T.id, array_to_string(list_concat(list_transform(range(len(coalesce(s, [])), 30), lambda x: 0), list_reverse(list_reverse(coalesce(s, []))[1:30])), ' ') AS seq FROM T LEFT JOIN S USING (id)""")
+_SEQ = "array_to_string(list_concat(list_transform(range(len(coalesce({0}, [])), 30), lambda x: 0), list_reverse(list_reverse(coalesce({0}, []))[1:30])), ' ')"
+
+
+@query(f"""WITH {T}, X AS (SELECT id, 1 AS s, unnest(a) AS w, generate_subscripts(a, 1) AS i FROM T UNION ALL SELECT id, 2, unnest(b), generate_subscripts(b, 1) FROM T), B AS (SELECT w, count(*) AS n FROM X GROUP BY w),
+R AS (SELECT w, row_number() OVER (ORDER BY n DESC, w) AS k FROM B), S AS (SELECT id, list(k ORDER BY i) FILTER (k < 200000 AND s = 1) AS x, list(k ORDER BY i) FILTER (k < 200000 AND s = 2) AS y FROM X JOIN R USING (w) GROUP BY id)
+SELECT T.id, {_SEQ.format('x')} AS seq1, {_SEQ.format('y')} AS seq2 FROM T LEFT JOIN S USING (id)""")
 def pad_sequences(spark, d):
-    """Word ranks of question1, the last 30, filled with 0 in front."""
-    return corpus.padded_sequences(token_pairs(spark, d), "id", "a", ["a", "b"], 30, 200_000).select("id", F.array_join(F.transform("seq", lambda x: x.cast("string")), " ").alias("seq"))
+    """Word ranks of both texts, the last 30 of each, filled with 0 in front."""
+    t = token_pairs(spark, d)
+    said = lambda a, to: corpus.padded_sequences(t, "id", a, ["a", "b"], 30, 200_000).select("id", F.array_join(F.transform("seq", lambda x: x.cast("string")), " ").alias(to))
+    return said("a", "seq1").join(said("b", "seq2"), "id")
 
 
-@query(f"""WITH {P}, L AS (SELECT id, label, length(q1) AS z1, length(q2) AS z2 FROM P), S AS (SELECT id, {_P(1)} AS f1 FROM P WHERE id % 2 = 0)
-SELECT id, CAST(z1 AS INTEGER) AS z1, CAST(z2 AS INTEGER) AS z2, round(coalesce(f1, 0), 6) AS f1, CAST(CASE WHEN label = 1 THEN 0.472001959 ELSE 1.309028344 END AS DOUBLE) AS weight FROM L LEFT JOIN S USING (id)""")
+@query("""WITH B AS (SELECT DISTINCT test_id, length(coalesce(question1, '')) AS z1, length(coalesce(question2, '')) AS z2 FROM test), S AS (SELECT test_id, avg(is_duplicate) AS f1 FROM submission GROUP BY test_id)
+SELECT test_id, CAST(z1 AS INTEGER) AS z1, CAST(z2 AS INTEGER) AS z2, round(coalesce(f1, 0), 6) AS f1 FROM B LEFT JOIN S USING (test_id)""")
 def feature_matrix_join(spark, d):
-    """Feature tables joined by key, gaps 0, with the weight of the row's class."""
-    p = pairs(spark, d)
-    z = p.select("id", F.length("q1").alias("z1"), F.length("q2").alias("z2"))
-    f = _scores(spark, d).filter("id % 2 = 0").select("id", F.col("p1").alias("f1"))
-    return rows.join_features(p.select("id", "label"), [z, f], ["id"]).select("id", "z1", "z2", r("f1").alias("f1"), rows.prior_weight(F.col("label")).alias("weight"))
+    """Feature tables of test joined by key; a record without a prediction has 0."""
+    p = one_per_id(table(spark, d, "test", "test_id", "question1", "question2"), "test_id")
+    z = p.select("test_id", *[F.length(F.coalesce(f"question{i}", F.lit(""))).alias(f"z{i}") for i in (1, 2)])
+    f = table(spark, d, "submission", "test_id", "is_duplicate").groupBy("test_id").agg(F.avg("is_duplicate").alias("f1"))
+    return rows.join_features(p.select("test_id"), [z, f], ["test_id"]).select("test_id", "z1", "z2", r("f1").alias("f1"))
 
 
 @query(f"""WITH {P}, L AS (SELECT id, label, length(q1) AS z1, length(q2) AS z2 FROM P), S AS (SELECT id, {_P(1)} AS f1 FROM P)
 SELECT id, CAST(z1 AS INTEGER) AS z1, CAST(z2 AS INTEGER) AS z2, round(coalesce(f1, 0), 6) AS f1, CAST(CASE WHEN label = 1 THEN 0.472001959 ELSE 1.309028344 END AS DOUBLE) AS weight FROM L LEFT JOIN S USING (id)""")
 def feature_matrix_whole(spark, d):
-    """feature_matrix_join over both whole feature tables."""
+    """Feature tables of train joined by key, with the weight of the row's class."""
     p = pairs(spark, d)
     z = p.select("id", F.length("q1").alias("z1"), F.length("q2").alias("z2"))
     f = _scores(spark, d).select("id", F.col("p1").alias("f1"))
@@ -779,14 +865,14 @@ def feature_matrix_whole(spark, d):
 
 
 @query(f"""WITH {T}, {_WV}, B AS (SELECT w, count(*) AS n FROM (SELECT unnest(a) AS w FROM T UNION ALL SELECT unnest(b) FROM T) GROUP BY w), R AS (SELECT w, row_number() OVER (ORDER BY n DESC, w) - 1 AS k FROM B)
-SELECT w AS word, k, round(coalesce(list_sum(vec), 0), 4) AS total FROM R LEFT JOIN WV ON w = word""")
+SELECT w AS word, k, array_to_string(list_transform(coalesce(vec, list_transform(range(300), lambda x: 0.0::DOUBLE)), lambda x: CAST(round(x * 1e6) AS BIGINT)), ' ') AS vec FROM R LEFT JOIN WV ON w = word""")
 def embedding_matrix(spark, d):
-    """The vocabulary by falling frequency, each word with its vector or zeros; the sum of the vector stands for it."""
+    """The vocabulary by falling frequency, each word with its vector or zeros, in millionths."""
     t = token_pairs(spark, d)
     counts = t.select(F.explode(F.concat("a", "b")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     vocabulary = rows.numbered(counts.withColumn("_k", -F.col("n")), ["_k", "word"], "k").select("word", "k")
     m = embed.embedding_matrix(vocabulary, embed.unique_words(table(spark, d, "word_vectors", "word", "vec")), 300)
-    return m.select("word", "k", r(F.aggregate("vec", F.lit(0.0), lambda x, y: x + y), 4).alias("total"))
+    return m.select("word", "k", F.array_join(F.transform("vec", lambda x: F.round(x * 1e6).cast("long").cast("string")), " ").alias("vec"))
 
 
 @query("""SELECT split, CAST(is_null AS BOOLEAN) AS no_label, count(*) AS n FROM (SELECT DISTINCT 'train' AS split, id, is_duplicate IS NULL AS is_null FROM train
@@ -835,13 +921,45 @@ def taxonomy_similarity(spark, d):
     return lexicon.similarities(both, up).select("a", "b", r("path").alias("path"), r("wup").alias("wup"))
 
 
-@query(f"""WITH {P}, {_WV}, X AS (SELECT id, unnest({_CLEANED.format('q1')}) AS w, generate_subscripts({_CLEANED.format('q1')}, 1) AS i FROM P), K AS (SELECT id, i, w FROM X JOIN WV ON w = word)
-SELECT P.id, coalesce(string_agg(w, ' ' ORDER BY i), '') AS found FROM P LEFT JOIN K USING (id) GROUP BY P.id""")
+#: Endings that tell a word's part of speech, else it is a noun (fixed values).
+ENDINGS = {"VB": ("ing", "ed", "ize", "ise", "ify"), "JJ": ("ous", "ful", "ive", "able", "ible", "al", "ic"), "RB": ("ly",)}
+
+
+def tag_by_ending(word):
+    """Part of speech by the ending of a word; a stand-in for a tagger's dictionary, which the user may bring."""
+    out = F.lit("NN")
+    for tag, ends in ENDINGS.items():
+        out = F.when(F.length(word) > 4, F.when(word.rlike(f"({'|'.join(ends)})$"), tag).otherwise(out)).otherwise(out)
+    return out
+
+
+_TAG = "CASE WHEN length({0}) > 4 AND {0} LIKE '%ly' THEN 'RB'" + "".join(f" WHEN length({{0}}) > 4 AND regexp_matches({{0}}, '({'|'.join(ENDINGS[t])})$') THEN '{t}'" for t in ("JJ", "VB")) + " ELSE 'NN' END"
+_FOUND = lambda s: f"coalesce(string_agg(w, ' ' ORDER BY i) FILTER (s = {s}), '')"
+
+
+@query(f"""WITH {P}, {_WV}, X AS (SELECT id, 1 AS s, unnest({_CLEANED.format('q1')}) AS w, generate_subscripts({_CLEANED.format('q1')}, 1) AS i FROM P UNION ALL SELECT id, 2, unnest({_CLEANED.format('q2')}), generate_subscripts({_CLEANED.format('q2')}, 1) FROM P),
+K AS (SELECT id, s, i, w FROM X JOIN WV ON w = word WHERE {_TAG.format('w')} IN ('NN', 'VB')) SELECT P.id, {_FOUND(1)} AS found1, {_FOUND(2)} AS found2 FROM P LEFT JOIN K USING (id) GROUP BY P.id""")
 def dictionary_words(spark, d):
-    """The words of question1 that a dictionary has with a tag asked for; here word_vectors' words, all tagged N."""
-    p = pairs(spark, d).select("id", tx.words("q1").alias("t"))
-    known = embed.unique_words(table(spark, d, "word_vectors", "word", "vec")).select("word", F.lit("NN").alias("tag"))
-    return lexicon.look_up_words(p, "id", F.col("t"), known, "tag", ("N",)).select("id", F.array_join("found", " ").alias("found"))
+    """The nouns and verbs of both texts, by a dictionary of word_vectors' words with tags."""
+    p = pairs(spark, d)
+    known = embed.unique_words(table(spark, d, "word_vectors", "word", "vec")).select("word", tag_by_ending(F.col("word")).alias("tag"))
+    found = lambda q, to: lexicon.look_up_words(p.select("id", tx.words(q).alias("t")), "id", F.col("t"), known, "tag", ("NN", "VB")).select("id", F.array_join("found", " ").alias(to))
+    return found("q1", "found1").join(found("q2", "found2"), "id")
+
+
+@query()
+def semantic_similarity(spark, d):
+    """The lexicon's chain over both texts: words, tags, senses by their glosses, path and Wu-Palmer similarity of the best counterparts.
+
+    The lexicon is built from word_vectors: a word is a sense, its gloss are its five nearest words, and its parent is the nearest of
+    these that sorts before it, or else the root.
+    """
+    words = embed.unique_words(table(spark, d, "word_vectors", "word", "vec"))
+    work = Workspace(spark, "semantics")
+    senses, parents = lexicon.from_vectors(words, 300, work)
+    tags = words.select("word", tag_by_ending(F.col("word")).alias("tag"))
+    p = pairs(spark, d).select("id", tx.words("q1").alias("a"), tx.words("q2").alias("b"))
+    return lexicon.semantic_similarity(p, "id", F.col("a"), F.col("b"), tags, senses, parents, work).select("id", r("similarity").alias("similarity"))
 
 
 @query("SELECT id, qid1, qid2, nullif(question1, '') AS question1, nullif(question2, '') AS question2, is_duplicate FROM (SELECT DISTINCT id, qid1, qid2, question1, question2, is_duplicate FROM train)")
@@ -866,9 +984,8 @@ def glove_round_trip(spark, d):
 FOLDS = 5
 
 
-def features(spark, d):
-    """A small feature table with labels and folds."""
-    t = token_pairs(spark, d)
+def pair_features(pairs_, *keys: str):
+    """``keys`` and features of the texts q1 and q2."""
     m = tx.let(
         lambda a, b, x, y: F.struct(
             sets.word_match_share(a, b).alias("z_share"),
@@ -877,61 +994,115 @@ def features(spark, d):
             F.abs(F.size(a) - F.size(b)).cast("double").alias("z_wc_diff"),
             F.levenshtein(x, y).cast("double").alias("f_distance"),
         ),
-        F.col("a"),
-        F.col("b"),
+        tx.tokens(F.lower("q1")),
+        tx.tokens(F.lower("q2")),
         F.col("q1"),
         F.col("q2"),
     )
-    df = t.select("id", "label", m.alias("m")).select("id", "label", "m.*").fillna(0.0, ["z_share", "z_dice", "z_ochiai2", "z_wc_diff", "f_distance"])
-    return Workspace(spark, "features").save(rows.folds(df, "id", FOLDS), "features")
+    return pairs_.select(*keys, m.alias("m")).select(*keys, "m.*").fillna(0.0, ["z_share", "z_dice", "z_ochiai2", "z_wc_diff", "f_distance"])
 
 
-def _oof(spark, d, learner):
-    f = features(spark, d)
-    return learn.out_of_fold(f, "id", "label", [c for c in rows.feature_columns(f) if c != "fold"], learner(f), FOLDS)
+def features(spark, d):
+    """A small feature table of train with labels and folds."""
+    return Workspace(spark, "features").save(rows.folds(pair_features(pairs(spark, d), "id", "label"), "id", FOLDS), "features")
+
+
+def _oof(spark, d, learner, form=lambda f: f):
+    f = form(features(spark, d))
+    return learn.out_of_fold(f, "id", "label", _names(f), learner, FOLDS)
+
+
+def _names(f):
+    return [c for c in rows.feature_columns(f) if c != "fold"]
 
 
 @query()
 def lr_predict(spark, d):
-    return _oof(spark, d, lambda f: learn.logistic("label", f.count()))
+    return _oof(spark, d, learn.logistic("label"))
 
 
 @query()
 def rf_predict(spark, d):
-    return _oof(spark, d, lambda f: learn.forest("label"))
+    return _oof(spark, d, learn.forest("label"))
+
+
+@query()
+def rf_balanced_predict(spark, d):
+    """A forest in which both classes weigh the same."""
+    form = lambda f: learn.balanced_weight(f.filter("label is not null"), "label")
+    return _oof(spark, d, learn.forest("label", weight="weight"), form)
 
 
 @query()
 def gbt_predict(spark, d):
-    return _oof(spark, d, lambda f: learn.boosted("label"))
+    """Boosting that stops early by a tenth of each fold's training rows."""
+    return _oof(spark, d, learn.boosted("label", held="held"), lambda f: f.withColumn("held", rows.bucket("id", "held") < 100_000))
+
+
+@query()
+def gbc_predict(spark, d):
+    """Boosting with the square root of the features at each split."""
+    return _oof(spark, d, learn.boosted("label", depth=4, features="sqrt"))
+
+
+@query()
+def svc_predict(spark, d):
+    return _oof(spark, d, learn.support_vector("label"))
 
 
 @query()
 def mlp_predict(spark, d):
-    return _oof(spark, d, lambda f: learn.perceptron("label", 5))
+    return _oof(spark, d, learn.perceptron("label", 5))
 
 
 @query()
 def cv_grid(spark, d):
-    """Mean log-loss of each cell of two grids: the strength of regularisation, and the trees, depth and features of forests."""
-    f = features(spark, d)
-    names = [c for c in rows.feature_columns(f) if c != "fold"]
-    linear = learn.grid_search(f, "label", names, learn.logistic("label", 1000), {"regParam": [0.0001, 0.01, 0.1]}, k=FOLDS)
-    trees = {"numTrees": [8, 20], "maxDepth": [6, 8, 10], "featureSubsetStrategy": ["auto", "sqrt", "log2"]}
-    forests = learn.grid_search(f, "label", names, learn.forest("label"), trees, k=FOLDS)
-    cells = [(str(p["regParam"]), None, None, None, m) for p, m in linear] + [(None, *[p[t] for t in trees], m) for p, m in forests]
-    return spark.createDataFrame(cells, "reg string, trees int, depth int, features string, log_loss double")
+    """Mean log-loss of each cell of two grids: C by class weight of logistic regression; trees, depth and features of forests."""
+    f = learn.balanced_weight(features(spark, d).filter("label is not null"), "label")
+    linear = [{"c": c, "weight": w} for c in (0.6, 0.8, 1.0, 1.2) for w in (None, "weight")]
+    trees = [{"trees": t, "depth": n, "features": m} for t in (8, 20) for n in (6, 8, 10) for m in ("auto", "sqrt", "log2")]
+    out = learn.grid_search(f, "label", _names(f), linear, lambda **c: learn.logistic("label", **c), FOLDS)
+    out += learn.grid_search(f, "label", _names(f), trees, lambda **c: learn.forest("label", **c), FOLDS)
+    return spark.createDataFrame([(p.get("c"), p.get("weight"), p.get("trees"), p.get("depth"), p.get("features"), m) for p, m in out], "c double, weight string, trees int, depth int, features string, log_loss double")
 
 
 @query()
 def stack_level2(spark, d):
     """A second level over the out-of-fold predictions of two first-level learners."""
     f = features(spark, d)
-    names = [c for c in rows.feature_columns(f) if c != "fold"]
-    levels = [learn.out_of_fold(f, "id", "label", names, m, FOLDS) for m in (learn.logistic("label", 1000), learn.forest("label"))]
+    levels = [learn.out_of_fold(f, "id", "label", _names(f), m, FOLDS) for m in (learn.logistic("label"), learn.forest("label"))]
     return learn.stacked(levels, "id", "label", f, FOLDS)
 
 
+@query()
+def lr_test_mean(spark, d):
+    """What the models of all folds say of the records of test, and the mean, which is blended with the submission."""
+    f = features(spark, d)
+    models = learn.fold_models(f, "label", _names(f), learn.logistic("label"), FOLDS)
+    t = one_per_id(table(spark, d, "test", "test_id", "question1", "question2").filter("test_id is not null"), "test_id")
+    t = t.select("test_id", F.coalesce("question1", F.lit("")).alias("q1"), F.coalesce("question2", F.lit("")).alias("q2"))
+    said = learn.fold_means(pair_features(t, "test_id"), "test_id", models)
+    s = table(spark, d, "submission").filter("is_duplicate is not null").groupBy("test_id").agg(F.avg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), "is_duplicate"))).alias("p"))
+    mixed = rows.blend([(said.select("test_id", F.col("prediction").alias("p")), 0.5), (s, 0.5)], "test_id", "p").withColumnRenamed("p", "blend")
+    return said.join(mixed, "test_id", "left")
+
+
+@query()
+def lr_logloss(spark, d):
+    """Log-loss of the out-of-fold predictions of logistic regression."""
+    return rows.log_loss(_oof(spark, d, learn.logistic("label")), "label", "p")
+
+
+@query()
+def saved_model_predict(spark, d):
+    """Predictions of a model that was saved and loaded again."""
+    f = features(spark, d)
+    model = learn.fold_models(f, "label", _names(f), learn.logistic("label"), 1)[0]
+    path = Workspace(spark, "model").path("lr")
+    learn.save_model(model, path)
+    return learn.probability(learn.load_model(path).transform(f)).select("id", "p")
+
+
 @query()
 def document_vectors(spark, d):
     """Similarity of the two texts' learned document vectors."""
@@ -944,19 +1115,25 @@ def document_vectors(spark, d):
     return both.select("id", *[r(getattr(V, f)(x, y)).alias(f) for f in ("cosine_guarded", "manhattan", "sum_difference")], r(tx.let(V.pearson, x, y)).alias("pearson"), r(tx.let(V.spearman, x, y)).alias("spearman"), r(V.kendall("x", "y")).alias("kendall"))
 
 
+def _synonyms(spark, t):
+    both = t.select(F.explode(F.array("a", "b")).alias("t"))
+    return Workspace(spark, "synonyms").save(learn.synonym_table(learn.learned_vectors(both, "t", least=5)), "synonyms")
+
+
 @query()
 def synonym_expansion(spark, d):
-    """question1 with each word replaced by its five nearest words in learned vectors."""
-    t = token_pairs(spark, d).select("id", "a")
-    syn = learn.synonym_table(learn.learned_vectors(t, "a", least=5))
-    return embed.expand(t, "id", F.col("a"), syn).select("id", F.array_join("tokens", " ").alias("tokens"))
+    """Both texts with each word replaced by its five nearest words in vectors learned from both."""
+    t = token_pairs(spark, d).select("id", "a", "b")
+    syn = _synonyms(spark, t)
+    said = lambda c, to: embed.expand(t, "id", F.col(c), syn).select("id", F.array_join("tokens", " ").alias(to))
+    return said("a", "tokens1").join(said("b", "tokens2"), "id")
 
 
 @query()
 def expanded_weight_share(spark, d):
     """Weight share of the two texts after each word was replaced by its nearest words in learned vectors."""
     t = token_pairs(spark, d)
-    syn = learn.synonym_table(learn.learned_vectors(t, "a", least=5))
+    syn = _synonyms(spark, t)
     a, b = embed.expand(t, "id", F.col("a"), syn), embed.expand(t, "id", F.col("b"), syn)
     both = a.join(b.withColumnRenamed("tokens", "other"), "id")
     share = corpus.weight_share(corpus.pair_tokens(both, "id", F.col("tokens"), F.col("other")), "id", _weights(pairs(spark, d)))

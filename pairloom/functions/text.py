@@ -20,9 +20,21 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+#: A run of word characters that are no decimal digits; the underscore is one of them.
+ALPHABETIC = r"[\p{L}\p{Nl}\p{No}_]+"
+#: Two or more blanks, of any kind.
+BLANKS = r"[\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]{2,}"
+
+
 def plain_words(text: Column) -> Column:
-    """Alphabetic tokens of 2 to 15 letters, in lower case."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0)), lambda w: F.length(w).between(2, 15))
+    """Alphabetic tokens of 2 to 15 characters, in lower case; none that begin with an underscore."""
+    ws = F.regexp_extract_all(F.lower(text), F.lit(ALPHABETIC), F.lit(0))
+    return F.filter(ws, lambda w: F.length(w).between(2, 15) & ~F.startswith(w, F.lit("_")))
+
+
+def one_blank(text: Column) -> Column:
+    """The text with each run of two or more blanks as one."""
+    return F.regexp_replace(text, BLANKS, " ")
 
 
 def vectorizer_words(text: Column, stops: list[str] | None = None) -> Column:
@@ -32,8 +44,8 @@ def vectorizer_words(text: Column, stops: list[str] | None = None) -> Column:
 
 
 def alphabetic(text: Column) -> Column:
-    """Runs of letters, case kept."""
-    return F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0))
+    """Runs of word characters other than digits, case kept."""
+    return F.regexp_extract_all(text, F.lit(ALPHABETIC), F.lit(0))
 
 
 #: Contractions and punctuation that a treebank tokenizer sets apart.

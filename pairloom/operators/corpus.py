@@ -1,7 +1,7 @@
 """Statistics of a collection of texts, and features that weigh tokens by them.
 
 Token tables are long: one row per (row, token). Sums over them are aggregations with a map-side part; a weight is looked up by a
-join on the token. No vocabulary is collected but for :func:`top_grams`, whose size is its parameter.
+join on the token in which frequent tokens are salted. No vocabulary is collected but for :func:`top_grams`, whose size is its parameter.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import one_blank, tokens
 from .rows import numbered
+from .skew import salted_join
 
 
 def both_texts(pairs: DataFrame, *others: DataFrame) -> DataFrame:
@@ -67,8 +68,8 @@ def weighted_pairs(long: DataFrame, key: str, idf) -> DataFrame:
     docs = long.agg(F.lit(0).alias("_"), F.count_distinct(F.when(F.col("c1") > 0, F.col(key))).alias("d1"), F.count_distinct(F.when(F.col("c2") > 0, F.col(key))).alias("d2"))
     n = docs.select((F.col("d1") + F.col("d2")).alias("n"))
     df = long.groupBy("token").agg(F.sum((F.col("c1") > 0).cast("int") + (F.col("c2") > 0).cast("int")).alias("df"))
-    df = df.crossJoin(F.broadcast(n)).select("token", idf(F.col("df"), F.col("n")).alias("idf"))  # n is one row
-    return long.join(df, "token")
+    df = df.crossJoin(F.broadcast(n)).select("token", "df", idf(F.col("df"), F.col("n")).alias("idf"))  # n is one row
+    return salted_join(long, df, "token", "df")
 
 
 def tfidf_distances(long: DataFrame, key: str) -> DataFrame:
@@ -103,7 +104,7 @@ def tfidf_row_stats(long: DataFrame, key: str) -> DataFrame:
 
 def weight_share(long: DataFrame, key: str, weights: DataFrame) -> DataFrame:
     """(key, share): weight of the tokens on both sides over the weight of all tokens, repeats counted; 0 if nothing is shared."""
-    t = long.join(weights.select(F.col("word").alias("token"), "weight"), "token", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    t = salted_join(long, weights.select(F.col("word").alias("token"), "n", "weight"), "token", "n", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     each = F.col("weight") * (F.col("c1") + F.col("c2"))
     shared = F.sum(F.when((F.col("c1") > 0) & (F.col("c2") > 0), each).otherwise(0.0))
     return t.groupBy(key).agg(F.coalesce(F.try_divide(shared, F.sum(each)), F.lit(0.0)).alias("share"))
@@ -111,13 +112,16 @@ def weight_share(long: DataFrame, key: str, weights: DataFrame) -> DataFrame:
 
 def weighted_overlap(long: DataFrame, key: str, weights: DataFrame, eps: float = 1e-6) -> DataFrame:
     """(key, overlap): sum of 2 e^w over pairs of equal tokens, over the sum of e^w of all tokens + eps; known tokens only."""
-    t = long.join(weights.select(F.col("word").alias("token"), F.exp("weight").alias("e")), "token")
+    t = salted_join(long, weights.select(F.col("word").alias("token"), "n", F.exp("weight").alias("e")), "token", "n")
     return t.groupBy(key).agg((F.sum(2 * F.col("e") * F.col("c1") * F.col("c2")) / (F.sum(F.col("e") * (F.col("c1") + F.col("c2"))) + eps)).alias("overlap"))
 
 
 def top_grams(texts: DataFrame, sizes: tuple[int, ...], most: int, least_df: int, share: float) -> list[str]:
-    """The ``most`` frequent character grams in at least ``least_df`` and at most ``share`` of the distinct texts; ties by gram."""
-    docs = texts.select(F.lower("text").alias("text")).distinct()
+    """The ``most`` frequent character grams in at least ``least_df`` and at most ``share`` of the distinct texts; ties by gram.
+
+    Texts are in lower case, with runs of blanks as one.
+    """
+    docs = texts.select(one_blank(F.lower("text")).alias("text")).distinct()
 
     def tally(batches):
         # grams of a batch are added up before they are sent; the marker row counts the texts
@@ -144,8 +148,8 @@ def padded_sequences(df: DataFrame, key: str, array: str, vocabulary: list[str],
     Ranks go from 1 by falling count in the arrays ``vocabulary``, ties by token; tokens from rank ``most`` on are left out.
     """
     all_ = df.select(F.explode(F.concat(*vocabulary)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    rank = numbered(all_.withColumn("_k", -F.col("n")), ["_k", "token"], "k").select("token", (F.col("k") + 1).alias("k")).filter(F.col("k") < most - 1)
-    long = df.select(key, F.posexplode(array).alias("pos", "token")).join(rank, "token")
+    rank = numbered(all_.withColumn("_k", -F.col("n")), ["_k", "token"], "k").select("token", "n", (F.col("k") + 1).alias("k")).filter(F.col("k") < most - 1)
+    long = salted_join(df.select(key, F.posexplode(array).alias("pos", "token")), rank, "token", "n")
     seq = long.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "k"))).alias("x"))  # the tokens of one text
     ids = F.coalesce(F.transform("x", lambda s: s["k"]), F.array().cast("array<bigint>"))
     out = df.select(key).join(seq, key, "left").select(key, ids.alias("ids"))

@@ -1,20 +1,22 @@
 """Word vectors: sentence vectors, relaxed word-mover distances and nearest words.
 
-``vectors`` has (word, vec). Tokens meet their vectors by a join; the sums of a row are aggregations. A word table may be
-broadcast only if it is below :data:`SMALL`; this is checked.
+``vectors`` has (word, vec). A word table of at most :data:`SMALL` bytes is sent to all tasks, which is checked, and rows are worked on where
+they lie; with a larger one tokens meet their vectors by a join, and the sums of a row are aggregations.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .skew import salted_join
 
-#: Rows of a word table that may be sent to all tasks.
-SMALL = 50_000
+#: Bytes of a table of vectors that may be sent to all tasks.
+SMALL = 64_000_000
 
 
 def unique_words(vectors: DataFrame) -> DataFrame:
@@ -22,44 +24,51 @@ def unique_words(vectors: DataFrame) -> DataFrame:
     return vectors.filter("word is not null and vec is not null").groupBy(F.lower("word").alias("word")).agg(F.min_by("vec", "word").alias("vec"))
 
 
-def _near(words: DataFrame) -> DataFrame:
-    return F.broadcast(words) if words.limit(SMALL + 1).count() <= SMALL else words
+def _is_small(vectors: DataFrame, dims: int) -> bool:
+    most = SMALL // (8 * dims)
+    return vectors.limit(most + 1).count() <= most
+
+
+def _matrix(words: DataFrame, dims: int) -> tuple[dict, np.ndarray, np.ndarray]:
+    """Place of each word, vectors, weights (column w, else 1) of a small table."""
+    table = words.filter("word is not null and vec is not null").toArrow()
+    at = {w: i for i, w in enumerate(table["word"].to_pylist())}
+    matrix = pc.cast(pc.list_flatten(table["vec"]), pa.float64()).to_numpy().reshape(len(at), dims)
+    return at, matrix, table["w"].to_numpy() if "w" in table.column_names else np.ones(len(at))
 
 
 def add_vectors(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y)
 
 
-def sentence_vectors(rows: DataFrame, keys: list[str], array: Column, words: DataFrame, dims: int, weight: DataFrame | None = None) -> DataFrame:
+def sentence_vectors(rows: DataFrame, keys: list[str], array: Column, words: DataFrame, dims: int, weight: DataFrame | None = None, missing: float = 0.0) -> DataFrame:
     """(keys, vec): the mean of the vectors of a row's known tokens, repeats counted; weighted by ``weight`` (token, w) if given.
 
-    A row without known tokens has the zero vector. A table of at most :data:`SMALL` words is sent to all tasks, which take the means
-    where the rows lie; a larger one is joined and the mean is taken component by component.
+    All components of a row without known tokens are ``missing``: 0, or NaN as where a sum is divided by no tokens unguarded. A small
+    table is sent to all tasks, which take the means where the rows lie; a larger one is joined and the mean is
+    taken component by component.
     """
     if weight is not None:
         words = words.join(weight.select(F.col("token").alias("word"), "w"), "word")
-    if words.limit(SMALL + 1).count() <= SMALL:
-        return _means_small(rows, keys, array, words, dims)
+    if _is_small(words, dims):
+        return _means_small(rows, keys, array, words, dims, missing)
     long = rows.select(*keys, F.explode(array).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).cast("double").alias("w"))
     own = F.col("_w") if weight is not None else F.lit(1.0)
     table = words.select(F.col("word").alias("token"), "vec", *([F.col("w").alias("_w")] if weight is not None else []))
-    known = long.join(table, "token").withColumn("w", F.col("w") * own)
+    loads = long.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    known = salted_join(long, table.join(loads, "token"), "token", "n").withColumn("w", F.col("w") * own)
     comps = [(F.sum(F.col("w") * F.get("vec", F.lit(i))) / F.nullif(F.sum("w"), F.lit(0.0))).alias(f"_{i}") for i in range(dims)]
-    mean = known.groupBy(*keys).agg(*comps).select(*keys, F.array(*[F.coalesce(f"_{i}", F.lit(0.0)) for i in range(dims)]).alias("vec"))
-    return rows.select(*keys).distinct().join(mean, keys, "left").select(*keys, F.coalesce("vec", F.array_repeat(F.lit(0.0), dims)).alias("vec"))
+    mean = known.groupBy(*keys).agg(*comps).select(*keys, F.array(*[F.coalesce(f"_{i}", F.lit(missing)) for i in range(dims)]).alias("vec"))
+    return rows.select(*keys).distinct().join(mean, keys, "left").select(*keys, F.coalesce("vec", F.array_repeat(F.lit(missing), dims)).alias("vec"))
 
 
-def _means_small(rows: DataFrame, keys: list[str], array: Column, words: DataFrame, dims: int) -> DataFrame:
-    table = words.filter("vec is not null").collect()  # at most SMALL
-    at = {r.word: i for i, r in enumerate(table)}
-    matrix = np.array([list(r.vec) for r in table], dtype=float).reshape(len(table), dims)
-    weights = np.array([r.w for r in table]) if "w" in words.columns else np.ones(len(table))
-    shared = rows.sparkSession.sparkContext.broadcast((at, matrix, weights))
+def _means_small(rows: DataFrame, keys: list[str], array: Column, words: DataFrame, dims: int, missing: float) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(_matrix(words, dims))
 
     def run(batches):
         at, matrix, weights = shared.value
         for b in batches:
-            out = np.zeros((b.num_rows, dims))
+            out = np.full((b.num_rows, dims), missing)
             for i, ts in enumerate(b.column("_tokens").to_pylist()):
                 known = [at[t] for t in ts or () if t in at]
                 if known:
@@ -74,46 +83,94 @@ def _means_small(rows: DataFrame, keys: list[str], array: Column, words: DataFra
     return rows.select(*keys, array.alias("_tokens")).mapInArrow(run, schema)
 
 
-def relaxed_distance(pairs: DataFrame, key: str, a: Column, b: Column, words: DataFrame, restart: bool = False) -> DataFrame:
-    """(key, distance): for each token of one side the least distance to a token of the other, the mean of these, both directions added.
+def relaxed_distance(pairs: DataFrame, key: str, a: Column, b: Column, words: DataFrame, dims: int, restart: bool = False, weight: DataFrame | None = None) -> DataFrame:
+    """(key, distance): for each token of one side the least distance to a token of the other; the mean of these, both directions added.
 
-    Only known words count. A side without known tokens gives 0. With ``restart`` a running minimum of 0 is overwritten by the next
-    distance in the order of the other side, as formulas that take 0 for 'none yet' do.
+    With ``weight`` (word, w) the least distances are not averaged but summed, each times its token's weight (0 for a word without one).
+    Only known words count. A side without known tokens gives 0. With ``restart`` a running minimum of 0 is overwritten by
+    the next distance in the order of the other side, as formulas that take 0 for 'none yet' do.
     """
-    w = _near(words.select("word"))
-    side = lambda c, n: pairs.select(key, F.posexplode(c).alias(n, "word")).join(w, "word").withColumnRenamed("word", f"w{n}")
-    both = side(a, "i").join(side(b, "j"), key)
+    if weight is not None:
+        words = words.join(weight.select("word", "w"), "word", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+    if _is_small(words, dims):
+        return _relaxed_small(pairs, key, a, b, words, dims, restart, weight is not None)
+    w = words.select("word")
+    side = lambda c, n: pairs.select(key, F.posexplode(c).alias(n, "word"))
+
+    def known(n: str, c: Column) -> DataFrame:
+        s = side(c, n)
+        return salted_join(s, w.join(s.groupBy("word").agg(F.count(F.lit(1)).alias("_n")), "word"), "word", "_n").withColumnRenamed("word", f"w{n}")
+
+    both = known("i", a).join(known("j", b), key)
     # the distance of two words is computed once, however many pairs of texts have them
-    apart = both.select("wi", "wj").distinct()
+    apart = both.groupBy(F.struct("wi", "wj").alias("two")).agg(F.count(F.lit(1)).alias("_n"))
     for n in ("i", "j"):
-        apart = apart.join(words.select(F.col("word").alias(f"w{n}"), F.col("vec").alias(f"v{n}")), f"w{n}")
-    apart = apart.select("wi", "wj", V.euclidean(F.col("vi"), F.col("vj")).alias("d"))
-    d = both.join(apart, ["wi", "wj"]).select(key, "i", "j", "d")
+        apart = apart.join(words.select(F.col("word").alias("_w"), F.col("vec").alias(f"v{n}")), F.col(f"two.w{n}") == F.col("_w")).drop("_w")
+    apart = apart.select("two", "_n", V.euclidean(F.col("vi"), F.col("vj")).alias("d"))
+    d = salted_join(both.select(key, "i", "j", F.struct("wi", "wj").alias("two")), apart, "two", "_n")
+    d = d.select(key, "i", "j", F.col("two.wi").alias("wi"), F.col("two.wj").alias("wj"), "d")
 
     def least(own: str, other: str) -> DataFrame:
         if restart:
             ordered = F.transform(F.array_sort(F.collect_list(F.struct(other, "d"))), lambda s: s["d"])  # the tokens of one text
             m = F.aggregate(ordered, F.lit(0.0), lambda acc, v: F.when(acc == 0, v).otherwise(F.least(acc, v)))
-            each = d.groupBy(key, own).agg(m.alias("m"))
         else:
-            each = d.groupBy(key, own).agg(F.min("d").alias("m"))
-        return each.groupBy(key).agg(F.avg("m").alias("s"))
+            m = F.min("d")
+        each = d.groupBy(key, own, F.col(f"w{own}").alias("word")).agg(m.alias("m"))
+        if weight is None:
+            return each.groupBy(key).agg(F.avg("m").alias("s"))
+        loads = each.groupBy("word").agg(F.count(F.lit(1)).alias("_n"))
+        return salted_join(each, words.select("word", "w").join(loads, "word"), "word", "_n").groupBy(key).agg(F.sum(F.col("m") * F.col("w")).alias("s"))
 
     total = least("i", "j").unionByName(least("j", "i")).groupBy(key).agg(F.sum("s").alias("distance"))
     return pairs.select(key).join(total, key, "left").select(key, F.coalesce("distance", F.lit(0.0)).alias("distance"))
 
 
-def nearest(queries: DataFrame, index: DataFrame, k: int, blocks: int = 8) -> DataFrame:
+#: Words up to which all their distances are computed at once.
+TABLE = 2000
+
+
+def _relaxed_small(pairs: DataFrame, key: str, a: Column, b: Column, words: DataFrame, dims: int, restart: bool, weighted: bool) -> DataFrame:
+    shared = pairs.sparkSession.sparkContext.broadcast(_matrix(words, dims))
+
+    def run(batches):
+        at, matrix, weights = shared.value
+        between = lambda x, y: np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2))
+        table = np.concatenate([between(matrix[i : i + 16], matrix) for i in range(0, len(at), 16)]) if 0 < len(at) <= TABLE else None
+
+        def least(d: np.ndarray) -> np.ndarray:
+            if not restart:
+                return d.min(axis=1)
+            m = np.zeros(len(d))
+            for col in d.T:
+                m = np.where(m == 0, col, np.minimum(m, col))
+            return m
+
+        for batch in batches:
+            out = np.zeros(batch.num_rows)
+            for i, (x, y) in enumerate(zip(batch["_a"].to_pylist(), batch["_b"].to_pylist())):
+                p, q = [at[t] for t in x or () if t in at], [at[t] for t in y or () if t in at]
+                if p and q:
+                    d = table[np.ix_(p, q)] if table is not None else between(matrix[p], matrix[q])
+                    m, n = least(d), least(d.T)
+                    out[i] = weights[p] @ m + weights[q] @ n if weighted else m.mean() + n.mean()
+            yield pa.RecordBatch.from_arrays([batch[key], pa.array(out)], [key, "distance"])
+
+    return pairs.select(key, a.alias("_a"), b.alias("_b")).mapInArrow(run, f"`{key}` {pairs.schema[key].dataType.simpleString()}, distance double")
+
+
+def nearest(queries: DataFrame, index: DataFrame, k: int, dims: int) -> DataFrame:
     """(query, item, rank, score): the ``k`` items with the highest cosine of each query, ties by item; the item itself is left out.
 
-    ``queries`` (query, vec) is the stated query set against all rows of ``index`` (item, vec). A set of at most :data:`SMALL`
-    queries is sent to all tasks, which multiply it with their batches and keep the k best of each; a larger one is
-    joined block by block. Zero vectors have no cosine.
+    ``queries`` (query, vec) is the stated query set against all rows of ``index`` (item, vec). A small set is sent to all
+    tasks, which multiply it with their batches and keep the k best of each; a larger one is joined block by block, with as many blocks
+    of the index as there are shuffle partitions. Zero vectors have no cosine.
     """
-    if queries.limit(SMALL + 1).count() <= SMALL:
+    if _is_small(queries, dims):
         best = _nearest_small(queries, index, k)
     else:
         unit = lambda df: df.withColumn("n", V.norm(F.col("vec"))).filter("n > 0").withColumn("vec", F.transform("vec", lambda x: x / F.col("n"))).drop("n")
+        blocks = max(8, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         x = unit(index).withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
         q = unit(queries).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
         best = x.join(q.withColumnRenamed("vec", "qv"), "block").filter("query <> item")
@@ -128,7 +185,7 @@ def _best(df: DataFrame, k: int, *part: str) -> DataFrame:
 
 
 def _nearest_small(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    rows = queries.filter("vec is not null").select("query", F.transform("vec", lambda x: x.cast("double")).alias("vec")).collect()  # at most SMALL
+    rows = queries.filter("vec is not null").select("query", F.transform("vec", lambda x: x.cast("double")).alias("vec")).collect()  # at most SMALL bytes of vectors
     names = [r.query for r in rows]
     m = np.array([r.vec for r in rows]) if rows else np.zeros((0, 1))
     norms = np.linalg.norm(m, axis=1)
@@ -169,7 +226,8 @@ def embedding_matrix(vocabulary: DataFrame, words: DataFrame, dims: int) -> Data
 
 def expand(rows: DataFrame, key: str, array: Column, synonyms: DataFrame) -> DataFrame:
     """(key, tokens): each token replaced by its synonyms (word, syns) in order, unknown ones kept."""
-    long = rows.select(key, F.posexplode(array).alias("pos", "word")).join(synonyms, "word", "left")
+    said = rows.select(key, F.posexplode(array).alias("pos", "word"))
+    long = salted_join(said, synonyms.join(said.groupBy("word").agg(F.count(F.lit(1)).alias("_n")), "word"), "word", "_n", "left")
     each = F.coalesce("syns", F.array("word"))
     back = long.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", each.alias("s")))).alias("x"))  # the tokens of one text
     return rows.select(key).join(back, key, "left").select(key, F.coalesce(F.flatten(F.transform("x", lambda s: s["s"])), F.array().cast("array<string>")).alias("tokens"))

@@ -2,7 +2,7 @@
 
 An edge table has (src, dst); :func:`both_ways` gives each pair in both directions. Iterations write their state to a working
 table, so that no lineage grows. Hubs: neighbour counts join adjacency rows, not arrays, and vertices with very many
-rows are joined by :func:`pairloom.operators.skew.hot_cold_join` where one side has a row per vertex.
+rows are joined by :func:`pairloom.operators.skew.hot_cold_join` or salted where one side has a row per vertex.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..plans.work import Workspace
 from .rows import numbered
-from .skew import hot_cold_join, hot_keys
+from .skew import hot_cold_join, hot_keys, salted_join
 
 
 def both_ways(pairs: DataFrame, a: str, b: str, *extra: str) -> DataFrame:
@@ -53,7 +53,9 @@ def common_neighbours(pairs: DataFrame, a: str, b: str, edges: DataFrame) -> Dat
     e = edges.select("src", "dst").distinct()
     deg = degree(e)
     p = pairs.select(a, b).filter(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
-    p = p.join(deg.select(F.col("src").alias(a), F.col("degree").alias("da")), a).join(deg.select(F.col("src").alias(b), F.col("degree").alias("db")), b)
+    for c, d in ((a, "da"), (b, "db")):
+        # a pair table has about as many rows of a vertex as the vertex has neighbours
+        p = salted_join(p, deg.select(F.col("src").alias(c), F.col("degree").alias(d), F.col("degree").alias("load")), c, "load")
     near, far = F.when(F.col("da") <= F.col("db"), F.col(a)).otherwise(F.col(b)), F.when(F.col("da") <= F.col("db"), F.col(b)).otherwise(F.col(a))
     q = p.select(a, b, near.alias("src"), far.alias("far"))
     hit = q.join(e, "src").join(e.select(F.col("src").alias("far"), "dst"), ["far", "dst"], "left_semi").groupBy(a, b).agg(F.count(F.lit(1)).alias("common"))
@@ -68,7 +70,7 @@ def weighted_common_ratio(pairs: DataFrame, a: str, b: str, edges: DataFrame) ->
     total = edges.groupBy("src").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("degree"))
     p = pairs.select(a, b).filter(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
     for c, x in ((a, "a"), (b, "b")):
-        p = p.join(total.select(F.col("src").alias(c), F.col("total").alias(f"t{x}"), F.col("degree").alias(f"d{x}")), c, "left")
+        p = salted_join(p, total.select(F.col("src").alias(c), F.col("total").alias(f"t{x}"), F.col("degree").alias(f"d{x}"), F.col("degree").alias("load")), c, "load", "left")
     # the smaller adjacency is expanded and probed in the edges of the other end
     less = F.coalesce("da", F.lit(0)) <= F.coalesce("db", F.lit(0))
     q = p.select(a, b, F.when(less, F.col(a)).otherwise(F.col(b)).alias("src"), F.when(less, F.col(b)).otherwise(F.col(a)).alias("far"))

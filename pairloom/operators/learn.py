@@ -3,34 +3,42 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler, Word2Vec
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .embed import nearest
+from .rows import log_loss, mean_of_folds
+
 SEED = 1632
 
 
-def boosted(label: str, rounds: int = 40, step: float = 0.05, depth: int = 6, share: float = 0.8, **extra):
-    """Gradient-boosted trees; ``validationIndicatorCol`` in ``extra`` stops early."""
-    return GBTClassifier(labelCol=label, featuresCol="scaled", maxIter=rounds, stepSize=step, maxDepth=depth, subsamplingRate=share, seed=SEED, **extra)
+def boosted(label: str, rounds: int = 40, step: float = 0.05, depth: int = 6, share: float = 0.8, features: str = "all", held: str | None = None):
+    """Gradient-boosted trees; with ``held`` (column, true for held-out rows) boosting stops when the loss on these rows no longer falls."""
+    model = GBTClassifier(labelCol=label, featuresCol="scaled", maxIter=rounds, stepSize=step, maxDepth=depth, subsamplingRate=share, featureSubsetStrategy=features, seed=SEED)
+    return model.setValidationIndicatorCol(held) if held else model
+
+
+def logistic(label: str, c: float = 1.2, weight: str | None = None):
+    """L2 logistic regression with inverse strength ``c``, as a function of the number of rows that it is fitted on."""
 
+    def of(rows: int) -> LogisticRegression:
+        lr = LogisticRegression(labelCol=label, featuresCol="scaled", regParam=1 / (c * max(rows, 1)), elasticNetParam=0.0, standardization=False, maxIter=100)
+        return lr.setWeightCol(weight) if weight else lr
 
-def logistic(label: str, rows: int, c: float = 1.2, weight: str | None = None):
-    """L2 logistic regression with inverse strength ``c`` on ``rows`` rows."""
-    lr = LogisticRegression(labelCol=label, featuresCol="scaled", regParam=1 / (c * max(rows, 1)), elasticNetParam=0.0, standardization=False, maxIter=100)
-    return lr.setWeightCol(weight) if weight else lr
+    return of
 
 
-def forest(label: str, trees: int = 100, depth: int = 8, leaf: int = 20):
-    return RandomForestClassifier(labelCol=label, featuresCol="scaled", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=SEED)
+def forest(label: str, trees: int = 100, depth: int = 8, leaf: int = 20, features: str = "auto", weight: str | None = None):
+    rf = RandomForestClassifier(labelCol=label, featuresCol="scaled", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy=features, seed=SEED)
+    return rf.setWeightCol(weight) if weight else rf
 
 
 def perceptron(label: str, inputs: int, hidden: int = 100):
@@ -38,10 +46,18 @@ def perceptron(label: str, inputs: int, hidden: int = 100):
 
 
 def support_vector(label: str):
-    """Linear support vectors; scores, no probabilities."""
+    """Linear support vectors; their scores become probabilities by the logistic function."""
     return LinearSVC(labelCol=label, featuresCol="scaled", maxIter=50)
 
 
+def balanced_weight(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
+    """``df`` with ``name``: rows / (classes * rows of the own class), so that all classes weigh the same."""
+    n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    whole = n.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_k"))
+    share = F.broadcast(n.crossJoin(whole).select(label, (F.col("_all") / (F.col("_k") * F.col("_n"))).alias(name)))  # one row for each class
+    return df.join(share, label)
+
+
 def pipeline(features: list[str], learner) -> Pipeline:
     """Assemble, scale, learn. Missing features are filled with 0 by the caller."""
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), learner])
@@ -49,42 +65,88 @@ def pipeline(features: list[str], learner) -> Pipeline:
 
 def probability(df: DataFrame) -> DataFrame:
     """``df`` with ``p``, the probability of label 1."""
-    return df.withColumn("p", vector_to_array("probability")[1])
+    if "probability" in df.columns:
+        return df.withColumn("p", vector_to_array("probability")[1])
+    return df.withColumn("p", 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1])))
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def _labelled(df: DataFrame, label: str) -> DataFrame:
+    return df.filter(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double"))
+
+
+def _fit(df: DataFrame, features: list[str], learner) -> PipelineModel:
+    """``learner``: an estimator, or a function of the number of rows that gives one."""
+    return pipeline(features, learner(df.count()) if not hasattr(learner, "fit") else learner).fit(df)
+
+
+def fold_models(df: DataFrame, label: str, features: list[str], learner, k: int, parallelism: int = 4) -> list[PipelineModel]:
+    """For each fold (column ``fold``) a model that was fitted on the other folds; fits run side by side."""
+    df = _labelled(df, label).persist()
+    try:
+        with ThreadPool(min(k, parallelism)) as pool:
+            return pool.map(lambda i: _fit(df.filter(F.col("fold") != i), features, learner), range(k))
+    finally:
+        df.unpersist()
 
 
 def out_of_fold(df: DataFrame, key: str, label: str, features: list[str], learner, k: int) -> DataFrame:
     """(key, fold, label, p): each row predicted by a model that was fitted on the other folds (column ``fold``)."""
-    df = df.filter(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double"))
-    parts = []
-    for i in range(k):
-        model = pipeline(features, learner).fit(df.filter(F.col("fold") != i))
-        parts.append(probability(model.transform(df.filter(F.col("fold") == i))).select(key, "fold", label, "p"))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def grid_search(df: DataFrame, label: str, features: list[str], learner, grid: dict, k: int = 5, parallelism: int = 4) -> list[tuple[dict, float]]:
-    """(parameters, mean log-loss) of each cell of ``grid`` (parameter name -> values) over k folds."""
-    df = df.filter(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double"))
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(getattr(learner, name), values)
-    cells = builder.build()
-    judge = MulticlassClassificationEvaluator(labelCol=label, probabilityCol="probability", metricName="logLoss")
-    cv = CrossValidator(estimator=pipeline(features, learner), estimatorParamMaps=cells, evaluator=judge, numFolds=k, parallelism=parallelism, seed=SEED)
-    return [({p.name: v for p, v in c.items()}, float(m)) for c, m in zip(cells, cv.fit(df).avgMetrics)]
+    models = fold_models(df, label, features, learner, k)
+    df = _labelled(df, label)
+    return reduce(DataFrame.unionByName, [probability(m.transform(df.filter(F.col("fold") == i))).select(key, "fold", label, "p") for i, m in enumerate(models)])
+
+
+def fold_means(df: DataFrame, key: str, models: list[PipelineModel]) -> DataFrame:
+    """(key, p1 ... pk, prediction): what each fold's model says of every row, and the mean."""
+    out = df
+    for i, m in enumerate(models, 1):
+        p = probability(m.transform(out))
+        out = p.withColumnRenamed("p", f"p{i}").drop("raw", "scaled", "rawPrediction", "probability", "prediction")
+    names = [f"p{i}" for i in range(1, len(models) + 1)]
+    return mean_of_folds(out, names).select(key, *names, "prediction")
+
+
+def grid_search(df: DataFrame, label: str, features: list[str], cells: list[dict], make, k: int = 5, parallelism: int = 4) -> list[tuple[dict, float]]:
+    """(cell, mean log-loss over the ``k`` folds of column ``fold``) of each of ``cells``; ``make(**cell)`` gives the learner."""
+    df = _labelled(df, label).persist()
+
+    def loss(job: tuple[int, int]) -> float:
+        cell, i = job
+        model = _fit(df.filter(F.col("fold") != i), features, make(**cells[cell]))
+        return log_loss(probability(model.transform(df.filter(F.col("fold") == i))), label, "p").first()[0]
+
+    jobs = [(c, i) for c in range(len(cells)) for i in range(k)]
+    try:
+        with ThreadPool(parallelism) as pool:
+            losses = dict(zip(jobs, pool.map(loss, jobs)))
+    finally:
+        df.unpersist()
+    return [(cell, sum(losses[c, i] for i in range(k)) / k) for c, cell in enumerate(cells)]
 
 
 def stacked(levels: list[DataFrame], key: str, label: str, folds: DataFrame, k: int) -> DataFrame:
-    """(key, p): a second level, fitted fold by fold on the first level's out-of-fold predictions."""
+    """(key, label, p): a second level, fitted fold by fold on the first level's out-of-fold predictions."""
     parts = [df.select(key, F.col("p").alias(f"p{i}")) for i, df in enumerate(levels)]
     joined = reduce(lambda x, y: x.join(y, key), parts).join(folds.select(key, "fold", label), key)
     names = [f"p{i}" for i in range(len(parts))]
-    return out_of_fold(joined, key, label, names, logistic(label, 1000), k).select(key, "p")
+    return out_of_fold(joined, key, label, names, logistic(label), k).select(key, label, "p")
 
 
 def learned_vectors(docs: DataFrame, tokens: str, size: int = 32, least: int = 2, rounds: int = 2):
-    """A word2vec model of the token arrays; stands in for document-vector models, whose training has no counterpart in Spark."""
-    return Word2Vec(vectorSize=size, minCount=least, maxIter=rounds, seed=SEED, inputCol=tokens, outputCol="vec", numPartitions=1).fit(docs)
+    """A word2vec model of the token arrays; stands in for document-vector models, whose training has no counterpart in Spark.
+
+    Every core trains on a part of the documents, and the parts' vectors are averaged after each of ``rounds``.
+    """
+    parts = docs.sparkSession.sparkContext.defaultParallelism
+    return Word2Vec(vectorSize=size, minCount=least, maxIter=rounds, seed=SEED, inputCol=tokens, outputCol="vec", numPartitions=parts).fit(docs)
 
 
 def document_vectors(docs: DataFrame, model) -> DataFrame:
@@ -94,10 +156,8 @@ def document_vectors(docs: DataFrame, model) -> DataFrame:
 
 def synonym_table(model, k: int = 5) -> DataFrame:
     """(word, syns): the k nearest words of every word of the model."""
-    from .embed import nearest
-
     v = model.getVectors().select(F.col("word").alias("item"), vector_to_array("vector").alias("vec"))
-    near = nearest(v.withColumnRenamed("item", "query"), v, k)
+    near = nearest(v.withColumnRenamed("item", "query"), v, k, model.getVectorSize())
     best = near.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "item"))).alias("x"))  # k rows
     return best.select(F.col("query").alias("word"), F.transform("x", lambda s: s["item"]).alias("syns"))
 

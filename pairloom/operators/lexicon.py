@@ -6,6 +6,8 @@ Tables: ``senses`` (lemma, sense, gloss) and ``parents`` (sense, parent). Both m
 * :func:`similarities` - path similarity 1 / (steps + 1) and Wu-Palmer similarity 2 depth(common) / (depth(a) + depth(b)).
 * :func:`disambiguate` - the sense of each word whose gloss shares most words with the text (Lesk), ties by sense.
 * :func:`look_up_words` - lemmas or tags of a text's words by a dictionary.
+* :func:`semantic_similarity` - tags, senses and overall similarity of two texts in one chain.
+* :func:`from_vectors` - a lexicon from word vectors, for collections without one.
 * :func:`overall` - for each word of one text its best counterpart's similarity, summed, over the words of both texts.
 """
 
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 from ..functions.edit import inverse_distance
 from ..functions.text import tokens
 from ..plans.work import Workspace
+from .embed import nearest
+from .skew import salted_join
 
 
 def ancestors(parents: DataFrame, work: Workspace, most: int = 64) -> DataFrame:
@@ -28,9 +32,9 @@ def ancestors(parents: DataFrame, work: Workspace, most: int = 64) -> DataFrame:
         front = front.join(parents.select(F.col("sense").alias("above"), "parent"), "above").groupBy("sense", F.col("parent").alias("above")).agg((F.min("steps") + 1).alias("steps"))
         front = work.save(front.join(known, ["sense", "above"], "left_anti"), f"front-{i}")
         if front.isEmpty():
-            break
+            return work.save(known, "ancestors")
         known = known.unionByName(front)
-    return work.save(known, "ancestors")
+    raise RuntimeError(f"ancestors are left after {most} steps")
 
 
 def similarities(pairs: DataFrame, up: DataFrame) -> DataFrame:
@@ -50,7 +54,9 @@ def look_up_words(texts: DataFrame, key: str, words: Column, dictionary: DataFra
     Without ``keep`` an unknown word stands for itself (lemmas); with ``keep`` the words whose value begins with one of its entries
     are returned (parts of speech).
     """
-    long = texts.select(key, F.posexplode(words).alias("pos", "word")).join(dictionary.select("word", F.col(value).alias("v")), "word", "left")
+    said = texts.select(key, F.posexplode(words).alias("pos", "word"))
+    entries = dictionary.select("word", F.col(value).alias("v")).join(said.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word")
+    long = salted_join(said, entries, "word", "n", "left")
     if keep:
         ok = F.lit(False)
         for k in keep:
@@ -64,7 +70,8 @@ def disambiguate(texts: DataFrame, key: str, words: Column, senses: DataFrame) -
     """(key, pos, word, sense) of the words that the lexicon has."""
     long = texts.select(key, F.posexplode(words).alias("pos", "word"))
     context = long.select(key, F.col("word").alias("w")).distinct()
-    options = long.join(senses.withColumnRenamed("lemma", "word"), "word")
+    own = senses.groupBy(F.col("lemma").alias("word")).agg(F.collect_list(F.struct("sense", "gloss")).alias("x"))  # a lemma's senses
+    options = salted_join(long, own.join(long.groupBy("word").agg(F.count(F.lit(1)).alias("_n")), "word"), "word", "_n").select("*", F.inline("x")).drop("x")
     gloss = options.select(key, "pos", "word", "sense", F.explode(F.array_distinct(tokens(F.lower("gloss")))).alias("w"))
     hits = gloss.join(context, [key, "w"]).filter("w <> word").groupBy(key, "pos", "word", "sense").agg(F.count(F.lit(1)).alias("n"))
     scored = options.select(key, "pos", "word", "sense").join(hits, [key, "pos", "word", "sense"], "left")
@@ -82,3 +89,27 @@ def overall(left: DataFrame, right: DataFrame, key: str, up: DataFrame) -> DataF
     best = s.withColumn("r", r).groupBy(key, "i").agg(F.max("r").alias("m")).groupBy(key).agg(F.sum("m").alias("m"))
     n = x.select(key).unionByName(y.select(key)).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     return n.join(best, key, "left").select(key, F.coalesce(F.col("m") / F.col("n"), F.lit(0.0)).alias("similarity"))
+
+
+def semantic_similarity(pairs: DataFrame, key: str, a: Column, b: Column, tags: DataFrame, senses: DataFrame, parents: DataFrame, work: Workspace, keep: tuple[str, ...] = ("NN", "JJ", "VB")) -> DataFrame:
+    """(key, similarity) of the word arrays ``a`` and ``b``: words with a tag of ``keep`` in ``tags`` (word, tag), the sense of each within its
+    text, and the :func:`overall` similarity of both texts' senses. A pair without such words has 0."""
+    up = ancestors(parents, work)
+    sides = []
+    for name, words in (("left", a), ("right", b)):
+        kept = look_up_words(pairs.select(key, words.alias("_w")), key, F.col("_w"), tags, "tag", keep)
+        sides.append(work.save(disambiguate(kept, key, F.col("found"), senses), name))
+    return pairs.select(key).join(overall(*sides, key, up), key, "left").select(key, F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+
+
+def from_vectors(words: DataFrame, dims: int, work: Workspace, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(senses, parents) of a lexicon made from word vectors (word, vec): a word is a sense, its gloss are its ``k`` nearest words, its parent
+    is the nearest of these that sorts before it, or else the root ``*``; so no word is above itself."""
+    w = words.select(F.col("word").alias("item"), "vec")
+    near = work.save(nearest(w.withColumnRenamed("item", "query"), w, k, dims), "near")
+    ordered = near.groupBy(F.col("query").alias("word")).agg(F.array_sort(F.collect_list(F.struct("rank", "item"))).alias("x"))  # k rows
+    told = words.select("word").join(ordered, "word", "left")
+    items = F.coalesce(F.transform("x", lambda s: s["item"]), F.array().cast("array<string>"))
+    senses = told.select(F.col("word").alias("lemma"), F.col("word").alias("sense"), F.array_join(items, " ").alias("gloss"))
+    before = F.get(F.filter(items, lambda i: i < F.col("word")), F.lit(0))
+    return senses, told.select(F.col("word").alias("sense"), F.coalesce(before, F.lit("*")).alias("parent"))

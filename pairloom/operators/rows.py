@@ -48,6 +48,14 @@ def folds(df: DataFrame, key: str, k: int = 5, seed: str = "fold", label: str |
     return df.withColumn("_f", c).withColumn("fold", (bucket("_f", seed) % k).cast("int")).drop("_f")
 
 
+def fold_parts(df: DataFrame, test: DataFrame, key: str, k: int = 5) -> DataFrame:
+    """(fold, part, key): for each fold the rows of ``df`` (with ``fold``) to train on, those held out, and all rows of ``test``."""
+    each = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    own = df.select(key, F.col("fold").alias("_own"), each.alias("fold"))
+    part = F.when(F.col("_own") == F.col("fold"), "held out").otherwise("train").alias("part")
+    return own.select("fold", part, key).unionByName(test.select(each.alias("fold"), F.lit("test").alias("part"), key))
+
+
 def contiguous_folds(df: DataFrame, by: list[str], k: int = 5) -> DataFrame:
     """``df`` with ``fold``: k runs of floor(n / k) rows in the order of ``by``; the last has the remainder."""
     n = df.count()

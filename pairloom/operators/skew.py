@@ -4,6 +4,7 @@
 * :func:`hot_cold_join` - join a large side to one row per key; hot keys are joined by broadcast of their (bounded)
   rows, all others by a shuffle.
 * :func:`join_by_load` - the same where the joined rows carry the load of their key, for keys of several columns.
+* :func:`salted_join` - the same without counting first: hot keys are spread over salts.
 * :func:`plan_shards` - fragment-replicate plan by estimated load: keys larger than a task's share are split into shards
   in proportion to their load, the shards are bin-packed to tasks, all other keys are hashed to tasks.
 * :func:`fragment_replicate_join` - join by such a plan: the loaded side is fragmented, the matching side is
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: A key with more than this share of all rows is hot; there are at most 1 / HOT_SHARE such keys.
 HOT_SHARE = 0.005
+#: Salts of a key at most.
+MOST_SALTS = 200
 
 
 def hot_keys(loads: DataFrame, key: str, load: str = "load", share: float = HOT_SHARE, total: int | None = None) -> list:
@@ -62,6 +65,24 @@ def join_by_load(left: DataFrame, right: DataFrame, on: list[str], load: str, to
     return near.unionByName(left.join(F.broadcast(big.select(*on)), on, "left_anti").join(right.filter(~hot).drop(load), on))
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: str, load: str, how: str = "inner", share: float = HOT_SHARE) -> DataFrame:
+    """``left`` joined on ``key`` to ``right``, which has one row per key with ``load``, about the key's rows in ``left``.
+
+    Nothing is counted beforehand: a key with more than ``share`` of all load (at most 1 / share of them are broadcast) gets a salt for each such
+    share. Its rows of ``left`` are spread over the salts by the hash of their other columns, its row of ``right`` is repeated for
+    each salt. ``how`` is inner or left; ``load`` isn't in the result.
+    """
+    whole = F.broadcast(right.agg(F.sum(load).alias("_whole")))  # one row
+    part = F.coalesce(F.ceil(F.try_divide(F.col(load), F.lit(share) * F.col("_whole"))), F.lit(0))
+    table = right.crossJoin(whole).withColumn("_salts", F.greatest(F.lit(1), F.least(F.lit(MOST_SALTS), part)).cast("int")).drop("_whole", load)
+    hot = F.broadcast(table.filter("_salts > 1").select(key, "_salts"))
+    others = [c for c in left.columns if c != key]
+    salt = F.when(F.col("_salts") > 1, F.pmod(F.xxhash64(*others), F.col("_salts"))).otherwise(0).cast("int")
+    spread = left.join(hot, key, "left").withColumn("_salt", salt).drop("_salts")
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    return spread.join(copies, [key, "_salt"], how).drop("_salt")
+
+
 @dataclass
 class ShardPlan:
     """Task ``bins``; ``split`` maps each key that is split to the task of each of its shards."""

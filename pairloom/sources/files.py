@@ -13,9 +13,13 @@ PAIRS_TRAIN = "id long, qid1 long, qid2 long, question1 string, question2 string
 PAIRS_TEST = "test_id long, question1 string, question2 string"
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None, sep: str = ",") -> DataFrame:
-    """A CSV table with a header, quoted line breaks and doubled quotes; the schema is given, never guessed."""
-    df = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', sep=sep)
+def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None, sep: str = ",", encoding: str = "UTF-8", malformed: str = "null") -> DataFrame:
+    """A CSV table with a header, quoted line breaks and doubled quotes; the schema is given, never guessed.
+
+    ``malformed`` says what becomes of a row that doesn't fit: 'null' (its bad fields are null), 'drop' or 'fail'.
+    """
+    mode = {"null": "PERMISSIVE", "drop": "DROPMALFORMED", "fail": "FAILFAST"}[malformed]
+    df = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', sep=sep, encoding=encoding, mode=mode)
     return df.select(*columns) if columns else df
 
 
@@ -63,6 +67,64 @@ def read_word2vec(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, "word string, vec array<float>")
 
 
+def word2vec_to_parquet(source: str, folder: str, rows: int = 50_000) -> int:
+    """Write the vectors of a binary word2vec file of any size as Parquet files (word, vec) of ``rows`` rows; returns their number.
+
+    The file is read once from begin to end with a buffer of a few megabytes; paths may be local or of any file system that
+    pyarrow knows. Files above 2 GB must go this way, as Spark reads no larger ones whole.
+    """
+    import pyarrow.fs as fs
+    import pyarrow.parquet as pq
+
+    def place(path: str) -> tuple[fs.FileSystem, str]:
+        return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+    (a, src), (b, dst) = place(source), place(folder)
+    b.create_dir(dst)
+    done = 0
+    with a.open_input_stream(src, buffer_size=4 << 20) as f:
+        head = b""
+        while not head.endswith(b"\n"):
+            head += f.read(1)
+        count, dims = map(int, head.split())
+        while done < count:
+            words, vecs = [], []
+            for _ in range(min(rows, count - done)):
+                word = b""
+                while (c := f.read(1)) not in (b" ", b""):
+                    word += c
+                words.append(word.lstrip(b"\n").decode("utf-8", "replace"))
+                vecs.append(f.read(4 * dims))
+            flat = pa.Array.from_buffers(pa.float32(), dims * len(words), [None, pa.py_buffer(b"".join(vecs))])
+            ends = pa.array(range(0, dims * len(words) + 1, dims), pa.int32())
+            pq.write_table(pa.table({"word": pa.array(words, pa.string()), "vec": pa.ListArray.from_arrays(ends, flat)}), f"{dst}/part-{done:012d}.parquet", filesystem=b)
+            done += len(words)
+    return done
+
+
+def write_npy(df: DataFrame, path: str, column: str) -> None:
+    """The vectors of ``column`` as numpy arrays below ``path``, a file for each partition; ``path`` is a folder all executors share."""
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
+
+        import numpy as np
+        import pyarrow.fs as fs
+        from pyspark import TaskContext
+
+        parts = [np.array(b.column(0).to_pylist(), dtype="float64") for b in batches if b.num_rows]
+        if parts:
+            out = io.BytesIO()
+            np.save(out, np.concatenate(parts))
+            to, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+            to.create_dir(at)
+            with to.open_output_stream(f"{at}/part-{TaskContext.get().partitionId():06d}.npy") as f:
+                f.write(out.getvalue())
+        yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, parts))], pa.int64())], ["rows"])
+
+    df.select(column).mapInArrow(save, "rows long").agg(F.sum("rows")).collect()
+
+
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
     """(file, row, vec) of two-dimensional arrays saved by numpy; a file is one task."""
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """Table ``name`` of ``folder``; only ``columns`` if any are given, so that the scan reads no others."""
+def table(spark: SparkSession, folder: str, name: str, *columns: str, limit: int | None = None) -> DataFrame:
+    """Table ``name`` of ``folder``; only ``columns`` if any are given, so that the scan reads no others; ``limit`` rows for trials."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return df if limit is None else df.limit(limit)
 
 
 def one_per_id(df: DataFrame, key: str = "id") -> DataFrame:

@@ -1,5 +1,7 @@
 """Queries of the catalogue on small tables of their own."""
 
+import random
+
 import pytest
 
 import __spark_entry__ as e
@@ -21,24 +23,51 @@ def brute_distance(a, b):
 def test_levenshtein_takes_whole_texts(spark, tmp_path):
     train = [(i, a, b, 0) for i, (a, b) in enumerate(PAIRS)]
     spark.createDataFrame(train, "id long, question1 string, question2 string, is_duplicate int").write.parquet(f"{tmp_path}/train.parquet")
-    got = {r.id: (r.distance, r.inverse) for r in e.queries()["levenshtein_whole"](spark, str(tmp_path)).collect()}
+    got = {r.id: (r.distance, r.inverse) for r in e.queries()["levenshtein_distance"](spark, str(tmp_path)).collect()}
     want = {i: brute_distance(a or "", b or "") for i, a, b, _ in train}
     assert got == {i: (d, pytest.approx(1 / d if d else 0, abs=1e-6)) for i, d in want.items()}
 
 
 def test_learners_are_registered_whole(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(catalog, "features", lambda s, d: spark.createDataFrame([(1, 1, 0.5, 0)], "id long, label int, z double, fold int"))
+    seen, cells = [], []
+    frame = spark.createDataFrame([(1, 1, 0.5, 0)], "id long, label int, z double, fold int")
+    monkeypatch.setattr(catalog, "features", lambda s, d: frame)
     monkeypatch.setattr(learn, "out_of_fold", lambda df, key, label, names, learner, k: seen.append((learner, k)))
     monkeypatch.setattr(learn, "stacked", lambda levels, key, label, folds, k: None)
-    monkeypatch.setattr(learn, "grid_search", lambda df, label, names, learner, grid, k=5: seen.append((learner, k, set(grid))) or [])
-    for name in ("rf_predict", "gbt_predict", "mlp_predict", "stack_level2", "cv_grid"):
+    monkeypatch.setattr(learn, "grid_search", lambda df, label, names, grid, make, k=5: [cells.append((c, k)) or (c, 0.5) for c in grid])
+    for name in ("rf_predict", "gbt_predict", "gbc_predict", "mlp_predict", "rf_balanced_predict", "svc_predict", "cv_grid"):
         e.queries()[name](spark, "")
-    whole = [learn.forest("label"), learn.boosted("label"), learn.perceptron("label", 5), learn.logistic("label", 1000), learn.forest("label")]
+    whole = [learn.forest("label"), learn.boosted("label", held="held"), learn.boosted("label", depth=4, features="sqrt"), learn.perceptron("label", 5), learn.forest("label", weight="weight"), learn.support_vector("label")]
     values = lambda x: {p.name: v for p, v in x.extractParamMap().items()}
-    assert [values(x) for x, *_ in seen[:5]] == [values(x) for x in whole]
-    assert all(k == 5 for _, k, *_ in seen)
-    assert [g for *_, g in seen[5:]] == [{"regParam"}, {"numTrees", "maxDepth", "featureSubsetStrategy"}]
+    assert [values(x) for x, _ in seen] == [values(x) for x in whole]
+    assert all(k == 5 for _, k in seen + cells) and len(cells) == 8 + 18
+
+
+def _table(spark, n=400):
+    rng = random.Random(3)
+    rows_ = [(i, int(z + 0.3 * rng.random() > 0.65), z, rng.random(), i % 5) for i in range(n) for z in [rng.random()]]
+    return spark.createDataFrame(rows_, "id long, label int, z1 double, z2 double, fold int")
+
+
+def test_logistic_regression_takes_the_rows_it_is_fitted_on(spark):
+    df = _table(spark)
+    assert learn.logistic("label")(400).getRegParam() == pytest.approx(1 / 1.2 / 400)
+    models = learn.fold_models(df, "label", ["z1", "z2"], learn.logistic("label"), 5)
+    assert all(m.stages[-1].getRegParam() == pytest.approx(1 / 1.2 / 320) for m in models)
+
+
+def test_saved_models_fold_means_and_scores(spark, tmp_path):
+    df = _table(spark)
+    models = learn.fold_models(df, "label", ["z1", "z2"], learn.logistic("label"), 5)
+    learn.save_model(models[0], str(tmp_path / "m"))
+    p = lambda m: [(r.id, round(r.p, 9)) for r in learn.probability(m.transform(df)).orderBy("id").collect()]
+    assert p(learn.load_model(str(tmp_path / "m"))) == p(models[0])
+    for r in learn.fold_means(df, "id", models).collect():
+        assert r.prediction == pytest.approx((r.p1 + r.p2 + r.p3 + r.p4 + r.p5) / 5)
+    scores = learn.out_of_fold(df, "id", "label", ["z1", "z2"], learn.support_vector("label"), 5)
+    assert scores.count() == 400 and rows.log_loss(scores, "label", "p").first()[0] < 0.6
+    weighted = learn.balanced_weight(df, "label").groupBy("label").agg({"weight": "sum"}).collect()
+    assert all(x[1] == pytest.approx(200) for x in weighted)
 
 
 def test_feature_matrix_keeps_the_scores_of_all_ids(spark, tmp_path):

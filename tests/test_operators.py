@@ -96,13 +96,26 @@ def test_padded_sequences(spark):
     assert got == {1: [0, 0, 2, 3, 2], 2: [0] * 5, 3: [1] * 5}
 
 
-def test_relaxed_distance_and_restart(spark):
+def test_relaxed_distance_and_restart(spark, monkeypatch):
     words = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [3.0, 4.0]), ("c", [0.0, 1.0])], "word string, vec array<double>")
     p = spark.createDataFrame([(1, ["a", "b"], ["a", "c"]), (2, ["x"], ["a"]), (3, [], [])], "id long, x array<string>, y array<string>")
-    got = {r.id: r.distance for r in embed.relaxed_distance(p, "id", F.col("x"), F.col("y"), words).collect()}
-    assert got == {1: pytest.approx((0 + math.sqrt(18)) / 2 + (0 + 1) / 2), 2: 0.0, 3: 0.0}
-    again = {r.id: r.distance for r in embed.relaxed_distance(p, "id", F.col("x"), F.col("y"), words, restart=True).collect()}
-    assert again[1] == pytest.approx((1 + math.sqrt(18)) / 2 + (5 + 1) / 2)
+    weight = spark.createDataFrame([("a", 2.0), ("b", 3.0), ("c", 5.0)], "word string, w double")
+    for small, all_ in ((64_000_000, 2000), (64_000_000, 0), (1, 0)):
+        monkeypatch.setattr(embed, "SMALL", small)
+        monkeypatch.setattr(embed, "TABLE", all_)
+        said = lambda **more: {r.id: r.distance for r in embed.relaxed_distance(p, "id", F.col("x"), F.col("y"), words, 2, **more).collect()}  # noqa: E731, B023
+        assert said() == {1: pytest.approx((0 + math.sqrt(18)) / 2 + (0 + 1) / 2), 2: 0.0, 3: 0.0}
+        assert said(restart=True)[1] == pytest.approx((1 + math.sqrt(18)) / 2 + (5 + 1) / 2)
+        assert said(weight=weight)[1] == pytest.approx(3 * math.sqrt(18) + 5 * 1)
+
+
+def test_sentence_vectors_without_known_words(spark, monkeypatch):
+    words = spark.createDataFrame([("a", [1.0, 2.0])], "word string, vec array<double>")
+    p = spark.createDataFrame([(1, ["a", "x", "a"]), (2, ["x"])], "id long, t array<string>")
+    for small in (64_000_000, 1):
+        monkeypatch.setattr(embed, "SMALL", small)
+        got = {r.id: r.vec for r in embed.sentence_vectors(p, ["id"], F.col("t"), words, 2, missing=float("nan")).collect()}
+        assert got[1] == [1.0, 2.0] and all(math.isnan(x) for x in got[2])
 
 
 def test_nearest_both_ways(spark, monkeypatch):
@@ -112,9 +125,9 @@ def test_nearest_both_ways(spark, monkeypatch):
     q = df.filter("item % 10 = 0").withColumnRenamed("item", "query")
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = {(i, int(j)) for i in range(0, 60, 10) for j in [j for j in np.argsort(-u @ u[i]) if j != i][:3]}
-    for small in (50_000, 1):
+    for small in (64_000_000, 1):
         monkeypatch.setattr(embed, "SMALL", small)
-        assert {(r.query, r.item) for r in embed.nearest(q, df, 3).collect()} == want
+        assert {(r.query, r.item) for r in embed.nearest(q, df, 3, 5).collect()} == want
 
 
 def test_svd(spark):
@@ -159,6 +172,10 @@ def test_files(spark, tmp_path):
     b = tmp_path / "w2v.bin"
     b.write_bytes(b"2 3\n" + b"".join(w.encode() + b" " + struct.pack("<3f", *v) + b"\n" for w, v in (("é", (1, 2, 3)), ("b", (4, 5, 6)))))
     assert sorted(map(tuple, files.read_word2vec(spark, str(b)).collect())) == [("b", [4.0, 5.0, 6.0]), ("é", [1.0, 2.0, 3.0])]
+    assert files.word2vec_to_parquet(str(b), str(tmp_path / "w2v"), 1) == 2
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "w2v")).collect())) == [("b", [4.0, 5.0, 6.0]), ("é", [1.0, 2.0, 3.0])]
+    files.write_npy(spark.createDataFrame([([1.0, 2.0],), ([3.0, 4.0],)], "v array<double>"), str(tmp_path / "npy"), "v")
+    assert sorted(r.vec for r in files.read_npy(spark, str(tmp_path / "npy")).collect()) == [[1.0, 2.0], [3.0, 4.0]]
     np.save(tmp_path / "x.npy", np.arange(6).reshape(3, 2))
     assert [r.vec for r in files.read_npy(spark, str(tmp_path / "x.npy")).orderBy("row").collect()] == [[0.0, 1.0], [2.0, 3.0], [4.0, 5.0]]
     df = spark.createDataFrame([(1, 0.5, None, 1e-9), (0, -2.0, float("nan"), 3.0)], "y int, a double, b double, c double")
@@ -176,3 +193,15 @@ def test_arrivals(spark, tmp_path):
     stream = arrivals.first_arrivals(arrivals.read_stream(spark, str(tmp_path / "in"), "id long, loaded_at timestamp"))
     arrivals.feed(stream, lambda b: got.extend(r.id for r in b.collect()), str(tmp_path / "ck")).awaitTermination()
     assert sorted(got) == [1, 2]
+
+
+def test_semantic_similarity_chain(spark, work):
+    words = spark.createDataFrame([(w, v) for w, v in (("bank", [1.0, 0.0]), ("cash", [0.9, 0.1]), ("river", [0.0, 1.0]), ("shore", [0.1, 0.9]), ("the", [0.7, 0.7]))], "word string, vec array<double>")
+    senses, parents = lexicon.from_vectors(words, 2, work, 2)
+    up = {r.sense: r.parent for r in parents.collect()}
+    assert up == {"bank": "*", "cash": "bank", "river": "*", "shore": "river", "the": "*"} or all(p == "*" or p < s for s, p in up.items())
+    assert {r.lemma: len(r.gloss.split()) for r in senses.collect()} == dict.fromkeys(up, 2)
+    tags = spark.createDataFrame([("bank", "NN"), ("cash", "NN"), ("river", "NN"), ("shore", "VB"), ("the", "DT")], "word string, tag string")
+    p = spark.createDataFrame([(1, ["the", "bank"], ["bank", "the"]), (2, ["the", "bank"], ["the", "cash"]), (3, ["the"], []), (4, None, ["bank"])], "id long, a array<string>, b array<string>")
+    got = {r.id: r.similarity for r in lexicon.semantic_similarity(p, "id", F.col("a"), F.col("b"), tags, senses, parents, work).collect()}
+    assert got[1] == pytest.approx(0.5) and 0 < got[2] < got[1] and got[3] == got[4] == 0.0

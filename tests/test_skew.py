@@ -74,3 +74,13 @@ def test_hot_keys_without_partner_and_hot_pairs_are_even_tasks(spark):
     assert len(tasks) == 8 and max(tasks) < 1.5 * sum(tasks) / 8
     got = {r.key: (r.pairs, r.positive, r.partners) for r in skew.per_key_results(df, "id", "a", "b", "label", bins=8).collect()}
     assert got == brute([r[1:] for r in rows])
+
+
+def test_salted_join(spark):
+    left = spark.createDataFrame([("a", i) for i in range(300)] + [("b", 1), ("c", 5), (None, 2), ("z", 9)], "k string, x long")
+    right = spark.createDataFrame([("a", 300, 1.5), ("b", 1, 2.5), ("c", None, 3.5)], "k string, n long, y double")
+    for how in ("inner", "left"):
+        got = skew.salted_join(left, right, "k", "n", how)
+        assert got.columns == ["k", "x", "y"]
+        assert sorted(map(str, got.collect())) == sorted(map(str, left.join(right.drop("n"), "k", how).collect()))
+    assert skew.salted_join(left, right.limit(0), "k", "n", "left").count() == left.count()
