@@ -7,6 +7,7 @@ rows are joined by :func:`pairloom.operators.skew.hot_cold_join` or salted where
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,12 +93,20 @@ def pagerank(edges: DataFrame, work: Workspace, rounds: int = 20, damping: float
     n, total = out.agg(F.count(F.lit(1)), F.sum("load")).first()
     hot = hot_keys(out, "src", total=total or 0)
     e = work.save(hot_cold_join(e, out, "src", hot).select("src", "dst", (F.col("k") / F.col("load")).alias("share")), "shares")
+    # laid out by source once, the edges of hubs spread over salts, so that a round moves the ranks and not the edges; lost parts are
+    # read again from the table
+    is_hot, salts = F.col("src").isin(hot), max(2, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salt = F.when(is_hot, F.pmod(F.xxhash64("dst"), F.lit(salts))).otherwise(0).cast("int")
+    e = e.withColumn("salt", salt).repartition("src", "salt").sortWithinPartitions("src", "salt").persist(StorageLevel.DISK_ONLY)
     rank = out.select(F.col("src").alias("v"), F.lit(1.0 / max(n, 1)).alias("pr"))
     for i in range(rounds):
-        sent = hot_cold_join(e, rank.withColumnRenamed("v", "src"), "src", hot)
+        copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+        known = rank.withColumnRenamed("v", "src").select("src", "pr", F.explode(copies).alias("salt"))
+        sent = e.join(known.hint("merge"), ["src", "salt"])
         rank = sent.groupBy(F.col("dst").alias("v")).agg((F.lit((1 - damping) / max(n, 1)) + damping * F.sum(F.col("pr") * F.col("share"))).alias("pr"))
-        if i % 4 == 3:
+        if i % 4 == 3 or i == rounds - 1:
             rank = work.save(rank, f"rank-{i}")
+    e.unpersist()
     return rank
 
 
