@@ -22,6 +22,8 @@ from ..operators.skew import join_by_load
 LOOKALIKES = {
     "Cyrillic": ("АВЕІЈКМНОРСЅТУХҮԌԚԜаеіјорсѕухԁһԛԝѵ", "ABEIJKMHOPCSTYXYGQWaeijopcsyxdhqwv"),
     "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϳ", "ABEZHIKMNOPTYXoj"),
+    "Armenian": ("օՕոսհՍ", "oOnuhU"),
+    "Cherokee": ("ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᎽᏀᏃᏚᏙᏟᏢᏦᏴᏞ", "DRTiAJEWMHYGZSVCPKBL"),
 }
 #: Letters printed as one glyph and their parts (fixed values).
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ſt", "ﬆ": "st", "ĳ": "ij", "Ĳ": "IJ", "ǉ": "lj", "ǈ": "Lj", "Ǉ": "LJ", "ǌ": "nj", "ǋ": "Nj", "Ǌ": "NJ"}
@@ -79,10 +81,15 @@ def form_sql(column: str = "text") -> str:
     return f"translate(nfc_normalize({x}), chr(64976), chr(8205))"
 
 
-def printed_forms(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, form, letters): the printed form of each text and whether it holds a letter."""
-    sql = f"SELECT id, {form_sql('text')} AS form FROM chunk"
-    sql = rf"SELECT id, form, coalesce(regexp_matches(form, '\p{{L}}'), false) AS letters FROM ({sql})"
+def printed_forms(df: DataFrame, ident: str = "doc_id", text: str = "text", hashed: bool = False) -> DataFrame:
+    """(id, form, letters): the printed form of each text and whether it holds a letter.
+
+    With ``hashed``, (id, form, raw, letters): the MD5 of the form and of the text.
+    """
+    sql = f"SELECT id, text, {form_sql('text')} AS form FROM chunk"
+    told = "md5(form) AS form, md5(text) AS raw" if hashed else "form"
+    sql = rf"SELECT id, {told}, coalesce(regexp_matches(form, '\p{{L}}'), false) AS letters FROM ({sql})"
+    fields = [("form", pa.string()), *([("raw", pa.string())] if hashed else []), ("letters", pa.bool_())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
@@ -92,10 +99,10 @@ def printed_forms(df: DataFrame, ident: str = "doc_id", text: str = "text") -> D
             con.register("chunk", pa.Table.from_batches([batch]))
             done = con.sql(sql).to_arrow_table().combine_chunks()
             con.unregister("chunk")
-            yield from done.cast(pa.schema([("id", batch.schema.field("id").type), ("form", pa.string()), ("letters", pa.bool_())])).to_batches()
+            yield from done.cast(pa.schema([("id", batch.schema.field("id").type), *fields])).to_batches()
 
     kind = df.schema[ident].dataType.simpleString()
-    return df.select(F.col(ident).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"id {kind}, form string, letters boolean")
+    return df.select(F.col(ident).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"id {kind}, form string, {'raw string, ' if hashed else ''}letters boolean")
 
 
 def same_in_print(df: DataFrame, work, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -104,10 +111,8 @@ def same_in_print(df: DataFrame, work, ident: str = "doc_id", text: str = "text"
     Forms and texts are compared through 128-bit hashes. Copies of a text are one variant until the end: variants of a form are
     paired, then each variant's documents are put in, so no two equal texts are ever paired. A row without id names no case.
     """
-    forms = printed_forms(df.filter(F.col(ident).isNotNull() & F.col(text).isNotNull()), ident, text).filter("letters")
-    raw = df.select(F.col(ident).alias("id"), F.md5(text).alias("raw"))
-    form = forms.select("id", F.md5("form").alias("form"))
-    rows = work.save(form.join(raw, "id").distinct(), "forms")
+    forms = printed_forms(df.filter(F.col(ident).isNotNull() & F.col(text).isNotNull()), ident, text, hashed=True)
+    rows = work.save(forms.filter("letters").select("id", "form", "raw").distinct(), "forms")
     many = rows.groupBy("form").agg(F.min("raw").alias("x"), F.max("raw").alias("y"), F.count(F.lit(1)).alias("load")).filter("x <> y").select("form", "load")
     v = work.save(join_by_load(rows, many, ["form"], "load", rows.count()).select("form", "raw").distinct(), "variants")
     ab = v.select("form", F.col("raw").alias("raw_a")).join(v.select("form", F.col("raw").alias("raw_b")), "form").filter("raw_a < raw_b")
