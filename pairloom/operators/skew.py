@@ -25,18 +25,20 @@ from pyspark.sql import functions as F
 
 #: A key with more than this share of all rows is hot; there are at most 1 / HOT_SHARE such keys.
 HOT_SHARE = 0.005
+#: Rows that a task takes in its stride; a key that has no more of them is split nowhere, whatever its share.
+EASY = 10_000
 #: Salts of a key at most.
 MOST_SALTS = 200
 
 
 def hot_keys(loads: DataFrame, key: str, load: str = "load", share: float = HOT_SHARE, total: int | None = None) -> list:
-    """Keys of ``loads`` (one row per key) with more than ``share`` of the whole load: at most ``1 / share`` values.
+    """Keys of ``loads`` (one row per key) with more than ``share`` of the whole load, and than :data:`EASY`: at most ``1 / share`` values.
 
     ``total`` is the whole load where the caller knows it.
     """
     if total is None:
         total = loads.agg(F.sum(load)).first()[0] or 0
-    return [r[0] for r in loads.filter(F.col(load) > share * total).select(key).collect()]
+    return [r[0] for r in loads.filter(F.col(load) > max(EASY, share * total)).select(key).collect()]
 
 
 def hot_cold_join(left: DataFrame, right: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:

@@ -45,13 +45,15 @@ def test_fragment_replicate_join_is_the_join(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "key").collect()))
 
 
-def test_hot_cold_join(spark):
+def test_hot_cold_join(spark, monkeypatch):
     left = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 1), (None, 2)], "k long, x long")
     right = spark.createDataFrame([(1, "a"), (2, "b")], "k long, y string")
     for how in ("inner", "left"):
         got = skew.hot_cold_join(left, right, "k", [1], how)
         assert sorted(map(str, got.collect())) == sorted(map(str, left.join(right, "k", how).collect()))
     loads = left.groupBy("k").agg(F.count("*").alias("load"))
+    assert skew.hot_keys(loads, "k", share=0.5) == []
+    monkeypatch.setattr(skew, "EASY", 0)
     assert skew.hot_keys(loads, "k", share=0.5) == [1]
 
 
