@@ -576,7 +576,16 @@ def pagerank_pairs(spark, d):
     return out.select("split", "id", r("q1_pr", 12).alias("q1_pr"), r("q2_pr", 12).alias("q2_pr"))
 
 
-@query()
+def _kcore_sql(rounds: int) -> str:
+    """Each round lowers a vertex to the largest k such that k neighbours have at least k."""
+    s = f"WITH {_N}, K AS MATERIALIZED (SELECT DISTINCT src, dst FROM E WHERE src <> dst), C0 AS MATERIALIZED (SELECT src AS v, count(*) AS core FROM K GROUP BY src)"
+    for i in range(rounds):
+        s += f""", H{i} AS MATERIALIZED (SELECT src AS v, core AS c, row_number() OVER (PARTITION BY src ORDER BY core DESC) AS n FROM K JOIN C{i} ON v = dst),
+C{i + 1} AS MATERIALIZED (SELECT v, least(core, h) AS core FROM C{i} JOIN (SELECT v, max(least(c, n)) AS h FROM H{i} GROUP BY v) USING (v))"""
+    return s + f" SELECT v, core FROM C{rounds}"
+
+
+@query(_kcore_sql(20))
 def kcore(spark, d):
     return graph.kcore(graph.both_ways(_nodes(spark, d), "k1", "k2"), Workspace(spark, "kcore"))
 
