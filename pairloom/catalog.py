@@ -748,6 +748,13 @@ def nearest_vectors(spark, d):
     return embed.nearest(e.filter("item % 100 = 0").withColumnRenamed("item", "query"), e, 5, 64).withColumn("score", r("score"))
 
 
+@query()
+def nearest_by_lists(spark, d):
+    """The same through an inverted index; recall against nearest_vectors is measured in the tests."""
+    e = table(spark, d, "embeddings", "vec_id", "embedding").select(F.col("vec_id").alias("item"), F.col("embedding").alias("vec"))
+    return embed.nearest_by_lists(e.filter("item % 100 = 0").withColumnRenamed("item", "query"), e, 5, 64, lists=32, probes=20).withColumn("score", r("score"))
+
+
 # ---- rows, splits, folds, predictions
 
 _BUCKET = "('0x' || md5(CAST({k} AS VARCHAR) || ':{seed}')[1:8])::BIGINT % 1000000"

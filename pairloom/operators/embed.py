@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .skew import salted_join
+from .skew import EASY, HOT_SHARE, salted_join
 
 #: Bytes of a table of vectors that may be sent to all tasks.
 SMALL = 64_000_000
+#: Bytes of vectors on which the centres of an index are fitted, at most; every row is indexed.
+SAMPLE = 64_000_000
 
 
 def unique_words(vectors: DataFrame) -> DataFrame:
@@ -179,6 +181,61 @@ def nearest(queries: DataFrame, index: DataFrame, k: int, dims: int) -> DataFram
     return _best(best, k).select("query", "item", "rank", "score")
 
 
+def fit_lists(index: DataFrame, dims: int, lists: int, rounds: int = 10) -> np.ndarray:
+    """Unit vectors of ``lists`` centres, fitted by k-means on :data:`SAMPLE` bytes of rows at most, the first by the hash of their item."""
+    rows = index.filter("vec is not null").orderBy(F.xxhash64("item")).limit(SAMPLE // (8 * dims)).select("vec").toArrow()
+    x = pc.cast(pc.list_flatten(rows["vec"]), pa.float64()).to_numpy().reshape(-1, dims)
+    norms = np.linalg.norm(x, axis=1)
+    x = x[norms > 0] / norms[norms > 0, None]
+    centres = x[:: max(1, len(x) // lists)][:lists]
+    for _ in range(rounds if len(x) else 0):
+        own = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(length > 0, sums / np.where(length > 0, length, 1), centres)
+    return centres
+
+
+def _in_lists(df: DataFrame, ident: str, centres: np.ndarray, probes: int) -> DataFrame:
+    """(ident, vec, list): unit vectors, each in the ``probes`` lists whose centres are nearest. Zero vectors are in none."""
+    shared = df.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches):
+        c = shared.value
+        for b in batches:
+            if not b.num_rows or not len(c):
+                continue
+            x = pc.cast(pc.list_flatten(b["vec"]), pa.float64()).to_numpy().reshape(b.num_rows, -1)
+            n = np.linalg.norm(x, axis=1)
+            keep = np.flatnonzero(n > 0)
+            x = x[keep] / n[keep, None]
+            near = np.argpartition(-(x @ c.T), min(probes, len(c)) - 1, axis=1)[:, :probes]
+            at = np.repeat(np.arange(len(keep)), near.shape[1])
+            ends = pa.array(np.arange(0, (len(at) + 1) * x.shape[1], x.shape[1], dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([b[ident].take(pa.array(keep[at])), pa.ListArray.from_arrays(ends, pa.array(x[at].ravel())), pa.array(near.ravel(), pa.int32())], [ident, "vec", "list"])
+
+    return df.filter("vec is not null").select(ident, "vec").mapInArrow(run, f"{ident} {df.schema[ident].dataType.simpleString()}, vec array<double>, list int")
+
+
+def nearest_by_lists(queries: DataFrame, index: DataFrame, k: int, dims: int, lists: int = 256, probes: int = 48) -> DataFrame:
+    """:func:`nearest` through an inverted index: every row lies in the list of its nearest centre, a query looks into ``probes`` lists.
+
+    Work is about probes / lists of the whole product; what it misses depends on the data, so measure it against :func:`nearest`
+    on a part of the queries. A list with very many rows is cut into salts, to which its queries are repeated.
+    """
+    centres = fit_lists(index, dims, lists)
+    x = _in_lists(index, "item", centres, 1)
+    sizes = x.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
+    cuts = sizes.crossJoin(F.broadcast(sizes.agg(F.sum("n").alias("all"))))  # one row
+    cuts = F.broadcast(cuts.select("list", F.ceil(F.col("n") / F.greatest(F.lit(EASY), F.lit(HOT_SHARE) * F.col("all"))).cast("int").alias("cuts")))  # a row a list
+    x = x.join(cuts, "list").withColumn("salt", F.pmod(F.xxhash64("item"), F.col("cuts")).cast("int")).drop("cuts")
+    q = _in_lists(queries, "query", centres, probes).join(cuts, "list").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts")
+    both = x.join(q.withColumnRenamed("vec", "qv"), ["list", "salt"]).filter("query <> item")
+    best = _best(both.select("query", "item", "list", "salt", V.dot(F.col("vec"), F.col("qv")).alias("score")), k, "list", "salt").drop("rank", "list", "salt")
+    return _best(best, k).select("query", "item", "rank", "score")
+
+
 def _best(df: DataFrame, k: int, *part: str) -> DataFrame:
     w = Window.partitionBy("query", *part).orderBy(F.desc(F.round("score", 9)), "item")
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

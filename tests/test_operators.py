@@ -130,6 +130,22 @@ def test_nearest_both_ways(spark, monkeypatch):
         assert {(r.query, r.item) for r in embed.nearest(q, df, 3, 5).collect()} == want
 
 
+def test_lists_find_nine_tenths_of_the_nearest(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(40, 16)), *[c + 0.4 * rng.normal(size=(40, 16)) for c in rng.normal(size=(20, 16))]])
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)] + [(9000, [0.0] * 16), (9001, None)], "item long, vec array<double>")
+    q = df.filter("item % 10 = 0").withColumnRenamed("item", "query")
+    want = {(r.query, r.item): round(r.score, 9) for r in embed.nearest(q, df, 5, 16).collect()}
+    for easy in (10_000, 20):
+        monkeypatch.setattr(embed, "EASY", easy)
+        rows_ = embed.nearest_by_lists(q, df, 5, 16, 16, 6).collect()
+        got = {(r.query, r.item): round(r.score, 9) for r in rows_}
+        assert len(got) == len(rows_) == len(want) and len(got.items() & want.items()) >= 0.9 * len(want)
+    whole = {(r.query, r.item): round(r.score, 9) for r in embed.nearest_by_lists(q, df, 5, 16, 16, 16).collect()}
+    assert whole == want
+    assert embed.nearest_by_lists(q, df.limit(0), 5, 16).collect() == []
+
+
 def test_svd(spark):
     rng = np.random.default_rng(5)
     cells = [rng.integers(0, 8, size=20).tolist() for _ in range(50)] + [[]]
