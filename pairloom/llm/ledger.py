@@ -19,7 +19,7 @@ from ..operators.skew import join_by_load
 from ..plans.work import Workspace
 
 #: Members of a bucket, and the most buckets; members that one task writes; members of a small batch.
-BUCKET_ROWS, MOST_BUCKETS, PART_ROWS, FEW = 1_000_000, 4096, 250_000, 200_000
+BUCKET_ROWS, MOST_BUCKETS, PART_ROWS, FEW = 1_000_000, 4096, 250_000, 20_000
 
 
 def keyed(pairs: DataFrame, ident: str = "id", a: str = "question1", b: str = "question2", least: int = 5) -> DataFrame:
