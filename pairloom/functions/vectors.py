@@ -89,18 +89,18 @@ def spearman(x: Column, y: Column) -> Column:
 
 @F.pandas_udf(DoubleType())
 def kendall(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Kendall's tau-b; null for a constant or missing side."""
-
-    def tau(x, y) -> float | None:
-        if x is None or y is None or len(x) != len(y) or len(x) < 2:
-            return None
-        i, j = np.triu_indices(len(x), 1)
-        a, b = np.sign(np.subtract(x[i], x[j], dtype=float)), np.sign(np.subtract(y[i], y[j], dtype=float))
-        d = np.sqrt(float((a != 0).sum()) * float((b != 0).sum()))
-        return float((a * b).sum() / d) if d else None
-
+    """Kendall's tau-b; null for a constant or missing side. Rows of one length are one matrix."""
     for x, y in batches:
-        yield pd.Series([tau(a, b) for a, b in zip(x, y)], dtype="float64")
+        out = np.full(len(x), np.nan)
+        sizes = np.array([len(a) if a is not None and b is not None and len(a) == len(b) else 0 for a, b in zip(x, y)], dtype=int)
+        for n in set(sizes[sizes > 1].tolist()):
+            i, j = np.triu_indices(n, 1)
+            rows = np.flatnonzero(sizes == n)
+            for at in np.array_split(rows, -(-len(rows) * len(i) // 4_000_000)):  # signs of at most some 4,000,000 pairs at a time
+                a, b = (np.sign(v[:, i] - v[:, j]) for v in (np.array([s.iloc[r] for r in at], dtype=float) for s in (x, y)))
+                with np.errstate(invalid="ignore"):
+                    out[at] = (a * b).sum(axis=1) / np.sqrt((a != 0).sum(axis=1).astype(float) * (b != 0).sum(axis=1))
+        yield pd.Series(out).astype("object").where(~np.isnan(out), None)
 
 
 def _moment(c: Column, k: int) -> Column:
