@@ -14,6 +14,7 @@ E = m * d / n: m occurrences where a share d / n of all records has the term at
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,10 @@ from ..sources.tables import one_per_id
 
 #: Terms whose totals all tasks know: the most frequent ones, none longer than LONGEST characters, so at most a few megabytes.
 KNOWN, LONGEST = 50_000, 64
-#: Words to which suffixes are compared.
-DEEPEST = 64
+#: Words to which all suffixes are compared; those that share so many with another are compared further, to twice as many each time.
+FIRST_DEPTH = 64
+#: Words in the rows that a task holds before it hands them on.
+HELD = 4_000_000
 
 
 def record_words(pairs: DataFrame, ident: str, fields: list[str]) -> DataFrame:
@@ -137,46 +140,145 @@ def most_distinctive(pairs: DataFrame, ident: str, fields: list[str], work: Work
 
 
 def _suffixes(texts: DataFrame, deepest: int) -> DataFrame:
-    """(kind, suffix, dup, records) of every word of ``texts``: the suffix that begins there, and the depth of its common prefix with
-    the one before it in the order of its own record (duplicate adjacency), in words."""
+    """(kind, suffix, dup, records) of every word of ``texts``: the suffix that begins there, of at most ``deepest`` words, and the depth
+    of its common prefix with the one before it in the order of its own record (duplicate adjacency), in words.
+
+    With a column ``starts`` only of the words at these places: all whose first words, to some depth, stand elsewhere too. Duplicate
+    adjacencies are right beyond that depth."""
+    placed = "starts" in texts.columns
+
+    def all_sorted(ws: list[str], deepest: int) -> Iterator[tuple[list[str], int]]:
+        """Sorted suffixes of one text, each with the depth of its common prefix with the one before."""
+        last: list[str] = []
+        for s in sorted(ws[j : j + deepest] for j in range(len(ws))):
+            dup = 0
+            for x, y in zip(last, s):
+                if x != y:
+                    break
+                dup += 1
+            yield s, dup
+            last = s
+
+    def some_sorted(ws: list[str], starts: list[int], deepest: int) -> Iterator[tuple[list[str], int]]:
+        """Those suffixes that begin at ``starts``, of a long text: ranks of 1, 2, 4 ... words, prefixes by Kasai's scan."""
+        place = {w: i for i, w in enumerate(sorted(set(ws)))}
+        rank, k, n = np.array([place[w] for w in ws]), 1, len(ws)
+        while True:
+            after = np.append(rank[k:], np.full(k, -1))
+            order = np.lexsort((after, rank))
+            a, b = rank[order], after[order]
+            rank[order] = np.append(0, np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            k *= 2
+            if k >= n or rank.max() == n - 1:
+                break
+        common, h = [0] * n, 0
+        before = np.append(-1, order)[rank].tolist()
+        for j, i in enumerate(before):
+            h = max(h - 1, 0) if i >= 0 else 0
+            while i >= 0 and max(i, j) + h < n and ws[i + h] == ws[j + h]:
+                h += 1
+            common[j] = h
+        for j in sorted(starts, key=rank.tolist().__getitem__):
+            yield ws[j : j + deepest], min(common[j], deepest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at: list[int] = []
             suffix: list[str] = []
             dups: list[int] = []
+
+            def flush() -> pa.RecordBatch:
+                own = pa.array(at, pa.int32())
+                done = pa.RecordBatch.from_arrays([batch["kind"].take(own), pa.array(suffix, pa.string()), pa.array(dups, pa.int32()), batch["records"].take(own)], ["kind", "suffix", "dup", "records"])
+                for c in (at, suffix, dups):
+                    c.clear()
+                return done
+
             for i, text in enumerate(batch["text"].to_pylist()):
                 ws = text.split(" ") if text else []
-                last: list[str] = []
-                for s in sorted(ws[j : j + deepest] for j in range(len(ws))):
-                    dup = 0
-                    for x, y in zip(last, s):
-                        if x != y:
-                            break
-                        dup += 1
+                for s, dup in some_sorted(ws, batch["starts"][i].as_py(), deepest) if placed else all_sorted(ws, deepest):
                     at.append(i)
                     suffix.append(" ".join(s))
                     dups.append(dup)
-                    last = s
-            own = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch["kind"].take(own), pa.array(suffix, pa.string()), pa.array(dups, pa.int32()), batch["records"].take(own)], ["kind", "suffix", "dup", "records"])
+                    if len(at) * deepest >= HELD:
+                        yield flush()
+            yield flush()
 
-    return texts.select("kind", "text", "records").mapInArrow(run, "kind string, suffix string, dup int, records long")
+    return texts.select("kind", "text", "records", *["starts"] * placed).mapInArrow(run, "kind string, suffix string, dup int, records long")
 
 
-def ngram_intervals(texts: DataFrame, work: Workspace, deepest: int = DEEPEST, most: int | None = None) -> DataFrame:
+def ngram_intervals(texts: DataFrame, work: Workspace, deepest: int | None = None, most: int | None = None) -> DataFrame:
     """(kind, n_from, n_to, term, occurrences, records): all n-grams of ``texts`` by the common-prefix intervals of their suffix array.
 
     An interval stands for the n-grams of n_from to n_to words that begin ``term`` (n_to words), which all have its occurrences and
     records. ``texts``: kind, text (words, blank between), records (how many records have this text). Every word starts a suffix.
+    Suffixes are compared to FIRST_DEPTH words, and by :func:`_longer` beyond; an interval that goes on beyond a depth has a row on either
+    side of it. With ``most``, n-grams of up to ``most`` words come one by one (n_from = n_to), longer ones not at all; with ``deepest``
+    those of up to ``deepest`` words, in intervals.
+    """
+    texts = texts.select("kind", "text", "records")
+    asked = min((n for n in (deepest, most) if n), default=None)
+    pieces, told = _intervals(_suffixes(texts, asked or FIRST_DEPTH), work, "pieces", one_by_one=bool(most))
+    # a text of more words than that has prefixes of as many
+    if asked or pieces.filter(F.col("n_to") == FIRST_DEPTH).isEmpty():
+        return told
+    return reduce(DataFrame.unionByName, _longer(texts, work), told)
+
+
+def _longer(texts: DataFrame, work: Workspace) -> Iterator[DataFrame]:
+    """Intervals of the n-grams of more than FIRST_DEPTH words.
+
+    Round by round, for a depth that doubles: what begins with as many words as nothing else does is one interval up to the end of its
+    text, which is put together when the result is read. The others are sorted to twice that depth.
+    """
+    size = F.size(F.split("text", " "))
+    one = texts.filter(size > FIRST_DEPTH).groupBy("kind", "text").agg(F.sum("records").alias("records"))
+    long = work.save(one.withColumns({"no": F.monotonically_increasing_id(), "size": size}), "long")
+    depth, left = FIRST_DEPTH, long.select("no", F.sequence(F.lit(0), F.col("size") - FIRST_DEPTH - 1).alias("starts"))
+    while not left.isEmpty():
+        alone = _prefixes(long.join(left, "no"), depth).groupBy("kind", "prefix").agg(F.count(F.lit(1)).alias("n"), F.min("no").alias("no"), F.min("start").alias("start"))
+        alone = alone.filter("n = 1").groupBy("no").agg(F.collect_list("start").alias("alone"))
+        told = left.join(alone, "no", "left").withColumn("alone", F.coalesce("alone", F.array().cast("array<int>")))
+        told = work.save(told.select("no", "alone", F.array_except("starts", "alone").alias("starts")), f"starts_{depth}")
+        ends = long.join(told.select("no", F.explode("alone").alias("start")), "no")
+        yield ends.select(
+            "kind",
+            F.lit(depth + 1).alias("n_from"),
+            F.expr("size - start").alias("n_to"),
+            F.expr("substring_index(text, ' ', start - size)").alias("term"),
+            F.col("records").alias("occurrences"),
+            "records",
+        )
+        shared = long.join(told.filter("size(starts) > 0").select("no", "starts"), "no")
+        if not shared.isEmpty():
+            yield _intervals(_suffixes(shared, 2 * depth), work, f"pieces_{depth}", above=depth)[1]
+        depth *= 2
+        left = shared.select("no", F.filter("starts", lambda s: s + depth < F.col("size")).alias("starts")).filter("size(starts) > 0")
+
+
+def _prefixes(texts: DataFrame, depth: int) -> DataFrame:
+    """(kind, prefix, no, start): the first ``depth`` words of the suffixes of ``texts`` that begin at ``starts``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, text, no, starts in zip(*(batch[c].to_pylist() for c in ("kind", "text", "no", "starts"))):
+                ws = text.split(" ")
+                for some in (starts[i : i + max(1, HELD // depth)] for i in range(0, len(starts), max(1, HELD // depth))):
+                    cols = [pa.array([kind] * len(some), pa.string()), pa.array([" ".join(ws[j : j + depth]) for j in some], pa.string()), pa.array([no] * len(some), pa.int64()), pa.array(some, pa.int32())]
+                    yield pa.RecordBatch.from_arrays(cols, ["kind", "prefix", "no", "start"])
+
+    return texts.select("kind", "text", "no", "starts").mapInArrow(run, "kind string, prefix string, no long, start int")
+
+
+def _intervals(suffixes: DataFrame, work: Workspace, name: str, above: int = 0, one_by_one: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The table ``name`` of all pieces, and the intervals (kind, n_from, n_to, term, occurrences, records) of more than ``above`` words.
+
     Equal suffixes are added up and sorted over all partitions; a scan compares each with the one before it and closes the
     intervals that end there: occurrences are the sum over the interval, records that sum less the duplicate adjacencies. An interval that a
     single suffix makes is one row however long that suffix is. Prefixes of a partition's first and last suffix may go on in the next partition;
-    their pieces, at most ``deepest`` at each end, are told n by n and added up. With ``most``, n-grams of up to ``most``
-    words come one by one (n_from = n_to), longer ones not at all. Suffixes are compared to a depth of ``deepest`` words: longer
-    n-grams aren't told apart.
+    their pieces, at most as many at each end as a suffix has words, are told n by n and added up.
     """
-    array = _suffixes(texts, min(deepest, most or deepest)).groupBy("kind", "suffix", "dup").agg(F.sum("records").alias("occ"))
+    array = suffixes.groupBy("kind", "suffix", "dup").agg(F.sum("records").alias("occ"))
     array = array.repartitionByRange("kind", "suffix").sortWithinPartitions("kind", "suffix", "dup")
 
     def common(x: list[str], y: list[str]) -> int:
@@ -189,6 +291,7 @@ def ngram_intervals(texts: DataFrame, work: Workspace, deepest: int = DEEPEST, m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
+        held = 0  # words in out
         open_: list[list] = []  # nodes from the root down: [depth, occurrences, occurrences of duplicates by their depth]
         first = kind = None
         ws: list[str] = []
@@ -196,34 +299,42 @@ def ngram_intervals(texts: DataFrame, work: Workspace, deepest: int = DEEPEST, m
         def add(to: dict, depth: int, n: int) -> None:
             to[depth] = to.get(depth, 0) + n
 
-        def emit(lo: int, hi: int, occ: int, rec: int, edge: int) -> None:
-            for n in range(lo, min(hi, edge) + 1):
-                out.append((True, kind, n, n, " ".join(ws[:n]), occ, rec))
-            for n in range(max(lo, edge + 1), hi + 1) if most else ():
-                out.append((False, kind, n, n, " ".join(ws[:n]), occ, rec))
-            if not most and hi > edge:
+        def emit(lo: int, hi: int, occ: int, rec: int, edge: int) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            lo = max(lo, above + 1)
+            for n in range(lo, (hi if one_by_one else min(hi, edge)) + 1):
+                out.append((n <= edge, kind, n, n, " ".join(ws[:n]), occ, rec))
+                held += n
+                if held >= HELD:
+                    yield flush()
+            if not one_by_one and hi >= max(lo, edge + 1):
                 out.append((False, kind, max(lo, edge + 1), hi, " ".join(ws[:hi]), occ, rec))
+                held += hi
+                if held >= HELD:
+                    yield flush()
 
-        def close(depth: int, last: bool = False) -> None:
+        def close(depth: int, last: bool = False) -> Iterator[pa.RecordBatch]:
             """Close the nodes deeper than ``depth``; a node whose parent lies above ``depth`` leaves a node there."""
             edge = len(ws) if last else common(ws, first[1]) if first and first[0] == kind else 0
             while open_ and open_[-1][0] > depth:
                 n, occ, dup = open_.pop()
-                above = max(depth, open_[-1][0] if open_ else 0)
-                # depths above + 1 to n are one interval as long as no duplicate adjacency ends within
+                parent = max(depth, open_[-1][0] if open_ else 0)
+                # depths parent + 1 to n are one interval as long as no duplicate adjacency ends within
                 upto = n
-                for d in sorted((d for d in dup if above < d < n), reverse=True):
-                    emit(d + 1, upto, occ, occ - sum(o for e, o in dup.items() if e > d), edge)
+                for d in sorted((d for d in dup if parent < d < n), reverse=True):
+                    yield from emit(d + 1, upto, occ, occ - sum(o for e, o in dup.items() if e > d), edge)
                     upto = d
-                emit(above + 1, upto, occ, occ - sum(o for e, o in dup.items() if e >= upto), edge)
-                if above:
-                    if not open_ or open_[-1][0] < above:
-                        open_.append([above, 0, {}])
+                yield from emit(parent + 1, upto, occ, occ - sum(o for e, o in dup.items() if e >= upto), edge)
+                if parent:
+                    if not open_ or open_[-1][0] < parent:
+                        open_.append([parent, 0, {}])
                     open_[-1][1] += occ
                     for d, o in dup.items():
-                        add(open_[-1][2], min(d, above), o)
+                        add(open_[-1][2], min(d, parent), o)
 
         def flush() -> pa.RecordBatch:
+            nonlocal held
+            held = 0
             cols = list(zip(*out)) or [[]] * 7
             types = [pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
             done = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["edge", "kind", "n_from", "n_to", "term", "occurrences", "records"])
@@ -233,7 +344,7 @@ def ngram_intervals(texts: DataFrame, work: Workspace, deepest: int = DEEPEST, m
         for b in batches:
             for own, suffix, dup, occ in zip(*(b[c].to_pylist() for c in ("kind", "suffix", "dup", "occ"))):
                 w = suffix.split(" ")
-                close(common(ws, w) if own == kind else 0)
+                yield from close(common(ws, w) if own == kind else 0)
                 kind, ws = own, w
                 first = first or (kind, w)
                 if open_ and open_[-1][0] == len(w):
@@ -244,12 +355,12 @@ def ngram_intervals(texts: DataFrame, work: Workspace, deepest: int = DEEPEST, m
                     add(open_[-1][2], dup, occ)
                 if len(out) >= 50_000:
                     yield flush()
-        close(0, last=True)
+        yield from close(0, last=True)
         yield flush()
 
-    pieces = work.save(array.mapInArrow(run, "edge boolean, kind string, n_from int, n_to int, term string, occurrences long, records long"), "pieces")
+    pieces = work.save(array.mapInArrow(run, "edge boolean, kind string, n_from int, n_to int, term string, occurrences long, records long"), name)
     sums = [F.sum(c).alias(c) for c in ("occurrences", "records")]
-    return pieces.filter("not edge").drop("edge").unionByName(pieces.filter("edge").groupBy("kind", "n_from", "n_to", "term").agg(*sums))
+    return pieces, pieces.filter("not edge").drop("edge").unionByName(pieces.filter("edge").groupBy("kind", "n_from", "n_to", "term").agg(*sums))
 
 
 def ngram_counts(texts: DataFrame, most: int, work: Workspace) -> DataFrame:

@@ -118,6 +118,55 @@ def test_intervals_hold_all_ngrams(spark, work, deepest):
     assert len(rows) == len({(r.n_to, r.term) for r in rows}) < sum(len(d[0].split()) for d in docs) * 2 + 64 * 16
 
 
+def long_texts():
+    """(kind, text, records): texts of far more than 64 words, alone, alike in part, repetitive, equal, of another kind."""
+    rng = random.Random(3)
+    once, page = [f"w{i}" for i in range(150)], rng.choices("abcdefgh", k=140)
+    docs = [once, [*once[:100], "x", *once[:90]], page, [*page[:70], "x", *page[70:]], [*page[3:], *page[:135]], ["a"] * 90 + ["b"], ["a"] * 80, ["röd", "b"] * 40, once[:64], once[:65], ["b"], []]
+    return [("word", " ".join(w), 1 + i % 3) for i, w in enumerate([*docs, once])] + [("other", " ".join(once[:80]), 2)]
+
+
+def all_ngrams(texts, above=0):
+    occ, rec = Counter(), Counter()
+    for kind, text, k in texts:
+        w = text.split()
+        for g, m in Counter((kind, " ".join(w[i : i + n])) for n in range(above + 1, len(w) + 1) for i in range(len(w) - n + 1)).items():
+            occ[g] += m * k
+            rec[g] += k
+    return occ, rec
+
+
+def told_ngrams(rows):
+    occ, rec = Counter(), Counter()
+    for r in rows:
+        w = r.term.split(" ")
+        assert len(w) == r.n_to
+        for n in range(r.n_from, r.n_to + 1):
+            occ[r.kind, " ".join(w[:n])] += r.occurrences
+            rec[r.kind, " ".join(w[:n])] += r.records
+    return occ, rec
+
+
+@pytest.mark.parametrize("first_depth, held", [(64, 4_000_000), (64, 300), (2, 4_000_000)])
+def test_ngrams_of_any_length(spark, work, monkeypatch, first_depth, held):
+    monkeypatch.setattr(terms, "FIRST_DEPTH", first_depth, raising=False)
+    monkeypatch.setattr(terms, "HELD", held, raising=False)
+    t = spark.createDataFrame(long_texts(), "kind string, text string, records long").selectExpr("*", "1 as starts").repartition(3)
+    rows = terms.ngram_intervals(t, work).collect()
+    assert told_ngrams(rows) == all_ngrams(long_texts())
+    assert len(rows) == len({(r.kind, r.n_to, r.term) for r in rows})
+    assert sum(r.kind == "other" for r in rows) <= 2 * 80  # what stands alone is one row on either side of the first depth
+    assert max(r.n_to for r in terms.ngram_intervals(t, work, deepest=70).collect()) == 70
+
+
+def test_ngrams_of_a_long_question(spark, work):
+    said = " ".join(f"w{i}" for i in range(100))
+    df = spark.createDataFrame([(1, said), (2, f"And {said}!"), (2, f"And {said}!"), (3, None)], "id long, question1 string")
+    occ, rec = told_ngrams(terms.text_intervals(df, work).withColumn("kind", F.lit("word")).collect())
+    assert (occ, rec) == all_ngrams([("word", said, 1), ("word", f"and {said}", 1)])
+    assert occ["word", said] == 2 and occ["word", f"and {said}"] == 1
+
+
 def test_empty(spark, work):
     df = spark.createDataFrame([], "id long, qid1 long, question1 string, question2 string")
     assert terms.value_frequencies(df, 2, work).collect() == []
