@@ -8,11 +8,15 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.grams import gram_codes
 from ..functions.text import one_blank, tokens
+from ..plans.work import Workspace
 from .rows import numbered
 from .skew import salted_join
 
@@ -72,21 +76,88 @@ def weighted_pairs(long: DataFrame, key: str, idf) -> DataFrame:
     return salted_join(long, df, "token", "df")
 
 
-def tfidf_distances(long: DataFrame, key: str) -> DataFrame:
-    """Per pair, from ``long`` with idf: cosine distance (0 where a side is empty), Euclidean distances of the sides' vectors with
-    L2-scaled tf-idf, L1-scaled tf-idf and L2-scaled tf."""
-    x, y = F.col("c1") * F.col("idf"), F.col("c2") * F.col("idf")
-    w = Window.partitionBy(key)  # a pair's tokens
-    sums = {"xx": x * x, "yy": y * y, "x1": x, "y1": y, "cc": F.col("c1") * F.col("c1"), "dd": F.col("c2") * F.col("c2")}
-    t = long.withColumns({k: F.sum(v.cast("double")).over(w) for k, v in sums.items()})
-    unit = lambda v, s: F.coalesce(F.try_divide(v, s), F.lit(0.0))
-    d = lambda a, b, s, r: F.sqrt(F.sum(F.pow(unit(a, s) - unit(b, r), F.lit(2))))
-    cos = F.try_divide(F.sum(x * y), F.sqrt(F.max("xx")) * F.sqrt(F.max("yy")))
-    return t.groupBy(key).agg(
+#: Grams whose weights go to all tasks at most, the most frequent ones; all others meet their weights in a join.
+MOST_GRAMS = 1_000_000
+#: Characters of a batch that are taken apart at once.
+AT_ONCE = 2_000_000
+_SUMS = ["xx", "yy", "xy", "x1", "y1", "cc", "dd", "cd"]
+
+
+def _gram_pairs(batch: pa.RecordBatch, n: int):
+    """Pieces of ``batch`` with their grams: (piece, codes, row, place in codes, c1, c2), in the order of the rows."""
+    size = np.cumsum(sum(pc.fill_null(pc.utf8_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_a", "_b")))
+    cuts = [0, *(np.flatnonzero(np.diff(size // AT_ONCE)) + 1), batch.num_rows]
+    for i, j in zip(cuts, cuts[1:]):
+        piece = batch.slice(i, j - i)
+        (r1, g1), (r2, g2) = (gram_codes(piece.column(c), n) for c in ("_a", "_b"))
+        codes, at = np.unique(np.concatenate([g1, g2]), return_inverse=True)
+        if len(codes):
+            both, where = np.unique(np.concatenate([r1, r2]) * len(codes) + at, return_inverse=True)
+            c1, c2 = (np.bincount(w, minlength=len(both)) for w in (where[: len(r1)], where[len(r1) :]))
+            yield piece, codes, both // len(codes), both % len(codes), c1, c2
+
+
+def tfidf_distances(pairs: DataFrame, key: str, left: Column, right: Column, n: int, idf, work: Workspace) -> DataFrame:
+    """Per pair of texts with grams of ``n`` characters (1 to 3): cosine distance (0 where a side is empty), Euclidean distances of the
+    sides' vectors with L2-scaled tf-idf, L1-scaled tf-idf and L2-scaled tf. Each side of a pair is a document.
+
+    Grams are counted where the pair lies and don't go through a shuffle: a first scan adds up their document frequencies, a second one
+    the products of the two sides, of which the distances are made.
+    """
+    if not 1 <= n <= 3:
+        raise ValueError("a code holds 1 to 3 characters")
+    kind = pairs.schema[key].dataType.simpleString()
+    texts = work.save(pairs.select(F.monotonically_increasing_id().alias("_row"), key, left.alias("_a"), right.alias("_b")), "texts")
+
+    def tally(batches):
+        # grams of a piece are added up before they are sent; the code -1 counts the documents
+        for batch in batches:
+            for _, codes, row, at, c1, c2 in _gram_pairs(batch, n):
+                docs = sum(len(np.unique(row[c > 0])) for c in (c1, c2))
+                df = np.bincount(at, (c1 > 0).astype(int) + (c2 > 0)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(codes, -1)), pa.array(np.append(df, docs))], ["gram", "df"])
+
+    df = work.save(texts.select("_a", "_b").mapInArrow(tally, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")), "df")
+    docs = df.filter("gram < 0").select("df").first()
+    weights = df.filter("gram >= 0").select("gram", "df", idf(F.col("df"), F.lit(docs.df if docs else 0)).cast("double").alias("idf"))
+    whole = weights.count() <= MOST_GRAMS
+    top = (weights if whole else weights.orderBy(F.desc("df"), "gram").limit(MOST_GRAMS)).select("gram", "idf").toArrow()
+    order = np.argsort(top["gram"].to_numpy())
+    sent = pairs.sparkSession.sparkContext.broadcast((top["gram"].to_numpy()[order], top["idf"].to_numpy()[order]))
+
+    def add_up(batches):
+        known, idfs = sent.value
+        for batch in batches:
+            for piece, codes, row, at, c1, c2 in _gram_pairs(batch, n):
+                place = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+                hit = known[place] == codes
+                w, here = np.where(hit, idfs[place], 0.0)[at], hit[at]
+                x, y, c, d = c1 * w, c2 * w, (c1 * here).astype(float), (c2 * here).astype(float)
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                sums = [pa.array(np.add.reduceat(v, first)) for v in (x * x, y * y, x * y, x, y, c * c, d * d, c * d)]
+                ends = np.append(0, np.cumsum(np.add.reduceat((~here).astype(np.int32), first)))
+                rest = pa.StructArray.from_arrays([pa.array(v[~here]) for v in (codes[at], c1, c2)], ["gram", "c1", "c2"])
+                rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest)
+                own = [piece.column(c).take(pa.array(row[first])) for c in ("_row", key)]
+                yield pa.RecordBatch.from_arrays([*own, *sums, rest], ["_row", key, *_SUMS, "rest"])
+
+    out = texts.mapInArrow(add_up, f"_row long, `{key}` {kind}, {', '.join(f'{s} double' for s in _SUMS)}, rest array<struct<gram: long, c1: long, c2: long>>")
+    if not whole:
+        out = work.save(out, "sums")
+        rare = out.select("_row", F.inline("rest")).join(weights.select("gram", "idf"), "gram")
+        x, y, c, d = F.col("c1") * F.col("idf"), F.col("c2") * F.col("idf"), F.col("c1"), F.col("c2")
+        more = rare.groupBy("_row").agg(*[F.sum(v).alias(f"_{s}") for s, v in zip(_SUMS, (x * x, y * y, x * y, x, y, c * c, d * d, c * d))])
+        out = out.join(more, "_row", "left").select(key, *[(F.col(s) + F.coalesce(f"_{s}", F.lit(0.0))).alias(s) for s in _SUMS])
+    part = lambda v, s: F.coalesce(F.try_divide(v, s), F.lit(0.0))
+    # the square of a / s - b / r is aa / ss - 2 ab / sr + bb / rr
+    d = lambda a, b, ab, s, r: F.sqrt(F.greatest(F.lit(0.0), part(F.col(a), s * s) + part(F.col(b), r * r) - 2 * part(F.col(ab), s * r)))
+    cos = F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy"))
+    return out.select(
+        key,
         (1 - F.coalesce(cos, F.lit(1.0))).alias("cosine_distance"),
-        d(x, y, F.sqrt("xx"), F.sqrt("yy")).alias("l2_tfidf"),
-        d(x, y, F.col("x1"), F.col("y1")).alias("l1_tfidf"),
-        d(F.col("c1"), F.col("c2"), F.sqrt("cc"), F.sqrt("dd")).alias("l2_tf"),
+        d("xx", "yy", "xy", F.sqrt("xx"), F.sqrt("yy")).alias("l2_tfidf"),
+        d("xx", "yy", "xy", F.col("x1"), F.col("y1")).alias("l1_tfidf"),
+        d("cc", "dd", "cd", F.sqrt("cc"), F.sqrt("dd")).alias("l2_tf"),
     )
 
 

@@ -3,6 +3,7 @@ import struct
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,3 +222,27 @@ def test_semantic_similarity_chain(spark, work):
     p = spark.createDataFrame([(1, ["the", "bank"], ["bank", "the"]), (2, ["the", "bank"], ["the", "cash"]), (3, ["the"], []), (4, None, ["bank"])], "id long, a array<string>, b array<string>")
     got = {r.id: r.similarity for r in lexicon.semantic_similarity(p, "id", F.col("a"), F.col("b"), tags, senses, parents, work).collect()}
     assert got[1] == pytest.approx(0.5) and 0 < got[2] < got[1] and got[3] == got[4] == 0.0
+
+
+def test_gram_distances_leave_the_grams_where_they_lie(spark, work, monkeypatch):
+    texts = [("abcabc", "abcd"), ("abc", "abc"), ("añ😀b", "xañ😀"), ("ab", ""), (None, "abcx"), ("zzzz", "yyy")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(texts)], "id long, q1 string, q2 string")
+    count = lambda t: Counter(t[i : i + 3] for i in range(len(t or "") - 2))
+    both = [(count(a), count(b)) for a, b in texts]
+    n, freq = sum(bool(c) for x in both for c in x), Counter(g for x in both for c in x for g in c)
+    weigh = lambda c: {g: k * (math.log((1 + n) / (1 + freq[g])) + 1) for g, k in c.items()}
+    norm = lambda v: math.sqrt(sum(k * k for k in v.values()))
+    away = lambda v, w, s, r: math.sqrt(sum(((v.get(g, 0) / s if s else 0) - (w.get(g, 0) / r if r else 0)) ** 2 for g in {*v, *w}))
+    want = {}
+    for i, (c, d) in enumerate(both):
+        x, y = weigh(c), weigh(d)
+        if x or y:
+            cos = sum(x[g] * y.get(g, 0) for g in x) / (norm(x) * norm(y)) if x and y else 1
+            want[i] = (1 - cos, away(x, y, norm(x), norm(y)), away(x, y, sum(x.values()), sum(y.values())), away(c, d, norm(c), norm(d)))
+    for most in (1_000_000, 2):  # all weights at hand, or two of them and a join for the rest
+        monkeypatch.setattr(corpus, "MOST_GRAMS", most)
+        out = corpus.tfidf_distances(df, "id", F.col("q1"), F.col("q2"), 3, corpus.idf_smooth, work)
+        assert {r[0]: tuple(r[1:]) for r in out.collect()} == {i: pytest.approx(v, abs=1e-7) for i, v in want.items()}
+    monkeypatch.setattr(corpus, "AT_ONCE", 6)  # a batch in pieces
+    pieces = list(corpus._gram_pairs(pa.RecordBatch.from_arrays([pa.array(t, pa.string()) for t in zip(*texts)], ["_a", "_b"]), 3))
+    assert len(pieces) > 2 and sum(c.sum() for _, _, _, _, *cs in pieces for c in cs) == sum(sum(c.values()) for x in both for c in x)
