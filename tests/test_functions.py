@@ -1,6 +1,8 @@
 import difflib
+import hashlib
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +135,25 @@ def test_vectors(spark):
     assert a[5] == pytest.approx(1 / 3 + 1 / 3 + 1 / 7 + 1)
     assert a[7] == pytest.approx(-0.105409, abs=1e-6) and a[8] == pytest.approx(-0.182574, abs=1e-6)
     assert b[0] is None and b[6] is None and b[7] is None and b[8] is None and b[9] is None
+
+
+def test_simhash_of_grams_and_of_long_texts(spark, monkeypatch):
+    def bits(words):
+        votes = [0] * 64
+        for w in words:
+            h = int.from_bytes(hashlib.md5(w.encode()).digest()[8:])
+            votes = [v + (1 if h >> (63 - i) & 1 else -1) for i, v in enumerate(votes)]
+        return [v > 0 for v in votes]
+
+    monkeypatch.setattr(edit, "_AT_ONCE", 3)  # a text is laid out in several parts
+    words = [["a", "b", "a", "c", "d", "e"], [], ["x"], ["añ", "😀"]]
+    known = sorted({c for w in words for c in w})
+    row = [i for i, w in enumerate(words) for _ in w]
+    at = [known.index(c) for w in words for c in w]
+    assert edit.simhash(np.array(row), np.array(at), known, 4).tolist() == [bits(w) for w in words]
+    texts = [("abcabcabc", "abd"), ("", "a"), ("a", "b"), ("añ😀b", "ñ😀b"), (None, "ab")]
+    d = spark.createDataFrame(texts, "q1 string, q2 string")
+    split = lambda t, n: [t[i : i + n] for i in range(len(t) - n + 1)]
+    for n in (1, 2, 3):
+        got = [r[0] for r in d.select(edit.gram_simhash_distance(F.col("q1"), F.col("q2"), n)).collect()]
+        assert got == [None if a is None else sum(x != y for x, y in zip(bits(split(a, n)), bits(split(b, n)))) for a, b in texts]
