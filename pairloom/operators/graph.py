@@ -7,6 +7,10 @@ rows are joined by :func:`pairloom.operators.skew.hot_cold_join` or salted where
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,33 +114,82 @@ def pagerank(edges: DataFrame, work: Workspace, rounds: int = 20, damping: float
     return rank
 
 
+#: Bytes of the keys of a graph that one task takes whole.
+SMALL = 64_000_000
+
+
+def _peel(src: np.ndarray, dst: np.ndarray, n: int) -> list[int]:
+    """Cores of the vertices 0 to ``n`` - 1 of a graph that fits into a task: the vertex with the least degree goes first."""
+    order = np.argsort(src, kind="stable")
+    near, start = dst[order].tolist(), np.searchsorted(src[order], np.arange(n + 1)).tolist()
+    deg = [b - a for a, b in zip(start, start[1:])]
+    by = np.argsort(deg, kind="stable").tolist()
+    place = np.argsort(by).tolist()
+    first = np.searchsorted(np.sort(deg), np.arange(max(deg, default=0) + 2)).tolist()  # of each degree in ``by``
+    for i in range(n):
+        v = by[i]
+        for u in near[start[v] : start[v + 1]]:
+            if deg[u] > deg[v]:
+                # u changes places with the first of its degree, which then belongs to the degree below
+                at, to = place[u], max(first[deg[u]], i + 1)
+                w = by[to]
+                by[at], by[to], place[w], place[u] = w, u, at, to
+                first[deg[u]] = to + 1
+                deg[u] -= 1
+    return deg
+
+
 def kcore(edges: DataFrame, work: Workspace, most_rounds: int = 10_000) -> DataFrame:
     """(v, core): the largest k for which the vertex is in a subgraph where every vertex has k distinct neighbours.
 
     Each vertex starts with its degree and is lowered to the largest k such that k neighbours have at least k, until nothing
     changes. The counts that settle k are a histogram per vertex, summed from above, so a hub's neighbours aren't gathered.
+    Vertices with the least value of a round have their core, as all others have so many neighbours among themselves and them; they
+    go with their edges. As soon as what is left fits into a task (:data:`SMALL`), it is peeled there.
     """
-    e = work.save(edges.filter("src <> dst").select("src", "dst").distinct(), "edges")
-    deg = work.save(e.groupBy("src").agg(F.count(F.lit(1)).alias("load")), "degree")
-    rows = e.count()
-    hot = hot_keys(deg, "src", total=rows)
-    core = deg.select(F.col("src").alias("v"), F.col("load").alias("core"))
-    last = None
+    e = work.save(edges.filter("src <> dst").select("src", "dst").distinct(), "edges-0")
+    core = work.save(e.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("core")), "core-0")
+    n, rows = core.agg(F.count(F.lit(1)), F.sum("core")).first()
+    hot = hot_keys(core, "v", "core", total=rows or 0)
+    kind, laid, done, last = core.schema["v"].dataType.simpleString(), 0, [core.limit(0)], None
+
+    def peeled(batches):
+        t = pa.Table.from_batches(batches)
+        if t.num_rows:
+            ends = pa.chunked_array([*t["src"].chunks, *t["dst"].chunks]).combine_chunks().dictionary_encode()
+            at = ends.indices.to_numpy()
+            cores = _peel(at[: t.num_rows], at[t.num_rows :], len(ends.dictionary))
+            yield pa.RecordBatch.from_arrays([ends.dictionary, pa.array(cores, pa.int64())], ["v", "core"])
+
     for i in range(most_rounds):
+        low = core.agg(F.min("core")).first()[0]
+        live = core.filter(F.col("core") > low) if low is not None else core
+        left, now = live.agg(F.count(F.lit(1)), F.sum("core")).first()
+        if low is None or last == (now or 0) + low * (n - left):  # nothing is left, or nothing changed
+            done.append(core)
+            break
+        done.append(core.filter(F.col("core") == low))
+        if not i or 2 * left < laid:
+            # edges between those left
+            ends = live.select("v")
+            for end in ("src", "dst"):
+                e = hot_cold_join(e, ends.withColumnRenamed("v", end), end, hot)
+            e, laid = work.save(e, f"edges-{i + 1}"), left
+            size = e.agg(F.sum(F.octet_length(F.col("src").cast("string")) + F.octet_length(F.col("dst").cast("string")))).first()[0] or 0
+            if size <= SMALL:
+                inner = e.coalesce(1).mapInArrow(peeled, f"v {kind}, core long")
+                done.append(live.select("v").join(inner, "v", "left").select("v", F.greatest(F.lit(low), F.coalesce("core", F.lit(0))).alias("core")))
+                break
         # neighbours' values, cut at the vertex's own value: a histogram of at most core + 1 steps
-        near = hot_cold_join(e.select(F.col("dst").alias("v"), "src"), core, "v", hot).select(F.col("src").alias("v"), F.col("core").alias("c"))
+        near = hot_cold_join(e.select(F.col("dst").alias("v"), "src"), live, "v", hot).select(F.col("src").alias("v"), F.col("core").alias("c"))
         hist = near.groupBy("v", "c").agg(F.count(F.lit(1)).alias("n"))
         above = Window.partitionBy("v").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)
         new = hist.withColumn("reach", F.sum("n").over(above)).groupBy("v").agg(F.max(F.least("c", "reach")).alias("h"))
-        new = work.save(new.join(core, "v").select("v", F.least("h", "core").alias("core")), f"core-{i}")
-        now = new.agg(F.sum("core")).first()[0]
-        if i:
-            work.drop(f"core-{i - 1}")
-        core = new
-        if now == last:
-            return core
-        last = now
-    raise RuntimeError(f"not stable after {most_rounds} rounds")
+        new = live.join(new, "v", "left").select("v", F.greatest(F.lit(low), F.least(F.coalesce("h", F.lit(0)), "core")).alias("core"))
+        core, n, last = work.save(new, f"core-{i + 1}"), left, now or 0
+    else:
+        raise RuntimeError(f"not stable after {most_rounds} rounds")
+    return reduce(DataFrame.unionByName, done)
 
 
 def first_seen_ids(texts: DataFrame, text: str, position: list[str]) -> DataFrame:

@@ -246,3 +246,30 @@ def test_gram_distances_leave_the_grams_where_they_lie(spark, work, monkeypatch)
     monkeypatch.setattr(corpus, "AT_ONCE", 6)  # a batch in pieces
     pieces = list(corpus._gram_pairs(pa.RecordBatch.from_arrays([pa.array(t, pa.string()) for t in zip(*texts)], ["_a", "_b"]), 3))
     assert len(pieces) > 2 and sum(c.sum() for _, _, _, _, *cs in pieces for c in cs) == sum(sum(c.values()) for x in both for c in x)
+
+
+def test_kcore_in_rounds_and_in_a_task(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    links = {(int(a), int(b)) for a, b in rng.integers(0, 60, (260, 2)) ** 2 // 60 if a != b} | {(i, i + 1) for i in range(100, 130)} | {(200 + i, 200 + j) for i in range(9) for j in range(i)}
+    adj = defaultdict(set)
+    for a, b in links:
+        adj[a].add(b)
+        adj[b].add(a)
+    want, live, k = {}, {v: set(n) for v, n in adj.items()}, 0
+    while live:
+        v = min(live, key=lambda u: len(live[u]))
+        k = max(k, len(live[v]))
+        want[v] = k
+        for u in live.pop(v):
+            live[u].discard(v)
+    e = graph.both_ways(spark.createDataFrame(list(links), "a long, b long"), "a", "b")
+    for small in (graph.SMALL, -1):
+        monkeypatch.setattr(graph, "SMALL", small)
+        out = graph.kcore(e, Workspace(spark, "kcore"))
+        assert dict(map(tuple, out.collect())) == want and out.count() == len(want)
+    assert graph.kcore(e.limit(0), Workspace(spark, "kcore")).count() == 0
+    jobs = []
+    monkeypatch.setattr(graph, "SMALL", 64_000_000)
+    monkeypatch.setattr(Workspace, "save", lambda self, df, name, f=Workspace.save: jobs.append(name) or f(self, df, name))
+    graph.kcore(e, Workspace(spark, "kcore"))
+    assert jobs == ["edges-0", "core-0", "edges-1"]  # no rounds for what fits into a task
