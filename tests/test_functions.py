@@ -157,3 +157,15 @@ def test_simhash_of_grams_and_of_long_texts(spark, monkeypatch):
     for n in (1, 2, 3):
         got = [r[0] for r in d.select(edit.gram_simhash_distance(F.col("q1"), F.col("q2"), n)).collect()]
         assert got == [None if a is None else sum(x != y for x, y in zip(bits(split(a, n)), bits(split(b, n)))) for a, b in texts]
+
+
+def test_similarities_are_those_of_the_expressions(spark):
+    rng = np.random.default_rng(7)
+    data = [(rng.normal(size=n).round(1).tolist(), rng.normal(size=n).round(1).tolist()) for n in (5, 5, 32, 32, 2)] + [([0.0] * 5, [1.0, 2.0, 3.0, 4.0, 5.0]), (None, [1.0]), ([1.0, 2.0], [1.0])]
+    x, y = F.col("x"), F.col("y")
+    each = {f: getattr(V, f)(x, y) for f in V.SIMILARITIES if f != "spearman"} | {"spearman": tx.let(V.spearman, x, y)}
+    df = spark.createDataFrame(data, "x array<double>, y array<double>").select(V.similarities("x", "y").alias("got"), *[c.alias(f) for f, c in each.items()])
+    for row in df.collect():
+        for f in V.SIMILARITIES:
+            want = row[f]
+            assert row.got[f] == (None if want is None or want != want else pytest.approx(want, abs=1e-9)), f
