@@ -13,18 +13,57 @@ Tables: ``senses`` (lemma, sense, gloss) and ``parents`` (sense, parent). Both m
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import lru_cache, reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.edit import inverse_distance
+from ..functions.edit import inverse_distance, levenshtein
 from ..functions.text import tokens
 from ..plans.work import Workspace
 from .embed import nearest
 from .skew import salted_join
 
 
+#: Rows of a lexicon's tables, and characters of its words, that go to all tasks at most.
+SMALL = (500_000, 32_000_000)
+
+
+def _walked(parents: DataFrame, most: int) -> list[tuple] | None:
+    """The rows of :func:`ancestors`, or None if there are too many, or ends that are null."""
+    long = F.length(F.col("sense").cast("string")) + F.length(F.col("parent").cast("string"))
+    n, chars, gaps = parents.agg(F.count(F.lit(1)), F.sum(long), F.count_if(long.isNull())).first()
+    if n > SMALL[0] or (chars or 0) > SMALL[1] or gaps:
+        return None
+    up: dict = {}
+    for s, p in parents.select("sense", "parent").collect():
+        up.setdefault(s, set()).add(p)
+        up.setdefault(p, set())
+    out: list[tuple] = []
+    for s in up:
+        seen, front, steps = {s}, [s], 0
+        while front:
+            if steps >= most:
+                raise RuntimeError(f"ancestors are left after {most} steps")
+            out += [(s, a, steps) for a in front]
+            if len(out) > SMALL[0]:
+                return None
+            front = list({p for a in front for p in up[a]} - seen)
+            seen.update(front)
+            steps += 1
+    return out
+
+
 def ancestors(parents: DataFrame, work: Workspace, most: int = 64) -> DataFrame:
-    """(sense, above, steps): the sense itself (0 steps) and all above it, by the shortest way."""
+    """(sense, above, steps): the sense itself (0 steps) and all above it, by the shortest way.
+
+    Tables of at most :data:`SMALL` are walked at once, larger ones by a join for each step."""
+    few = _walked(parents, most)
+    if few is not None:
+        kind = parents.schema["sense"].dataType.simpleString()
+        return parents.sparkSession.createDataFrame(few, f"sense {kind}, above {kind}, steps int")
     nodes = parents.select(F.col("sense")).unionByName(parents.select(F.col("parent").alias("sense"))).distinct()
     known = nodes.select("sense", F.col("sense").alias("above"), F.lit(0).alias("steps"))
     front = known
@@ -91,10 +130,75 @@ def overall(left: DataFrame, right: DataFrame, key: str, up: DataFrame) -> DataF
     return n.join(best, key, "left").select(key, F.coalesce(F.col("m") / F.col("n"), F.lit(0.0)).alias("similarity"))
 
 
+def _at_hand(tags: DataFrame, senses: DataFrame, up: DataFrame, keep: tuple[str, ...]):
+    """Words with a tag of ``keep``, (lemma, sense, gloss's words) and ancestors as tables of the driver, or None if they are too many."""
+    kept = tags.filter(reduce(lambda x, y: x | y, [F.startswith("tag", F.lit(k)) for k in keep])).select("word") if keep else tags.select("word")
+    own = senses.select("lemma", "sense", "gloss")
+    rows = chars = 0
+    for t in (kept, own, up.select("sense", "above")):
+        long = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in t.columns), F.lit(0))
+        n, c = t.agg(F.count(F.lit(1)), F.sum(long)).first()
+        rows, chars = rows + n, chars + (c or 0)
+    if rows > SMALL[0] or chars > SMALL[1]:
+        return None
+    told = own.select("lemma", "sense", F.array_distinct(tokens(F.lower("gloss"))).alias("w"))
+    return [t.toArrow().to_pylist() for t in (kept, told, up.select("sense", "above", "steps"))]
+
+
+class _Chain:
+    """The chain of :func:`semantic_similarity` for one pair after another."""
+
+    def __init__(self, kept: list[dict], senses: list[dict], up: list[dict]):
+        self.kept = Counter(r["word"] for r in kept)
+        self.senses: dict = {}
+        for r in senses:
+            self.senses.setdefault(r["lemma"], {}).setdefault(r["sense"], []).extend(r["w"] or [])
+        self.up: dict = {}
+        for r in up:
+            self.up.setdefault(r["sense"], {})[r["above"]] = r["steps"]
+        self.depth = {s: max(x.values()) + 1 for s, x in self.up.items()}
+        self.alike = lru_cache(200_000)(self._alike)
+
+    def told(self, words: list[str]) -> list[tuple]:
+        """(word, sense) of the words that are kept and that the lexicon has."""
+        found = [w for w in words if w in self.kept for _ in range(self.kept[w])]
+        context = set(found)
+        hits = lambda w, gloss: sum(g in context and g != w for g in gloss)
+        return [(w, min(own, key=lambda s: (-hits(w, own[s]), s))) for w in found if (own := self.senses.get(w))]
+
+    def _alike(self, x: tuple, y: tuple) -> float:
+        (wa, a), (wb, b) = x, y
+        one, other = self.up.get(a, {}), self.up.get(b, {})
+        common = [(self.depth.get(s, 0), -(one[s] + other[s])) for s in one.keys() & other.keys()]
+        if not common:
+            return 1 / d if (d := levenshtein(wa, wb)) else 0.0
+        depth, near = max(common)
+        return (1 / (1 - max(n for _, n in common)) + 2 * depth / (2 * depth - near)) / 2
+
+    def pair(self, a: list[str], b: list[str]) -> float:
+        x, y = self.told(a), self.told(b)
+        return sum(max(self.alike(w, v) for v in y) for w in x) / (len(x) + len(y)) if x and y else 0.0
+
+
 def semantic_similarity(pairs: DataFrame, key: str, a: Column, b: Column, tags: DataFrame, senses: DataFrame, parents: DataFrame, work: Workspace, keep: tuple[str, ...] = ("NN", "JJ", "VB")) -> DataFrame:
     """(key, similarity) of the word arrays ``a`` and ``b``: words with a tag of ``keep`` in ``tags`` (word, tag), the sense of each within its
-    text, and the :func:`overall` similarity of both texts' senses. A pair without such words has 0."""
+    text, and the :func:`overall` similarity of both texts' senses. A pair without such words has 0.
+
+    A lexicon of at most :data:`SMALL` rows and characters goes to all tasks, so that pairs stay where they lie; a larger one is joined."""
     up = ancestors(parents, work)
+    known = _at_hand(tags, senses, up, keep)
+    if known is not None:
+        kind = pairs.schema[key].dataType.simpleString()
+        sent = pairs.sparkSession.sparkContext.broadcast(known)
+
+        def compare(batches):
+            one = _Chain(*sent.value)
+            for batch in batches:
+                said = [one.pair(x or [], y or []) for x, y in zip(batch.column("_a").to_pylist(), batch.column("_b").to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(said, pa.float64())], [key, "similarity"])
+
+        # all that is known of a word are its tag and senses; others take no part
+        return pairs.select(key, a.alias("_a"), b.alias("_b")).mapInArrow(compare, f"`{key}` {kind}, similarity double")
     sides = []
     for name, words in (("left", a), ("right", b)):
         kept = look_up_words(pairs.select(key, words.alias("_w")), key, F.col("_w"), tags, "tag", keep)

@@ -273,3 +273,18 @@ def test_kcore_in_rounds_and_in_a_task(spark, monkeypatch):
     monkeypatch.setattr(Workspace, "save", lambda self, df, name, f=Workspace.save: jobs.append(name) or f(self, df, name))
     graph.kcore(e, Workspace(spark, "kcore"))
     assert jobs == ["edges-0", "core-0", "edges-1"]  # no rounds for what fits into a task
+
+
+def test_semantic_similarity_of_a_lexicon_at_hand_and_of_a_joined_one(spark, monkeypatch):
+    senses = spark.createDataFrame([("bank", "money", "a house that keeps money"), ("bank", "river", "land along a river"), ("cat", "cat", "a pet"), ("money", "money", "what a bank keeps"), ("river", "stream", "water"), ("pet", "alone", "a cat")], "lemma string, sense string, gloss string")
+    parents = spark.createDataFrame([("money", "thing"), ("river", "land"), ("land", "thing"), ("stream", "land"), ("cat", "animal")], "sense string, parent string")
+    tags = spark.createDataFrame([(w, "NN") for w in ("bank", "cat", "money", "river", "house", "pet")] + [("the", "DT")], "word string, tag string")
+    texts = [(["the", "bank", "river"], ["money", "bank"]), (["cat", "cat", "bank"], ["bank", "cat", "pet", "x"]), (["the"], ["cat"]), ([], []), (None, ["bank"]), (["pet"], ["pet"]), (["river"], ["river", "house"])]
+    p = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "id long, a array<string>, b array<string>")
+    got = []
+    for small in (lexicon.SMALL, (0, 0)):
+        monkeypatch.setattr(lexicon, "SMALL", small)
+        out = lexicon.semantic_similarity(p, "id", F.col("a"), F.col("b"), tags, senses, parents, Workspace(spark, "chain"))
+        got.append({r.id: round(r.similarity, 9) for r in out.collect()})
+        assert ("Exchange" in out._jdf.queryExecution().executedPlan().toString()) == (small == (0, 0))
+    assert got[0] == got[1] and len(got[0]) == len(texts) and got[0][0] > 0 and got[0][5] == 0 and got[0][6] == 0.5
