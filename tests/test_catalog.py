@@ -80,3 +80,17 @@ def test_feature_matrix_keeps_the_scores_of_all_ids(spark, tmp_path):
 def test_gaps_of_a_feature_table_are_zero(spark):
     test, submission = spark.createDataFrame([(1,), (2,)], "test_id long"), spark.createDataFrame([(1, 0.7)], "test_id long, f1 double")
     assert {tuple(x) for x in rows.join_features(test, [submission], ["test_id"]).select("test_id", "f1").collect()} == {(1, 0.7), (2, 0.0)}
+
+
+def test_equal_forests_of_a_grid_are_fitted_once(spark, monkeypatch):
+    df, fitted = _table(spark), []
+    fit = learn.RandomForestClassifier.fit
+    monkeypatch.setattr(learn.RandomForestClassifier, "fit", lambda self, *a: fitted.append(self) or fit(self, *a))
+    cells = [{"trees": t, "features": m} for t in (2, 3) for m in ("auto", "sqrt", "all")]
+    out = learn.grid_search(df, "label", ["z1", "z2"], cells, lambda **c: learn.forest("label", depth=2, **c), 2)
+    assert [c for c, _ in out] == cells and out[0][1] == out[1][1] and len(fitted) == 2 * 2  # both rules, and all, try two of two features
+    df = df.filter("fold < 2")
+    out = learn.grid_search(df, "label", ["z1", "z2"], [{"c": 0.5}, {"c": 1.2}], lambda **c: learn.logistic("label", **c), 2)
+    for cell, loss in out:
+        each = [learn._fit(df.filter(f"fold <> {i}"), ["z1", "z2"], learn.logistic("label", **cell)).transform(df.filter(f"fold = {i}")) for i in (0, 1)]
+        assert loss == pytest.approx(sum(rows.log_loss(learn.probability(x), "label", "p").first()[0] for x in each) / 2)
