@@ -94,3 +94,10 @@ def test_equal_forests_of_a_grid_are_fitted_once(spark, monkeypatch):
     for cell, loss in out:
         each = [learn._fit(df.filter(f"fold <> {i}"), ["z1", "z2"], learn.logistic("label", **cell)).transform(df.filter(f"fold = {i}")) for i in (0, 1)]
         assert loss == pytest.approx(sum(rows.log_loss(learn.probability(x), "label", "p").first()[0] for x in each) / 2)
+
+
+def test_the_first_level_is_made_once(spark):
+    df = _table(spark)
+    levels = [learn.out_of_fold(df, "id", "label", ["z1", "z2"], m, 5) for m in (learn.logistic("label"), learn.logistic("label", 0.1))]
+    out = learn.stacked(levels, "id", "label", df, 5)
+    assert out.count() == 400 and "Join" not in out._jdf.queryExecution().executedPlan().toString()
